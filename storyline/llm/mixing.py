@@ -93,7 +93,7 @@ def mix_report(spark: SparkSession, documents: DataFrame) -> DataFrame:
     sized = ws.put(sized_rows(documents), "sized")
     table = rates(sized, ws)
     out = sized.join(table, sized["source"].eqNullSafe(table["source"]))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"), table["source"].alias("source"), copies().alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
 def mix_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, sharding, toxicity, warc
+from . import exact_dedup, license_scan, mixing, packing, sharding, topk_search, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,8 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": lambda spark, sf: toxicity.score_documents(spark, table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op3_exact_dedup": lambda spark, sf: exact_dedup.dedup_documents(spark, table(spark, sf, "documents")),
     "op4_source_mixing": lambda spark, sf: mixing.mix_report(spark, table(spark, sf, "documents")),
+    "op5_best_fit_packing": lambda spark, sf: packing.pack_documents(spark, table(spark, sf, "documents")),
     "op6_license_scan": lambda spark, sf: license_scan.scan_licenses(spark, table(spark, sf, "documents")),
     "op7_jump_sharding": lambda spark, sf: sharding.shard_documents(spark, table(spark, sf, "documents")),
+    "op8_maxscore_topk": lambda spark, sf: topk_search.search_embeddings(spark, table(spark, sf, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
     "op6_license_scan": license_scan.oracle(),
+    "op8_maxscore_topk": topk_search.ORACLE,
 }
