@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,11 @@ class Workspace:
         df.write.mode("overwrite").option("compression", codec).options(**options).parquet(self.path(name))
         return self.get(name, df.schema)
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def get(self, name: str, schema: T.StructType) -> DataFrame:
         nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
         return self.spark.read.schema(nullable).parquet(self.path(name))
