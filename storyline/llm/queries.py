@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, near_dedup, packing, sharding, topk_search, toxicity, warc
+from . import exact_dedup, license_scan, mixing, near_dedup, packing, sharding, substring_dedup, topk_search, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": lambda spark, sf: license_scan.scan_licenses(spark, table(spark, sf, "documents")),
     "op7_jump_sharding": lambda spark, sf: sharding.shard_documents(spark, table(spark, sf, "documents")),
     "op8_maxscore_topk": lambda spark, sf: topk_search.search_embeddings(spark, table(spark, sf, "embeddings")),
+    "op9_repeated_phrases": lambda spark, sf: substring_dedup.remove_repeats(spark, table(spark, sf, "documents")),
     "op10_setsketch_near_dedup": lambda spark, sf: near_dedup.near_duplicates(spark, table(spark, sf, "documents")),
 }
 
