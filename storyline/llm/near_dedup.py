@@ -6,9 +6,10 @@ similar. Four registers make a band; documents that share a band are candidates.
 probability (1 - 0.75^4)^32 = 5e-6.
 
 Sets come once each: documents with equal sets form a class, and only the class's first document goes on. In every band each document is
-compared with the band's first document, never with all. Links join documents into components. Bands whose documents are then still in more
-than one component are settled pair by pair, across components only and only where the registers leave a link possible; that join's
-condition holds before a pair is made, so no band, however large, is cut, sampled or expanded into all its pairs.
+compared with the band's first document, never with all. Links join documents into components. Where a band's documents are then still in
+more than one component, they are compared with its most central document, and what is left after that is settled pair by pair, across
+components only. A pair isn't made unless the two have enough shingles that occur in any other document at all, which bounds what they can
+have in common, enough equal registers, and few enough different parities of 2048 finer ones: no band, however large, is cut, sampled or expanded into all its pairs.
 
 A candidate pair is estimated first: the likelihood of the numbers of greater, less and equal registers, jointly with both set sizes, gives
 the similarity; a pair is put aside only if a similarity of 0.75 is less likely than the best one by e^30. All others are confirmed on the
@@ -39,9 +40,14 @@ BEYOND_DOUBT = 30.0
 #: Equal registers that a link has at least: below, its probability at 0.75 (mean 96, deviation 4.9) is under 1e-9.
 LEAST_EQUAL = 66
 SKETCH = "doc_id long, n_shingles long, digest binary, registers binary"
+#: Further registers, of which a document that is still undecided keeps one bit each; and most bits in which a link differs: at 0.75, one in
+#: eight (256, deviation 15) differ, and six deviations more are too many.
+PARITIES, MOST_DIFFERENT = 2048, 346
 _rng = np.random.default_rng(20210101)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
+_C = _rng.integers(0, 1 << 32, PARITIES, dtype=np.uint32) | np.uint32(1)
+_D = _rng.integers(0, 1 << 32, PARITIES, dtype=np.uint32)
 
 
 def shingle_sets(texts: list[bytes], known: WordHashes) -> Iterator[np.ndarray]:
@@ -61,12 +67,25 @@ def shingle_sets(texts: list[bytes], known: WordHashes) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
+def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 512) -> np.ndarray:
+    """The least hash of the set under each of many hash functions."""
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    s = (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(s), step):
+        np.minimum(low, (a[:, None] * s[None, k : k + step] + b[:, None]).min(1), out=low)
+    return low
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of 2048 minima, as 32 numbers; sets differ in half of those bits whose minima differ."""
+    low = minima(shingles, _C, _D, 64)
+    low = (low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return np.packbits((low >> np.uint32(20)).astype(np.uint8) & 1).view("<i8")
+
+
 def registers(shingles: np.ndarray) -> np.ndarray:
     """128 truncated minima, each in steps of a power of BASE; more for a set with more elements."""
-    low = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
-    s = (shingles >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(s), 512):
-        np.minimum(low, (_A[:, None] * s[None, k : k + 512] + _B[:, None]).min(1), out=low)
+    low = minima(shingles, _A, _B)
     x = -np.log1p(-(low + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 65535).astype("<u2")
 
@@ -177,6 +196,10 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return found
 
 
+def different_bits(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def equal_registers(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
@@ -186,22 +209,76 @@ def register_array(registers: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.hex(registers).substr(i * 4 + 1, F.lit(4)))
 
 
-def across(members: DataFrame, sketched: DataFrame, linked: DataFrame, ws: Workspace) -> DataFrame:
-    """Pairs (a, b) left to confirm: documents of one band in different components. members has band, doc_id and the band's pivot."""
-    of = linked.select("doc_id", "component")
-    placed = members.join(of, "doc_id", "left").select("band", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"))
-    placed = ws.put(placed, "placed")
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    placed = ws.put(placed.join(ws.put(open_bands, "open"), "band", "left_semi"), "open_members")
-    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = ws.put(sizes.groupBy("band").agg(F.max_by("component", "n").alias("main")), "main")
-    sides = placed.join(main, "band").where("doc_id <> pivot")
-    sides = ws.put(sides.join(sketched.select("doc_id", register_array(F.col("registers")).alias("regs")), "doc_id"), "sides")
-    minor = sides.where("component <> main").select("band", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("regs").alias("r_a"))
-    other = sides.select("band", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("regs").alias("r_b"), (F.col("component") == F.col("main")).alias("in_main"))
-    met = (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-    pairs = minor.join(other, (minor["band"] == other["band"]) & met & (equal_registers(F.col("r_a"), F.col("r_b")) >= LEAST_EQUAL))
-    return ws.put(pairs.select("a", "b").distinct(), "across")
+def unique_shingles(sets: DataFrame, ws: Workspace) -> DataFrame:
+    """(doc_id, n, shared): set sizes, and how many of a document's shingles also occur in another document of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, shingles in zip(batch.column(0), batch.column(1), strict=True):
+                values = np.frombuffer(shingles.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), doc_id.as_py()))], ["shingle", "doc_id"])
+
+    each = sets.select("doc_id", "shingles").mapInArrow(run, "shingle long, doc_id long")
+    alone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    n = (F.octet_length("shingles") / 8).cast("long")
+    sized = sets.select("doc_id", n.alias("n")).join(alone, "doc_id", "left")
+    return ws.put(sized.select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")), "shared_shingles")
+
+
+def parity_table(sets: DataFrame) -> DataFrame:
+    """(doc_id, bits) of documents with full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parities(np.frombuffer(x.as_buffer(), "<u8")) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "bits"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, bits array<long>")
+
+
+def may_link(n_a: Column, shared_a: Column, n_b: Column, shared_b: Column) -> Column:
+    """No pair has more common shingles than either has shared ones."""
+    common = F.least(shared_a, shared_b)
+    return (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (n_a + n_b)
+
+
+def open_members(members: DataFrame, linked: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """Those of members (band, doc_id, ...) whose band still has more than one component, with `component`."""
+    placed = members.join(linked.select("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = ws.put(placed, f"{name}-placed")
+    still = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    return ws.put(placed.join(ws.put(still, f"{name}-bands"), "band", "left_semi"), f"{name}-members")
+
+
+def settle(members: DataFrame, sketched: DataFrame, sets: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+    """links, with all that are missing between members of a band: first against the band's most central document, the one with the
+    largest part of its shingles shared, then across what components are left."""
+    left = open_members(members, components(links, ws, "stars"), ws, "first")
+    held = sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = unique_shingles(held, ws)
+    left = ws.put(left.drop("component").join(sizes, "doc_id"), "sized")
+
+    centre = ws.put(left.groupBy("band").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), F.bitwise_not("doc_id").alias("order"), "doc_id", "n", "shared")).alias("c")).select("band", "c.*"), "centres")
+    to = centre.select("band", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
+    met = left.join(to, (left["band"] == to["band"]) & (F.col("doc_id") != F.col("a")) & may_link(F.col("n_a"), F.col("shared_a"), F.col("n"), F.col("shared")))
+    more = ws.put(confirmed(ws.put(met.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "central"), sets), "central-links")
+    links = links.unionByName(more)
+
+    left = open_members(left, components(links, ws, "centres"), ws, "second")
+    counts = left.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = ws.put(counts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main")), "main")
+    sides = left.join(main, "band")
+    sides = sides.join(sketched.select("doc_id", register_array(F.col("registers")).alias("regs")), "doc_id")
+    sides = ws.put(sides.join(parity_table(sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id"), "sides")
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "component", "n", "shared", "regs", "bits")]
+    minor = sides.where("component <> main").select("band", *side("a"))
+    other = sides.select("band", *side("b"), (F.col("component") == F.col("main")).alias("in_main"))
+    met = (F.col("component_a") != F.col("component_b")) & (F.col("in_main") | (F.col("doc_id_a") < F.col("doc_id_b")))
+    met = met & may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b")) & (equal_registers(F.col("regs_a"), F.col("regs_b")) >= LEAST_EQUAL)
+    met = met & (different_bits(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT)
+    pairs = minor.join(other, (minor["band"] == other["band"]) & met)
+    pairs = ws.put(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "across")
+    return links.unionByName(ws.put(confirmed(pairs, sets), "across-links"))
 
 
 def link_documents(documents: DataFrame, ws: Workspace) -> DataFrame:
@@ -223,11 +300,10 @@ def link_documents(documents: DataFrame, ws: Workspace) -> DataFrame:
     ws.sweep()
     links = ws.put(confirmed(stars, sets), "links")
     ws.sweep()
-    rest = across(shared.where("n > 2").select("band", "doc_id", "pivot"), firsts, components(links, ws, "stars"), ws)
-    more = ws.put(confirmed(rest, sets), "more")
-    ws.drop("sets", "shared", "pivots", "placed", "open_members", "sides")
+    links = settle(shared.where("n > 2").select("band", "doc_id"), firsts, sets, links, ws)
+    of = components(links, ws, "all").select(F.col("doc_id").alias("class"), "component")
+    ws.drop("sets", "shared", "pivots", "first-placed", "first-members", "second-placed", "second-members", "sized", "sides")
     ws.sweep()
-    of = components(links.unionByName(more), ws, "all").select(F.col("doc_id").alias("class"), "component")
     out = members.join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
