@@ -12,7 +12,8 @@ doc_id, or earlier in the same one.
    size doesn't; a shard that very many stretches need is dealt out to as many tasks as these fill, each with the automaton again.
 3. Each task compiles its shard's windows with pyahocorasick and streams the stretches through. What the automaton finds are occurrences
    of the very words, so a hash that two phrases share removes nothing.
-4. All documents are read once more, and the words covered are removed; repeats within a document are found and compared there.
+4. Words that are covered go. Repeats within a document are found and compared where it is read first, and a document that has no other
+   ones is finished there; only those with stretches found elsewhere are gone through again.
 
 Nothing is capped, and no document is cut: every stretch that the counts name is streamed.
 
@@ -32,27 +33,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .words import WordHashes, batches_of, hashes_of, mixed, rolling, sliding_min_at
+from .words import WordHashes, batches_of, hashes_of, mixed, rolling, sliding_min
 
 WINDOW, ANCHOR = 20, 6
 SHARD_WINDOWS, TASK_WORDS, STRETCH_COST = 4096, 50_000, 64
 NULL_ID = (1 << 63) - 1
-FACTS = "doc long, n_words long, sha string, anchors array<long>"
-STRETCHES = "shard long, stream boolean, doc long, start int, words binary, cost long"
+FACTS = "doc long, n_words long, sha string, own_removed long, own_sha string, anchors array<long>"
+#: What a row of stretches is: a passage for a shard's library, a stretch to look through, or a whole text that has such stretches.
+LIBRARY, STREAM, WHOLE = 0, 1, 2
+STRETCHES = "shard long, kind int, doc long, start int, words binary, cost long"
+NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def split_texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Each row's words, a few rows' at a time."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+def hashed_texts(texts: list[bytes], known: WordHashes) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """For each text its words, and the hashes of its windows and of their anchors. A window's anchor is the phrase in it with the least
+    hash. Many texts are hashed as one array; what spans two of them isn't used."""
     for first, last in batches_of(texts):
-        for k in range(first, last):
-            yield k, texts[k].split()
+        split = [t.split() for t in texts[first:last]]
+        h = hashes_of([w for words in split for w in words], known)
+        windows, anchors = rolling(h, WINDOW), sliding_min(rolling(h, ANCHOR), WINDOW - ANCHOR + 1)
+        at = 0
+        for k, words in enumerate(split, first):
+            n = max(0, len(words) - WINDOW + 1)
+            yield k, words, windows[at : at + n], anchors[at : at + n]
+            at += len(words)
 
 
-def anchors_of(h: np.ndarray) -> np.ndarray:
-    """The anchor's hash for each window of word hashes."""
-    phrases = rolling(h, ANCHOR)
-    return phrases[sliding_min_at(phrases, WINDOW - ANCHOR + 1)]
+def texts_of(column: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+
+
+def own_repeats(words: list[bytes], windows: np.ndarray) -> list[int]:
+    """Where windows start that also start earlier in the same text."""
+    order = np.sort(windows)
+    if not (order[1:] == order[:-1]).any():
+        return []
+    _, at, inverse = np.unique(windows, return_index=True, return_inverse=True)
+    again = np.flatnonzero(at[inverse] < np.arange(len(windows))).tolist()
+    return [i for i in again if words[i : i + WINDOW] == words[(j := int(at[inverse[i]])) : j + WINDOW]]
+
+
+def without(words: list[bytes], starts: list[int], ends: list[int]) -> tuple[int, str]:
+    """Number of words covered by runs of windows, and the digest of the others."""
+    edge = np.zeros(len(words) + WINDOW + 1, np.int64)
+    np.add.at(edge, np.minimum(np.asarray(starts, np.int64), len(words)), 1)
+    np.add.at(edge, np.minimum(np.asarray(ends, np.int64), len(words)) + WINDOW, -1)
+    kept = np.flatnonzero(np.cumsum(edge[: len(words)]) == 0).tolist()
+    return len(words) - len(kept), hashlib.sha256(b" ".join([words[i] for i in kept])).hexdigest()
 
 
 def runs(mask: np.ndarray, by: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -72,21 +99,33 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    """For each document: its words, the digest of them all, and its distinct anchors."""
+    """For each document: its words and the digest of them all, what is left without its own repeats, and its distinct anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            n, shas, anchors = [], [], []
-            for _, words in split_texts(batch.column(1)):
+            n, shas, removed, own, anchors = [], [], [], [], []
+            for _, words, windows, phrases in hashed_texts(texts_of(batch.column(1)), known):
                 n.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                anchors.append(np.unique(anchors_of(hashes_of(words, known))).view(np.int64) if len(words) >= WINDOW else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas), pa.array(anchors, pa.list_(pa.int64()))], ["doc", "n_words", "sha", "anchors"])
+                repeats = own_repeats(words, windows)
+                gone, left = without(words, repeats, repeats) if repeats else (0, shas[-1])
+                removed.append(gone)
+                own.append(left)
+                anchors.append(np.unique(phrases).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(removed, pa.int64()), pa.array(own, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], [c.split()[0] for c in FACTS.split(", ")])
 
     return rows.mapInArrow(run, FACTS)
 
 
+def places(listed: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values are in the sorted list, and whether they are in it."""
+    if not len(listed):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
+    return at, listed[at] == values
+
+
 def candidate_windows(rows: DataFrame) -> DataFrame:
     """(doc, windows): distinct hashes of the windows whose anchor is in `anchors`; rows has doc, text, anchors."""
 
@@ -94,17 +133,16 @@ def candidate_windows(rows: DataFrame) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             out = []
-            for k, words in split_texts(batch.column(1)):
-                h = hashes_of(words, known)
-                again = np.isin(anchors_of(h), np.asarray(batch.column(2)[k].values).view(np.uint64)) if len(h) >= WINDOW else np.zeros(0, bool)
-                out.append(np.unique(rolling(h, WINDOW)[again]).view(np.int64))
+            for k, _, windows, phrases in hashed_texts(texts_of(batch.column(1)), known):
+                listed = np.sort(np.asarray(batch.column(2)[k].values))
+                out.append(np.unique(windows[places(listed, phrases.view(np.int64))[1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc", "windows"])
 
     return rows.select("doc", "text", "anchors").mapInArrow(run, "doc long, windows array<long>")
 
 
 def stretches(rows: DataFrame, shards: int) -> DataFrame:
-    """What each document gives to the shards: passages that it has first, and stretches that others had before.
+    """What each document gives to the shards: passages that it has first, and stretches that others had before; with such, its whole text.
 
     rows has doc, text, windows and firsts: recurring windows' hashes, and the first document of each.
     """
@@ -112,30 +150,36 @@ def stretches(rows: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         names = [c.split()[0] for c in STRETCHES.split(", ")]
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
         for batch in batches:
             docs = batch.column(0).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for k, words in split_texts(batch.column(1)):
+
+            def put(*row: object) -> None:
+                for column, value in zip(out, row, strict=True):  # noqa: B023
+                    column.append(value)
+
+            held = 0
+            for k, words, windows, _ in hashed_texts(texts_of(batch.column(1)), known):
                 listed, firsts = (np.asarray(batch.column(i)[k].values) for i in (2, 3))
                 order = np.argsort(listed)
-                listed, firsts = listed[order], firsts[order]
-                mine = rolling(hashes_of(words, known), WINDOW).view(np.int64)
-                if not len(listed) or not len(mine):
+                at, found = places(listed[order], windows.view(np.int64))
+                if not found.any():
                     continue
-                at = np.minimum(np.searchsorted(listed, mine), len(listed) - 1)
-                found = listed[at] == mine
-                first = firsts[at]
+                first = firsts[order][at]
                 shard = (mixed(first.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                for stream, mask in ((False, found & (first == docs[k])), (True, found & (first < docs[k]))):
-                    for a, z in runs(mask, shard):
-                        some = words[a : z + WINDOW]
-                        for column, value in zip(out, (int(shard[a]), stream, docs[k], a, b" ".join(some), len(some) + STRETCH_COST), strict=True):
-                            column.append(value)
-                if sum(map(len, out[4])) > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
-                    out = ([], [], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+                for kind, mask in ((LIBRARY, found & (first == docs[k])), (STREAM, found & (first < docs[k]))):
+                    parts = runs(mask, shard)
+                    for a, z in parts:
+                        put(int(shard[a]), kind, docs[k], a, b" ".join(words[a : z + WINDOW]), z - a + WINDOW + STRETCH_COST)
+                        held += len(out[4][-1])
+                    if kind == STREAM and parts:
+                        put(-1, WHOLE, docs[k], 0, b" ".join(words), 0)
+                        held += len(out[4][-1])
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+                    out, held = ([], [], [], [], [], []), 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     return rows.select("doc", "text", "windows", "firsts").mapInArrow(run, STRETCHES)
 
@@ -179,11 +223,11 @@ def streamed(dealt: DataFrame) -> DataFrame:
         of, library = None, Library()
         for batch in batches:
             docs, starts, ends = [], [], []
-            for shard, part, stream, doc, start, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for shard, part, kind, doc, start, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (shard, part) != of:
                     of, library = (shard, part), Library()
                 words = data.split(b" ")
-                if not stream:
+                if kind == LIBRARY:
                     library.add(words)
                     continue
                 hits = library.occurrences(words)
@@ -196,64 +240,51 @@ def streamed(dealt: DataFrame) -> DataFrame:
                     ends.append([start + z for _, z in found])
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["doc", "starts", "ends"])
 
-    return dealt.select("shard", "part", "stream", "doc", "start", "words").mapInArrow(run, "doc long, starts array<int>, ends array<int>")
+    return dealt.select("shard", "part", "kind", "doc", "start", "words").mapInArrow(run, "doc long, starts array<int>, ends array<int>")
 
 
 def locate_occurrences(table: DataFrame, ws: Workspace) -> DataFrame:
     """Deals stretches and libraries to tasks by need and runs the automata."""
-    need = table.where("stream").groupBy("shard").agg(F.sum("cost").alias("cost"))
+    stream = F.col("kind") == STREAM
+    need = table.where(stream).groupBy("shard").agg(F.sum("cost").alias("cost"))
     need = ws.put(need.select("shard", F.ceil(F.col("cost") / TASK_WORDS).cast("int").alias("parts")), "parts")
-    both = table.join(need, "shard")
-    part = F.when(F.col("stream"), F.array(F.pmod(F.xxhash64("doc", "start"), F.col("parts").cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = both.select("shard", F.explode(part).alias("part"), "stream", "doc", "start", "words")
-    return streamed(dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", "stream"))
+    both = table.where(F.col("kind") != WHOLE).join(need, "shard")
+    part = F.when(stream, F.array(F.pmod(F.xxhash64("doc", "start"), F.col("parts").cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = both.select("shard", F.explode(part).alias("part"), "kind", "doc", "start", "words")
+    return streamed(dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind"))
 
 
 def kept_words(rows: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the kept text; rows has doc_id, text, starts, ends."""
+    """(doc, removed, kept): rows has doc, the whole text's words, and the runs of windows to remove besides its own repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            n, removed, shas = [], [], []
-            for k, words in split_texts(batch.column(1)):
-                count = len(words)
-                edge = np.zeros(count + 1, np.int64)
-                starts, ends = batch.column(2)[k], batch.column(3)[k]
-                if starts.is_valid and len(starts):
-                    np.add.at(edge, np.minimum(np.asarray(starts.values), count), 1)
-                    np.add.at(edge, np.minimum(np.asarray(ends.values) + WINDOW, count), -1)
-                if count > WINDOW:
-                    h = rolling(hashes_of(words, known), WINDOW)
-                    _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-                    for i in np.flatnonzero(at[inverse] < np.arange(len(h))).tolist():
-                        j = int(at[inverse[i]])
-                        if words[i : i + WINDOW] == words[j : j + WINDOW]:
-                            edge[i] += 1
-                            edge[i + WINDOW] -= 1
-                covered = np.cumsum(edge[:-1]) > 0
-                n.append(count)
-                removed.append(int(covered.sum()))
-                shas.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(~covered).tolist()] if removed[-1] else words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return rows.select("doc_id", "text", "starts", "ends").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def repeated_runs(documents: DataFrame, ws: Workspace) -> DataFrame:
-    """(doc, starts, ends): all runs of windows that start earlier in another document, one row for each document that has any."""
-    rows = keyed(documents)
+            removed, shas = [], []
+            for k, words, windows, _ in hashed_texts(batch.column(1).to_pylist(), known):
+                own = own_repeats(words, windows)
+                gone, left = without(words, batch.column(2)[k].as_py() + own, batch.column(3)[k].as_py() + own)
+                removed.append(gone)
+                shas.append(left)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc", "removed", "kept"])
+
+    return rows.select("doc", "words", "starts", "ends").mapInArrow(run, "doc long, removed long, kept string")
+
+
+def remove_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """What is left of every document."""
+    ws, rows = Workspace(spark, "repeats"), keyed(documents)
     known = ws.put(facts(rows), "facts")
-    long = known.where(F.col("n_words") >= WINDOW)
-    classes = ws.put(long.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "classes")
-    copies = ws.put(long.select("doc", "sha", "n_words").join(classes, "sha").where("doc > first").groupBy("doc").agg(F.max("n_words").alias("n_words")), "copies")
-    anchor = long.select(F.explode("anchors").alias("anchor"), F.xxhash64("sha").alias("content"))
-    twice = anchor.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("anchor")
-    twice = ws.put(twice, "twice")
+    narrow = ws.put(known.drop("anchors"), "narrow")
+    long = narrow.where(F.col("n_words") >= WINDOW)
+    classes = ws.put(long.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("sha", "first"), "classes")
+    copies = ws.put(long.join(classes, "sha").where("doc > first").select("doc").distinct(), "copies")
+    # of copies only the first is looked at from here on
+    each = known.join(copies, "doc", "left_anti").select("doc", F.explode("anchors").alias("anchor"))
+    twice = ws.put(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
     ws.sweep()
-    held = long.select("doc", F.explode("anchors").alias("anchor")).join(twice, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    held = ws.put(held.join(copies, "doc", "left_anti"), "held")
-    ws.drop("facts", "twice", "classes")
+    held = ws.put(each.join(twice, "anchor").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "held")
+    ws.drop("facts", "twice")
     ws.sweep()
     windows = ws.put(candidate_windows(rows.join(held, "doc")), "windows")
     ws.drop("held")
@@ -270,17 +301,12 @@ def repeated_runs(documents: DataFrame, ws: Workspace) -> DataFrame:
     ws.drop("recurring")
     ws.sweep()
     found = ws.put(locate_occurrences(table, ws), "found")
-    whole = copies.select("doc", F.array(F.lit(0)).alias("starts"), F.array((F.col("n_words") - WINDOW).cast("int")).alias("ends"))
-    joined = found.unionByName(whole).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    out = ws.put(joined, "runs")
-    ws.drop("stretches", "found", "copies")
     ws.sweep()
-    return out
-
-
-def remove_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """What is left of every document."""
-    rows = documents.select("doc_id", "text")
-    found = repeated_runs(rows, Workspace(spark, "repeats"))
-    both = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(found, "doc", "left")
-    return kept_words(both.withColumn("doc_id", F.col("doc_id").cast("long")))
+    whole = table.where(F.col("kind") == WHOLE).select("doc", "words").join(found.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "doc")
+    again = ws.put(kept_words(whole).dropDuplicates(["doc"]), "again")
+    ws.drop("stretches", "found")
+    ws.sweep()
+    out = narrow.join(again, "doc", "left").join(copies.withColumn("copy", F.lit(True)), "doc", "left")
+    gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("removed", "own_removed"))
+    left = F.when(F.col("copy"), NOTHING).otherwise(F.coalesce("kept", "own_sha"))
+    return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n_words", gone.alias("n_removed"), left.alias("kept_sha256"))

@@ -53,16 +53,14 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
         power, size = power * power, size * 2
 
 
-def sliding_min_at(h: np.ndarray, n: int) -> np.ndarray:
-    """For each run of n consecutive values, the place of the least; of equal ones the last."""
-    places = np.arange(len(h))
+def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of each run of n consecutive values."""
     size = 1
     while size < n:
         step = min(size, n - size)
-        a, b = places[: len(places) - step], places[step:]
-        places = np.where(h[b] <= h[a], b, a)
+        h = np.minimum(h[: len(h) - step], h[step:])
         size += step
-    return places
+    return h
 
 
 def batches_of(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
