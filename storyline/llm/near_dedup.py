@@ -37,12 +37,12 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
 #: Log-likelihood by which 0.75 must be behind for a pair to be put aside without its sets.
 BEYOND_DOUBT = 30.0
-#: Equal registers that a link has at least: below, its probability at 0.75 (mean 96, deviation 4.9) is under 1e-9.
-LEAST_EQUAL = 66
+#: Equal registers that a link has at least: below, its probability at 0.75 (mean 96, deviation 4.9) is under 1e-6.
+LEAST_EQUAL = 71
 SKETCH = "doc_id long, n_shingles long, digest binary, registers binary"
 #: Further registers, of which a document that is still undecided keeps one bit each; and most bits in which a link differs: at 0.75, one in
-#: eight (256, deviation 15) differ, and six deviations more are too many.
-PARITIES, MOST_DIFFERENT = 2048, 346
+#: eight (256, deviation 15) differ, and five deviations more are too many.
+PARITIES, MOST_DIFFERENT = 2048, 331
 _rng = np.random.default_rng(20210101)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -269,12 +269,15 @@ def settle(members: DataFrame, sketched: DataFrame, sets: DataFrame, links: Data
     main = ws.put(counts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main")), "main")
     sides = left.join(main, "band")
     sides = sides.join(sketched.select("doc_id", register_array(F.col("registers")).alias("regs")), "doc_id")
+    sides = sides.join(left.groupBy("doc_id").agg(F.collect_set("band").alias("bands")), "doc_id")  # 32 at most
     sides = ws.put(sides.join(parity_table(sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id"), "sides")
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "component", "n", "shared", "regs", "bits")]
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "component", "n", "shared", "bands", "regs", "bits")]
     minor = sides.where("component <> main").select("band", *side("a"))
     other = sides.select("band", *side("b"), (F.col("component") == F.col("main")).alias("in_main"))
     met = (F.col("component_a") != F.col("component_b")) & (F.col("in_main") | (F.col("doc_id_a") < F.col("doc_id_b")))
-    met = met & may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b")) & (equal_registers(F.col("regs_a"), F.col("regs_b")) >= LEAST_EQUAL)
+    met = met & may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b"))
+    met = met & (minor["band"] == F.array_min(F.array_intersect("bands_a", "bands_b")))  # a pair meets in its first common band only
+    met = met & (equal_registers(F.col("regs_a"), F.col("regs_b")) >= LEAST_EQUAL)
     met = met & (different_bits(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT)
     pairs = minor.join(other, (minor["band"] == other["band"]) & met)
     pairs = ws.put(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "across")
