@@ -206,7 +206,7 @@ def equal_registers(a: Column, b: Column) -> Column:
 
 def register_array(registers: Column) -> Column:
     """Four hexadecimal digits for each register."""
-    return F.transform(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.hex(registers).substr(i * 4 + 1, F.lit(4)))
+    return F.regexp_extract_all(F.hex(registers), F.lit("[0-9A-F]{4}"), F.lit(0))
 
 
 def unique_shingles(sets: DataFrame, ws: Workspace) -> DataFrame:
@@ -268,7 +268,7 @@ def settle(members: DataFrame, sketched: DataFrame, sets: DataFrame, links: Data
     counts = left.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     main = ws.put(counts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main")), "main")
     sides = left.join(main, "band")
-    sides = sides.join(sketched.select("doc_id", register_array(F.col("registers")).alias("regs")), "doc_id")
+    sides = sides.join(sketched.select("doc_id", "registers"), "doc_id").withColumn("regs", register_array(F.col("registers"))).drop("registers")
     sides = sides.join(left.groupBy("doc_id").agg(F.collect_set("band").alias("bands")), "doc_id")  # 32 at most
     sides = ws.put(sides.join(parity_table(sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id"), "sides")
     side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "component", "n", "shared", "bands", "regs", "bits")]
