@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import chars_per_s, replace_matches, strip, zh_number
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -48,7 +49,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     def of(a: np.ndarray, b: np.ndarray) -> int:
         numbers: dict[str, int] = {}
