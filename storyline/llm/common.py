@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for what runs within."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 class Workspace:
     """Tables that one run of an operator writes to the shared folder, to cut lineage.
 
@@ -44,7 +59,9 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd", **options: object) -> DataFrame:
-        df.write.mode("overwrite").option("compression", codec).options(**options).parquet(self.path(name))
+        """df as a written table. Python gets small batches, and row groups are small: both are held by every running task."""
+        with settings(self.spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}):
+            df.write.mode("overwrite").option("compression", codec).options(**{"parquet.block.size": 32 << 20} | options).parquet(self.path(name))
         return self.get(name, df.schema)
 
     def sweep(self) -> None:

@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import SPACE, Workspace, fresh, text_of
+from .common import SPACE, Workspace, fresh, settings, text_of
 
-#: How the state is kept: on disk, with changes logged instead of whole snapshots, and without space set aside in advance for each partition.
+#: How the state is kept: on disk, with changes logged instead of whole snapshots, without space set aside in
+#: advance for each partition, and without staying in an executor's memory after a commit.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 LONG_MAX = (1 << 63) - 1
 
@@ -64,21 +66,15 @@ def stream_groups(arrivals: DataFrame, ws: Workspace, checkpoint: str, name: str
     """Runs the stream over all rows that haven't come yet; returns the newest state of each digest."""
     spark = arrivals.sparkSession
     kept = arrivals.groupBy("digest").agg(F.max(better()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
     to = ws.path(name)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         out = batch.select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.file").alias("keep_file"), F.col("best.row").alias("keep_row"), F.lit(batch_id).alias("batch"))
         out.write.mode("overwrite").option("compression", "zstd").parquet(f"{to}/of={batch_id}")  # a batch that is run again replaces itself
 
-    for key, value in STATE_STORE.items():
-        spark.conf.set(key, value)
-    try:
+    with settings(spark, STATE_STORE):
         query = kept.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
         query.awaitTermination()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     schema = "digest string, group_size long, keep_id long, keep_file string, keep_row long, batch long"
     states = spark.read.schema(schema + ", of long").parquet(to) if _exists(spark, to) else spark.createDataFrame([], schema)
     newest = states.groupBy("digest").agg(F.max_by(F.struct("group_size", "keep_id", "keep_file", "keep_row"), "batch").alias("s"))

@@ -17,7 +17,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hashes of words, kept for the next time; emptied when it gets large."""
 
-    most = 1 << 19
+    most = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
