@@ -10,7 +10,7 @@ from ..operators.sections import chapters
 
 def stream_chapters(spark: SparkSession, folder: str, lang: str = "en", pattern: str | None = None) -> DataFrame:
     """(book, chapter, title, paragraphs) of text files in a folder, as a stream."""
-    texts = spark.readStream.schema("value string").option("wholetext", True).text(folder)
+    texts = spark.readStream.schema("value string").text(folder, wholetext=True)
     books = texts.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("book"), F.col("value").alias("text"))
     return chapters(books, lang, pattern)
 
