@@ -1,0 +1,135 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from storyline.llm import near_dedup
+from storyline.llm.common import Workspace
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute(rows):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                same_id = rows[a][0] == rows[b][0]
+                linked = 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and (None not in (rows[a][0], rows[b][0]) or sets[a] == sets[b])
+                if linked or same_id and rows[a][0] is not None:
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return sorted(((i, len(sets[k]), least.get(root(k), i), i == least.get(root(k), i)) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def check(spark, documents, rows, **options):
+    got = near_dedup.near_duplicates(spark, documents(rows, **options)).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
+
+
+def edited(words, rng, base, most):
+    text = list(base)
+    for _ in range(rng.randint(0, most)):
+        k = rng.randrange(len(text))
+        text[k : k + 1] = rng.choice([[], words(1), [text[k], *words(1)]])
+    return " ".join(text)
+
+
+def test_groups_of_many_sizes(spark, documents, words, rng):
+    rows = [(k, " ".join(words(rng.randint(1, 120)))) for k in range(100)]
+    for n, length, most in ((2, 60, 1), (5, 200, 6), (30, 300, 14), (12, 30, 1)):
+        base = words(length)
+        rows += [(1000 + len(rows), edited(words, rng, base, most)) for _ in range(n)]
+    rng.shuffle(rows)
+    check(spark, documents, rows)
+
+
+def test_chain_whose_ends_are_far_apart(spark, documents, words):
+    text, rows = words(200), []
+    for k in range(12):
+        rows.append((k, " ".join(text)))
+        text = text[8:] + words(8)
+    check(spark, documents, rows)
+
+
+def test_a_large_loose_group(spark, documents, words, rng):
+    base = words(150)
+    check(spark, documents, [(k, edited(words, rng, base, 9)) for k in range(160)])
+
+
+def test_threshold_is_exact(spark, documents):
+    """Sets of 12 and 9: 9 in common is 0.75, a link; 8 of 12 isn't."""
+    w = [f"w{k}" for k in range(16)]
+    check(spark, documents, [(1, " ".join(w)), (2, " ".join(w[:13])), (3, " ".join(w[4:])), (4, " ".join(w[:12]))])
+
+
+def test_odd_rows(spark, documents):
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "One two"), (5, "one TWO"), (6, "one two three"), (None, "one two"), (None, "alone here"), (7, "ÉTÉ a b c d"), (8, "été a b c d"), (9, "x " * 50_000), (10, "x x x x x"), (4, "One two")]
+    check(spark, documents, rows, extra=True)
+
+
+def test_filter_keeps_columns_and_one_of_each(spark, documents, words):
+    base = words(100)
+    docs = documents([(5, " ".join(base)), (3, " ".join([*base[:99], "z"])), (8, "other text"), (None, "no id"), (9, None)], extra=True)
+    out = near_dedup.drop_near_copies(spark, docs)
+    assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 3, 8, 9]
+
+
+def test_empty(spark, documents):
+    assert near_dedup.near_duplicates(spark, documents([(1, "x")]).limit(0)).count() == 0
+    assert near_dedup.drop_near_copies(spark, documents([(1, "x")]).limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(k, k + 1) for k in range(1000, 1060)]
+    parent = {v: v for e in edges for v in e}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t"), "c")
+    alone = {a for a, b in edges if a == b} - {v for a, b in edges if a != b for v in (a, b)}
+    assert {r.doc_id: r.component for r in got.collect()} == {v: root(v) for v in parent if v not in alone}
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    a, b = pool[:2000], pool[500:2500]
+    assert (np.maximum(near_dedup.registers(a), near_dedup.registers(b)) == near_dedup.registers(np.union1d(a, b))).all()
+    ra, rb = near_dedup.registers(a)[None], near_dedup.registers(b)[None]
+    counts = (ra > rb).sum(1), (ra < rb).sum(1), (ra == rb).sum(1)
+    n = np.array([2000.0])
+    best = max(np.linspace(0, 1, 101), key=lambda j: near_dedup.log_likelihood(np.array([j]), n, n, *counts)[0])
+    assert best == pytest.approx(0.6, abs=0.12)
+    assert near_dedup.possible(n, n, ra, ra)[0] and not near_dedup.possible(n, n, ra, near_dedup.registers(pool[2000:])[None])[0]
+
+
+def test_bits_of_parities(spark):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**64, 1200, dtype=np.uint64)
+    bits = lambda s: np.unpackbits(near_dedup.parities(s).view(np.uint8))
+    share = (bits(pool[:1000]) != bits(pool[143:1143])).mean()
+    assert share == pytest.approx((1 - 857 / 1143) / 2, abs=0.04)
+    row = spark.createDataFrame([(near_dedup.parities(pool[:10]).tolist(), near_dedup.parities(pool[5:15]).tolist())], "a array<long>, b array<long>")
+    assert row.select(near_dedup.different_bits(F.col("a"), F.col("b")).alias("n")).first().n == (bits(pool[:10]) != bits(pool[5:15])).sum()

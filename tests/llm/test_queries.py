@@ -1,0 +1,67 @@
+"""The registered queries against SQL on the smallest tables, and the pipeline against its stages."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import pytest
+
+from storyline.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
+RESULTS = {
+    "op1": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    "op2": {"doc_id", "held_out", "score", "predicted"},
+    "op3": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    "op4": {"doc_id", "size", "source_size", "target", "taken"},
+    "op5": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
+    "op6": {"doc_id"},
+    "op7": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op8": {"query_id", "rank", "vec_id", "score"},
+    "op9": {"doc_id", "n_words", "n_removed", "kept_sha256"},
+    "op10": {"doc_id", "n_shingles", "component_id", "kept"},
+}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    got = QUERIES[name](spark, SF)
+    assert set(got.columns) >= RESULTS[name.split("_")[0]]
+    columns = sorted(got.columns)
+    rows = [tuple(r[c] for c in columns) for r in got.collect()]
+    if name in ORACLES:
+        found = duck.sql(ORACLES[name])
+        assert sorted(found.columns) == columns
+        order = [found.columns.index(c) for c in columns]
+        assert sorted(map(repr, rows)) == sorted(repr(tuple(r[i] for i in order)) for r in found.fetchall())
+    else:
+        assert rows
+
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = start = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == start.columns
+            path = f"{spark.conf.get('spark.checkpoint.dir')}/test-pipeline/{name}"
+            docs.write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+            counts.append(docs.count())
+    assert start.count() >= counts[0] >= counts[1] >= counts[2] > 0
+    ids = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+    whole = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in whole.select("doc_id").distinct().collect()} == ids and whole.count() == docs.count()

@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+
+from storyline.llm import substring_dedup
+from storyline.llm.words import BASE, WordHashes, hashes_of, mixed, rolling, sliding_min
+
+
+def brute(rows):
+    """(doc_id, words, removed, digest), by all windows in order."""
+    seen, done, out = {}, {}, []
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    for k in order:
+        doc_id, text = rows[k]
+        words = (text or "").encode().split()
+        if (doc_id, text) not in done:
+            covered, mine = [False] * len(words), {}
+            for a in range(len(words) - 19):
+                key = tuple(words[a : a + 20])
+                if seen.get(key, doc_id) != doc_id or key in mine:
+                    covered[a : a + 20] = [True] * 20
+                seen.setdefault(key, doc_id)
+                mine.setdefault(key, a)
+            left = b" ".join(w for w, c in zip(words, covered, strict=True) if not c)
+            done[doc_id, text] = (doc_id, len(words), sum(covered), hashlib.sha256(left).hexdigest())
+        out.append(done[doc_id, text])
+    return sorted(out, key=repr)
+
+
+def check(spark, documents, rows, **options):
+    got = substring_dedup.remove_repeats(spark, documents(rows, **options)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_planted_passages(spark, documents, words, rng):
+    passages = [words(n) for n in (19, 20, 21, 60, 300)]
+    rows = []
+    for k in range(120):
+        text = words(rng.randint(0, 80))
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            at = rng.randint(0, len(text))
+            text[at:at] = p
+        rows.append((k * 3, " ".join(text)))
+    rows += [(1000, rows[5][1]), (2, rows[5][1].replace(" ", "\n")), (None, rows[7][1]), (rows[9][0], rows[9][1])]
+    check(spark, documents, rows)
+
+
+def test_overlaps_within_and_between_documents(spark, documents, words):
+    a, b = words(40), words(25)
+    rows = [(1, " ".join(a[:30])), (2, " ".join(a[10:] + b)), (3, " ".join(b + b + a)), (4, "x " * 100), (5, "x " * 21), (6, "x " * 19), (7, " ".join(a[5:24])), (8, " ".join(a[5:25]))]
+    check(spark, documents, rows, extra=True)
+
+
+def test_near_copies(spark, documents, words, rng):
+    base, rows = words(400), []
+    for k in range(40):
+        text = list(base)
+        for _ in range(rng.randint(0, 12)):
+            text[rng.randrange(len(text))] = words(1)[0]
+        rows.append((k, " ".join(text)))
+    check(spark, documents, rows)
+
+
+def test_odd_texts(spark, documents):
+    same = " ".join(str(k) for k in range(25))
+    rows = [(1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, same), (5, same.replace(" ", "\x0b")), (6, same.replace(" ", " ")), (7, same.replace(" ", "  ")), (8, "é" * 100_000), (9, same.upper() + " A"), (10, "\x1c ".join(str(k) for k in range(30)))]
+    check(spark, documents, rows)
+
+
+def test_empty(spark, documents):
+    assert substring_dedup.remove_repeats(spark, documents([(1, "x")]).limit(0)).count() == 0
+
+
+def test_a_hot_passage_is_dealt_to_many_tasks(spark, documents, words, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "TASK_WORDS", 500)
+    passage = words(50)
+    rows = [(k, " ".join(words(10) + passage + words(10))) for k in range(150)]
+    check(spark, documents, rows)
+
+
+def test_rolling_hashes():
+    known, r = WordHashes(), np.random.default_rng(0).integers(0, 2**63, 60).astype(np.uint64)
+    for n in (1, 2, 3, 5, 6, 20):
+        raw = [sum(int(r[i + k]) * int(BASE) ** (n - 1 - k) for k in range(n)) % 2**64 for i in range(61 - n)]
+        assert (rolling(r, n) == mixed(np.array(raw, np.uint64))).all()
+        assert sliding_min(r, n).tolist() == [r[i : i + n].min() for i in range(61 - n)]
+    assert len(rolling(r[:3], 5)) == 0
+    known.most = 2
+    assert (hashes_of([b"a", b"b", b"c", b"a"], known)[[0, 3]] == hashes_of([b"a"], WordHashes())).all()
