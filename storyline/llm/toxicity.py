@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from .common import fresh
 
 BUCKET_BITS, DIM, ORDERS = 18, 8, (3, 4, 5, 6)
-WINDOW, STRIDE = 16, 8
+WINDOW, STRIDE = 4, 2
 #: Bytes of text that one step of scoring holds as arrays.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 _TO_SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
@@ -114,7 +114,7 @@ def score_texts(texts: list[str], model: Model) -> np.ndarray:
     return out.round(9)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.15, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 10, rate: float = 0.6, seed: int = 7) -> Model:
     y = np.asarray(labels, np.int64)
     prior = float(y.mean()) if len(y) else 0.0
     if not 0 < prior < 1:
@@ -202,27 +202,27 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192, sample_byte
     return train([t for _, t, _ in found], [y for _, _, y in found])
 
 
-def scored(documents: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """documents with a score added; all columns stay as they are."""
-    sc = documents.sparkSession.sparkContext.broadcast(model)
-    text = documents.columns.index("text")
+def scorer(spark: SparkSession, model: Model, text: str = "text") -> Column:
+    """The score of a column of texts. Only the texts go to Python, and a few at a time become Python strings."""
+    sc = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            values = score_texts([t or "" for t in batch.column(text).to_pylist()], sc.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, score])
+            values = [score_texts([t or "" for t in batch.slice(k, 256).to_pylist()], sc.value) for k in range(0, len(batch), 256)]
+            yield pa.array(np.concatenate(values) if values else np.empty(0), pa.float64())
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(score, T.DoubleType())]))
+    return F.arrow_udf(score, T.DoubleType())(F.col(text))
 
 
 def score_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "text")
     model = fit(rows, labels)
-    ids = scored(rows, model).select("doc_id", "score")
+    ids = rows.select("doc_id", scorer(spark, model).alias("score"))
     return ids.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(spark: SparkSession, documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """documents without those that the classifier rejects, with the same columns."""
     (score,) = fresh(documents, "toxic_score")
-    return scored(documents, fit(documents, labels), score).where(F.col(score) < threshold).drop(score)
+    model = fit(documents.select("doc_id", "text"), labels)
+    return documents.withColumn(score, scorer(spark, model)).where(F.col(score) < threshold).select(documents.columns)
