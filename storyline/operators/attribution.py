@@ -70,6 +70,12 @@ def requests(spans: DataFrame, budget: int, styled: bool = False) -> DataFrame:
     return rows.where(asked).select("chapter", "window", F.get("ps", F.col("a"))["para"].alias("first"), F.get("ps", F.col("z"))["para"].alias("last"), text.alias("passage"))
 
 
+def exchanges(requests: DataFrame, responses: DataFrame, model: str, num_ctx: int = 16384) -> DataFrame:
+    """(model, num_ctx, tokens, prompt, response): a log of what was asked and answered, to be appended as JSON lines."""
+    both = requests.join(responses, ["chapter", "window"])
+    return both.select(F.lit(model).alias("model"), F.lit(num_ctx).alias("num_ctx"), approx_tokens(F.col("passage")).alias("tokens"), F.col("passage").alias("prompt"), "response")
+
+
 def parse_answers(responses: DataFrame) -> DataFrame:
     """(chapter, pos, quote_id, speaker, confidence, style) of responses (chapter, window, response)."""
     items = responses.select("chapter", "window", F.posexplode(F.from_json("response", ANSWERS)["speakers"]).alias("k", "a"))

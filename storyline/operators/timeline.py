@@ -58,3 +58,8 @@ def complete(chapters: DataFrame) -> DataFrame:
 def book_backend(state: DataFrame, order: str = "id") -> DataFrame:
     """(book, backend): the first line's that has one."""
     return state.groupBy("book").agg(F.min_by("backend", F.when(F.col("backend").isNotNull(), F.col(order))).alias("backend"))
+
+
+def ready(chapters: DataFrame, states: DataFrame) -> DataFrame:
+    """Chapters without a reason to be rendered again; states has (chapter, reasons)."""
+    return chapters.join(states.where(F.size("reasons") > 0).select("chapter"), "chapter", "left_anti")

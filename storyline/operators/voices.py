@@ -156,3 +156,14 @@ def with_voice_map(voices: dict, backend: str, new: dict[str, str], current: str
     """voices with a backend's map set; a flat map of before stays under the current backend."""
     nested = voices if any(isinstance(v, dict) for v in voices.values()) else ({current: voices} if voices else {})
     return {**nested, backend: new}
+
+
+def missing_clips(plan: DataFrame, inventory: DataFrame, force: bool = False) -> DataFrame:
+    """The part of a design plan whose clips aren't there; inventory has (path)."""
+    return plan if force else plan.join(inventory.select("path"), "path", "left_anti")
+
+
+def gate(errors: Sequence[str]) -> None:
+    """Rendering doesn't start with a voice map that has errors."""
+    if errors:
+        raise ValueError("; ".join(errors))
