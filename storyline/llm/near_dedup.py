@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, fresh
-from .words import WordHashes, batches_of, hashes_of, mixed, rolling
+from .words import batches_of, mixed, rolling, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
@@ -50,12 +50,10 @@ _C = _rng.integers(0, 1 << 32, PARITIES, dtype=np.uint32) | np.uint32(1)
 _D = _rng.integers(0, 1 << 32, PARITIES, dtype=np.uint32)
 
 
-def shingle_sets(texts: list[bytes], known: WordHashes) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for first, last in batches_of(texts):
-        words = [t.lower().split() for t in texts[first:last]]
-        h = hashes_of([w for some in words for w in some], known)
-        n = np.array([len(w) for w in words])
+        h, n, _, _ = word_hashes([t.lower() for t in texts[first:last]])
         at = np.cumsum(n) - n
         all_of = rolling(h, SHINGLE)
         for start, size in zip(at.tolist(), n.tolist(), strict=True):
@@ -92,11 +90,10 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 def sketches(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             n, digests, rows = [], [], []
-            for some in shingle_sets(texts, known):
+            for some in shingle_sets(texts):
                 n.append(len(some))
                 digests.append(xxhash.xxh3_128_digest(some.tobytes()) if len(some) else None)
                 rows.append(registers(some).tobytes() if len(some) else None)
@@ -142,10 +139,9 @@ def set_table(documents: DataFrame, some: DataFrame, sketched: DataFrame, ws: Wo
     """doc_id, registers and the full set of the documents in some (doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, known)], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "shingles"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi")
     return ws.put(texts.mapInArrow(run, "doc_id long, shingles binary").join(sketched.select("doc_id", "registers"), "doc_id"), "sets", codec="none")

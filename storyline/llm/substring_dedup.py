@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .words import WordHashes, batches_of, hashes_of, mixed, rolling, sliding_min
+from .words import batches_of, mixed, rolling, sliding_min, word_hashes
 
 WINDOW, ANCHOR = 20, 6
 SHARD_WINDOWS, TASK_WORDS, STRETCH_COST = 4096, 50_000, 64
@@ -45,36 +45,38 @@ STRETCHES = "shard long, kind int, doc long, start int, words binary, cost long"
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def hashed_texts(texts: list[bytes], known: WordHashes) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """For each text its words, and the hashes of its windows and of their anchors. A window's anchor is the phrase in it with the least
-    hash. Many texts are hashed as one array; what spans two of them isn't used."""
+def hashed_texts(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text its words joined by single spaces, where each word starts and ends in that, and the hashes of its windows and of
+    their anchors. A window's anchor is the phrase in it with the least hash. Many texts are hashed as one array; what spans two of them
+    isn't used."""
     for first, last in batches_of(texts):
-        split = [t.split() for t in texts[first:last]]
-        h = hashes_of([w for words in split for w in words], known)
+        joined = [b" ".join(t.split()) for t in texts[first:last]]
+        h, counts, starts, ends = word_hashes(joined)
         windows, anchors = rolling(h, WINDOW), sliding_min(rolling(h, ANCHOR), WINDOW - ANCHOR + 1)
         at = 0
-        for k, words in enumerate(split, first):
-            n = max(0, len(words) - WINDOW + 1)
-            yield k, words, windows[at : at + n], anchors[at : at + n]
-            at += len(words)
+        for k, (text, words) in enumerate(zip(joined, counts.tolist(), strict=True), first):
+            n = max(0, words - WINDOW + 1)
+            yield k, text, starts[at : at + words], ends[at : at + words], windows[at : at + n], anchors[at : at + n]
+            at += words
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def own_repeats(words: list[bytes], windows: np.ndarray) -> list[int]:
+def own_repeats(text: bytes, windows: np.ndarray) -> list[int]:
     """Where windows start that also start earlier in the same text."""
     order = np.sort(windows)
     if not (order[1:] == order[:-1]).any():
         return []
     _, at, inverse = np.unique(windows, return_index=True, return_inverse=True)
-    again = np.flatnonzero(at[inverse] < np.arange(len(windows))).tolist()
+    again, words = np.flatnonzero(at[inverse] < np.arange(len(windows))).tolist(), text.split()
     return [i for i in again if words[i : i + WINDOW] == words[(j := int(at[inverse[i]])) : j + WINDOW]]
 
 
-def without(words: list[bytes], starts: list[int], ends: list[int]) -> tuple[int, str]:
+def without(text: bytes, starts: list[int], ends: list[int]) -> tuple[int, str]:
     """Number of words covered by runs of windows, and the digest of the others."""
+    words = text.split()
     edge = np.zeros(len(words) + WINDOW + 1, np.int64)
     np.add.at(edge, np.minimum(np.asarray(starts, np.int64), len(words)), 1)
     np.add.at(edge, np.minimum(np.asarray(ends, np.int64), len(words)) + WINDOW, -1)
@@ -102,14 +104,13 @@ def facts(rows: DataFrame) -> DataFrame:
     """For each document: its words and the digest of them all, what is left without its own repeats, and its distinct anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             n, shas, removed, own, anchors = [], [], [], [], []
-            for _, words, windows, phrases in hashed_texts(texts_of(batch.column(1)), known):
-                n.append(len(words))
-                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                repeats = own_repeats(words, windows)
-                gone, left = without(words, repeats, repeats) if repeats else (0, shas[-1])
+            for _, text, starts, _, windows, phrases in hashed_texts(texts_of(batch.column(1))):
+                n.append(len(starts))
+                shas.append(hashlib.sha256(text).hexdigest())
+                repeats = own_repeats(text, windows)
+                gone, left = without(text, repeats, repeats) if repeats else (0, shas[-1])
                 removed.append(gone)
                 own.append(left)
                 anchors.append(np.unique(phrases).view(np.int64))
@@ -130,10 +131,9 @@ def candidate_windows(rows: DataFrame) -> DataFrame:
     """(doc, windows): distinct hashes of the windows whose anchor is in `anchors`; rows has doc, text, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             out = []
-            for k, _, windows, phrases in hashed_texts(texts_of(batch.column(1)), known):
+            for k, _, _, _, windows, phrases in hashed_texts(texts_of(batch.column(1))):
                 listed = np.sort(np.asarray(batch.column(2)[k].values))
                 out.append(np.unique(windows[places(listed, phrases.view(np.int64))[1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc", "windows"])
@@ -148,7 +148,6 @@ def stretches(rows: DataFrame, shards: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         names = [c.split()[0] for c in STRETCHES.split(", ")]
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
         for batch in batches:
@@ -160,7 +159,7 @@ def stretches(rows: DataFrame, shards: int) -> DataFrame:
                     column.append(value)
 
             held = 0
-            for k, words, windows, _ in hashed_texts(texts_of(batch.column(1)), known):
+            for k, text, starts, ends, windows, _ in hashed_texts(texts_of(batch.column(1))):
                 listed, firsts = (np.asarray(batch.column(i)[k].values) for i in (2, 3))
                 order = np.argsort(listed)
                 at, found = places(listed[order], windows.view(np.int64))
@@ -171,10 +170,10 @@ def stretches(rows: DataFrame, shards: int) -> DataFrame:
                 for kind, mask in ((LIBRARY, found & (first == docs[k])), (STREAM, found & (first < docs[k]))):
                     parts = runs(mask, shard)
                     for a, z in parts:
-                        put(int(shard[a]), kind, docs[k], a, b" ".join(words[a : z + WINDOW]), z - a + WINDOW + STRETCH_COST)
+                        put(int(shard[a]), kind, docs[k], a, text[starts[a] : ends[z + WINDOW - 1]], z - a + WINDOW + STRETCH_COST)
                         held += len(out[4][-1])
                     if kind == STREAM and parts:
-                        put(-1, WHOLE, docs[k], 0, b" ".join(words), 0)
+                        put(-1, WHOLE, docs[k], 0, text, 0)
                         held += len(out[4][-1])
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
@@ -258,12 +257,11 @@ def kept_words(rows: DataFrame) -> DataFrame:
     """(doc, removed, kept): rows has doc, the whole text's words, and the runs of windows to remove besides its own repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             removed, shas = [], []
-            for k, words, windows, _ in hashed_texts(batch.column(1).to_pylist(), known):
-                own = own_repeats(words, windows)
-                gone, left = without(words, batch.column(2)[k].as_py() + own, batch.column(3)[k].as_py() + own)
+            for k, text, _, _, windows, _ in hashed_texts(batch.column(1).to_pylist()):
+                own = own_repeats(text, windows)
+                gone, left = without(text, batch.column(2)[k].as_py() + own, batch.column(3)[k].as_py() + own)
                 removed.append(gone)
                 shas.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc", "removed", "kept"])

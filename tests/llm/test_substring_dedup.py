@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 
 from storyline.llm import substring_dedup
-from storyline.llm.words import BASE, WordHashes, hashes_of, mixed, rolling, sliding_min
+from storyline.llm.words import BASE, mixed, rolling, sliding_min, word_hashes
 
 
 def brute(rows):
@@ -81,11 +81,20 @@ def test_a_hot_passage_is_dealt_to_many_tasks(spark, documents, words, monkeypat
 
 
 def test_rolling_hashes():
-    known, r = WordHashes(), np.random.default_rng(0).integers(0, 2**63, 60).astype(np.uint64)
+    r = np.random.default_rng(0).integers(0, 2**63, 60).astype(np.uint64)
     for n in (1, 2, 3, 5, 6, 20):
         raw = [sum(int(r[i + k]) * int(BASE) ** (n - 1 - k) for k in range(n)) % 2**64 for i in range(61 - n)]
         assert (rolling(r, n) == mixed(np.array(raw, np.uint64))).all()
         assert sliding_min(r, n).tolist() == [r[i : i + n].min() for i in range(61 - n)]
     assert len(rolling(r[:3], 5)) == 0
-    known.most = 2
-    assert (hashes_of([b"a", b"b", b"c", b"a"], known)[[0, 3]] == hashes_of([b"a"], WordHashes())).all()
+
+
+def test_word_hashes():
+    texts = [b"a b  a", b"", b" \x0bab\t", "é ñ é".encode(), b"x" * 3_000_000 + b" a"]
+    h, n, starts, ends = word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert [t[a:z] for t, k in zip(texts, np.cumsum(n) - n, strict=True) for a, z in zip(starts[k : k + len(t.split())], ends[k : k + len(t.split())], strict=True)] == words
+    by = {}
+    assert all(by.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True)) and len(set(by.values())) == len(by)
+    assert len(word_hashes([])[0]) == 0 and len(word_hashes([b""])[0]) == 0
