@@ -12,6 +12,11 @@ from . import fixed
 MARK = "\x01"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once; within a lambda Spark evaluates a repeated expression again each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -91,13 +96,11 @@ def sentences(text: Column, lang: str) -> Column:
     so the joints are found side by side and no fold is needed."""
     if lang == "zh":
         return _pieces(text, r"([。！？；…][\"”」』]?)")
-    pieces = _pieces(text, r"""(?U)([.!?]["')\]]?\s+)(?=["'(\[]?[A-Z0-9])""")
-
     def last_word(piece: Column) -> Column:
         return F.lower(F.regexp_replace(F.substring_index(F.regexp_replace(piece, r"""["')]+$""", ""), " ", -1), r"\.+$", ""))
 
-    joint = F.transform(pieces, lambda p: F.when(last_word(p).isin(fixed.ABBREVIATIONS), " ").otherwise(MARK))
-    joined = F.array_join(F.zip_with(pieces, joint, lambda p, j: F.concat(p, j)), "")
+    pieces = _pieces(text, r"""(?U)([.!?]["')\]]?\s+)(?=["'(\[]?[A-Z0-9])""")
+    joined = F.array_join(F.transform(pieces, lambda p: F.concat(p, F.when(last_word(p).isin(fixed.ABBREVIATIONS), " ").otherwise(MARK))), "")
     return F.filter(F.transform(F.split(joined, MARK, -1), lambda s: F.regexp_replace(s, " $", "")), lambda s: s != "")
 
 

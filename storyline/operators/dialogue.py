@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import strip
+from ..functions.text import let, strip
 from .cast import Character, resolver
 
 SPAN = "struct<kind:string,text:string,speaker:string,confidence:double,quote_id:int>"
@@ -54,13 +54,13 @@ def spans(paragraph: Column, inside: Column, lang: str = "en") -> Column:
 
 def matched_name(text: Column, patterns: Sequence[str], resolve: Callable[[Column], Column]) -> Column:
     """The first pattern's name that resolves, whole or by ever fewer of its words."""
-    found = []
-    for pattern in patterns:
-        name = F.regexp_replace(strip(F.regexp_extract(text, pattern, 1)), "[.,;:]+$", "")
+
+    def resolved(name: Column) -> Column:
         words = F.split(name, r"(?U)\s+", -1)
-        tries = [resolve(name)] + [F.when(F.size(words) > n, resolve(F.array_join(F.slice(words, 1, n), " "))) for n in (3, 2, 1)]
-        found.append(F.when((name != "") & ~F.lower(name).isin(fixed.NO_NAMES), F.coalesce(*tries)))
-    return F.coalesce(*found)
+        shorter = let(words, lambda w: F.coalesce(*(F.when(F.size(w) > n, resolve(F.array_join(F.slice(w, 1, n), " "))) for n in (3, 2, 1))))
+        return F.when((name != "") & ~F.lower(name).isin(fixed.NO_NAMES), F.coalesce(resolve(name), shorter))
+
+    return F.coalesce(*(let(F.regexp_replace(strip(F.regexp_extract(text, p, 1)), "[.,;:]+$", ""), resolved) for p in patterns))
 
 
 def tagged(paragraph: Column, lang: str, resolve: Callable[[Column], Column]) -> Column:

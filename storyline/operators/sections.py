@@ -45,23 +45,23 @@ def paragraphs(lines: Column, lang: str = "en") -> Column:
     return F.transform(F.filter(tidy, lambda b: b != ""), lambda b: canonical_punctuation(canonical_quotes(b)))
 
 
-def chapter_array(text: Column, lang: str = "en", pattern: str | None = None, markdown: bool = False) -> Column:
-    """Array of struct(chapter, title, paragraphs): dense numbers, and default titles by the place among all sections."""
-    body = without_boilerplate(lines(text))
-    numbered = F.transform(body, lambda line, i: F.struct(i.alias("i"), heading(line, lang, pattern, markdown).alias("title")))
-    heads = F.filter(numbered, lambda x: x["title"].isNotNull())
-    starts = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("title"))), heads)
-    ends = F.concat(F.transform(heads, lambda x: x["i"]), F.array(F.size(body)))
-    sections = F.zip_with(starts, ends, lambda s, e: F.struct(s["title"].alias("title"), F.slice(body, s["i"] + 2, e - s["i"] - 1).alias("body")))
-    kept = F.filter(sections, lambda s: (s["title"] != "") | F.exists(s["body"], lambda x: ~blank(x)))
-    titled = F.transform(kept, lambda s, i: F.struct(F.when(s["title"] == "", F.concat(F.lit("Chapter "), (i + 1).cast("string"))).otherwise(s["title"]).alias("title"), (s["title"] != "").alias("named"), paragraphs(s["body"], lang).alias("paragraphs")))
-    full = F.filter(titled, lambda s: s["named"] | (F.size(s["paragraphs"]) > 0))
-    return F.transform(full, lambda s, i: F.struct(i.alias("chapter"), s["title"].alias("title"), s["paragraphs"].alias("paragraphs")))
-
-
 def chapters(books: DataFrame, lang: str = "en", pattern: str | None = None, markdown: bool = False, key: str = "book") -> DataFrame:
-    """(key, chapter, title, paragraphs) of books (key, text)."""
-    return books.select(key, F.explode(chapter_array(F.coalesce("text", F.lit("")), lang, pattern, markdown)).alias("c")).select(key, "c.chapter", "c.title", "c.paragraphs")
+    """(key, chapter, title, paragraphs) of books (key, text): dense numbers, and default titles by the place among all sections.
+
+    Each step is a column of its own: an expression that a later lambda uses would be evaluated anew for every element.
+    """
+    rows = books.select(F.col(key).alias("key"), lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    rows = rows.select("key", without_boilerplate(F.col("lines")).alias("body"))
+    numbered = F.transform("body", lambda line, i: F.struct(i.alias("i"), heading(line, lang, pattern, markdown).alias("title")))
+    rows = rows.select("key", "body", F.filter(numbered, lambda x: x["title"].isNotNull()).alias("heads"))
+    starts = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("title"))), F.col("heads"))
+    ends = F.concat(F.transform("heads", lambda x: x["i"]), F.array(F.size("body")))
+    parts = F.zip_with(starts, ends, lambda s, e: F.struct(s["title"].alias("title"), F.slice("body", s["i"] + 2, e - s["i"] - 1).alias("body")))
+    rows = rows.select("key", F.filter(parts, lambda s: (s["title"] != "") | F.exists(s["body"], lambda x: ~blank(x))).alias("kept"))
+    titled = F.transform("kept", lambda s, i: F.struct(F.when(s["title"] == "", F.concat(F.lit("Chapter "), (i + 1).cast("string"))).otherwise(s["title"]).alias("title"), (s["title"] != "").alias("named"), paragraphs(s["body"], lang).alias("paragraphs")))
+    rows = rows.select("key", titled.alias("titled"))
+    full = F.filter("titled", lambda s: s["named"] | (F.size(s["paragraphs"]) > 0))
+    return rows.select("key", F.posexplode(full).alias("chapter", "c")).select(F.col("key").alias(key), "chapter", "c.title", "c.paragraphs")
 
 
 def paragraph_rows(chapters: DataFrame, key: str = "book") -> DataFrame:
