@@ -28,4 +28,6 @@ ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE,
     "op6_license_scan": license_scan.oracle(),
     "op8_maxscore_topk": topk_search.ORACLE,
+    "op9_repeated_phrases": substring_dedup.ORACLE,
+    "op10_setsketch_near_dedup": near_dedup.ORACLE,
 }

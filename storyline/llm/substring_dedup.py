@@ -308,3 +308,16 @@ def remove_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("removed", "own_removed"))
     left = F.when(F.col("copy"), NOTHING).otherwise(F.coalesce("kept", "own_sha"))
     return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n_words", gone.alias("n_removed"), left.alias("kept_sha256"))
+
+
+#: All windows as strings; only for small tables.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM d, unnest(range(1, len(w) - 18)) AS r(i) WHERE len(w) >= 20),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM x),
+c AS (SELECT DISTINCT doc_id, p FROM f, unnest(range(i, i + 20)) AS r(p) WHERE n > 1),
+v AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(p)),
+kept AS (SELECT v.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY v.p) AS t FROM v LEFT JOIN c ON c.doc_id = v.doc_id AND c.p = v.p WHERE c.p IS NULL GROUP BY v.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
