@@ -111,18 +111,18 @@ def answer_fold(spark: SparkSession, sf: str) -> DataFrame:
     return folded.where("kind = 'dialogue'").select("chapter", "quote_id", "speaker", "confidence", "style")
 
 
-@query(rf"""
-WITH RECURSIVE {UNTAGGED},
-p AS (SELECT CAST(conv_id AS INTEGER) AS chapter, para + 1 AS k, CASE WHEN speech THEN '[q' || CAST(number AS INTEGER) || '](?) "' || said || '"' ELSE said END AS shown FROM n WHERE said <> ''),
-e AS (SELECT chapter, row_number() OVER (PARTITION BY chapter ORDER BY k) AS k, CAST(length(shown) - length(regexp_replace(shown, '[\x{{3000}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}\x{{FF00}}-\x{{FFEF}}]', '', 'g'))
+#: Windows of paragraphs as requests show them: at most 12 of them, within 300 tokens together with up to 4 before.
+WINDOWS = rf"""p AS (SELECT CAST(conv_id AS INTEGER) AS chapter, CAST(para AS INTEGER) AS para, speech, CASE WHEN speech THEN '[q' || CAST(number AS INTEGER) || '](?) "' || said || '"' ELSE said END AS shown FROM n WHERE said <> ''),
+e AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY para) AS k, CAST(length(shown) - length(regexp_replace(shown, '[\x{{3000}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}\x{{FF00}}-\x{{FFEF}}]', '', 'g'))
   + ceil(length(regexp_replace(shown, '[\x{{3000}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) / 3.0) AS BIGINT) + 2 AS cost FROM p),
 x AS (SELECT *, CAST(coalesce(sum(cost) OVER (PARTITION BY chapter ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM e),
 f AS (SELECT chapter, k, before + cost AS used, 1 AS n, 0 AS w FROM x WHERE k = 1
   UNION ALL
   SELECT x.chapter, x.k, CASE WHEN f.n >= 12 OR f.used + x.cost > 300 THEN x.before + x.cost ELSE f.used + x.cost END, CASE WHEN f.n >= 12 OR f.used + x.cost > 300 THEN 1 ELSE f.n + 1 END,
-    f.w + CASE WHEN f.n >= 12 OR f.used + x.cost > 300 THEN 1 ELSE 0 END FROM f JOIN x ON x.chapter = f.chapter AND x.k = f.k + 1)
-SELECT chapter, CAST(w AS INTEGER) AS "window", CAST(count(*) AS BIGINT) AS paragraphs FROM f GROUP BY chapter, w
-""")
+    f.w + CASE WHEN f.n >= 12 OR f.used + x.cost > 300 THEN 1 ELSE 0 END FROM f JOIN x ON x.chapter = f.chapter AND x.k = f.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {UNTAGGED}, {WINDOWS} SELECT chapter, CAST(w AS INTEGER) AS \"window\", CAST(count(*) AS BIGINT) AS paragraphs FROM f GROUP BY chapter, w")
 def request_windows(spark: SparkSession, sf: str) -> DataFrame:
     shown = attribution.paragraphs_shown(untagged(spark, sf))
     chapter = shown.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("para", "cost"))).alias("ps"))
@@ -130,7 +130,12 @@ def request_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("chapter", "window").agg(F.count(F.lit(1)).alias("paragraphs"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {UNTAGGED}, {WINDOWS},
+g AS (SELECT f.chapter, f.w, min(f.k) AS a, max(f.k) AS z, min(e.para) AS first, max(e.para) AS last, bool_or(e.speech) AS asked FROM f JOIN e ON e.chapter = f.chapter AND e.k = f.k GROUP BY f.chapter, f.w)
+SELECT g.chapter, CAST(g.w AS INTEGER) AS "window", g.first, g.last, string_agg(e.shown, chr(10) || chr(10) ORDER BY e.k) AS passage
+FROM g JOIN e ON e.chapter = g.chapter AND e.k BETWEEN g.a - 4 AND g.z WHERE asked GROUP BY ALL
+""")
 def model_requests(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.requests(untagged(spark, sf), 300)
 

@@ -312,7 +312,13 @@ def voice_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", voices.gender(text).alias("gender"), voices.age(text).alias("age"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE {LINES}, t AS (SELECT speaker, id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM lines),
+u AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY id) AS k FROM t WHERE length(t) BETWEEN 4 AND 160),
+f AS (SELECT speaker, k, t AS s FROM u WHERE k = 1
+  UNION ALL SELECT u.speaker, u.k, CASE WHEN length(f.s) + 1 + length(u.t) <= 160 THEN f.s || ' ' || u.t ELSE f.s END FROM f JOIN u ON u.speaker = f.speaker AND u.k = f.k + 1)
+SELECT speaker, arg_max(s, k) AS sample FROM f GROUP BY speaker HAVING length(arg_max(s, k)) >= 12
+""")
 def sample_passages(spark: SparkSession, sf: str) -> DataFrame:
     return voices.sample_texts(lines(spark, sf))
 
