@@ -113,6 +113,7 @@ def token_caps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: A turn against the next one, both cut at 30 words. Tokens become single ASCII characters, so that levenshtein counts tokens.
+#: Queries of whole turns have no SQL: levenshtein counts bytes, and a pair has more distinct tokens than there are such characters.
 PAIRS = r"""a AS (SELECT conv_id, turn, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM conversations),
   w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(array_to_string((string_split(t, ' '))[1:30], ' ')), '[^\pL\pN\pM_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS r,
     list_filter(regexp_split_to_array(regexp_replace(lower(array_to_string((string_split(u, ' '))[1:30], ' ')), '[^\pL\pN\pM_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS h, array_to_string((string_split(t, ' '))[1:30], ' ') AS text FROM a WHERE u IS NOT NULL),
@@ -121,9 +122,9 @@ PAIRS = r"""a AS (SELECT conv_id, turn, coalesce(text, '') AS t, lead(coalesce(t
   rated AS (SELECT *, CASE WHEN len(r) > 0 THEN edits / CAST(len(r) AS DOUBLE) WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END AS error_rate FROM e)"""
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
+def pairs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    first = lambda x: F.array_join(F.slice(F.split(x, " ", -1), 1, 30), " ")
+    first = lambda x: x if whole else F.array_join(F.slice(F.split(x, " ", -1), 1, 30), " ")
     rows = table(spark, sf, "conversations").withColumn("next", F.lead(text).over(W.partitionBy("conv_id").orderBy("turn"))).where(F.col("next").isNotNull())
     return verify.compare(rows.select("conv_id", "turn", first(text).alias("text"), first(F.col("next")).alias("transcript")))
 
@@ -133,6 +134,11 @@ def word_errors(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).select("conv_id", "turn", "edits", F.round("error_rate", 9).alias("error_rate"))
 
 
+@query()
+def whole_word_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs(spark, sf, whole=True).select("conv_id", "turn", "edits", F.round("error_rate", 9).alias("error_rate"))
+
+
 @query(f"""
 WITH {PAIRS}
 SELECT conv_id, turn, CASE WHEN turn + length(text) / 10.0::DOUBLE > 3 * (length(text) / 15.0::DOUBLE) + 3 THEN false WHEN len(r) <= 4 OR len(list_distinct(r)) <= 2 THEN true ELSE error_rate <= 0.95 OR edits <= 1 END AS ok FROM rated
@@ -142,6 +148,12 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).select("conv_id", "turn", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), duration, threshold=0.95).alias("ok"))
 
 
+@query()
+def whole_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    duration = F.col("turn") + F.length("text") / 10.0
+    return pairs(spark, sf, whole=True).select("conv_id", "turn", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), duration, threshold=0.95).alias("ok"))
+
+
 #: Segments to clips: purchases go to the user's last signup by then, or to the first.
 @query("""
 WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup'),

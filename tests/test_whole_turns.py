@@ -1,0 +1,53 @@
+"""Queries over whole turns against a plain recurrence: they have no SQL."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from storyline.plans.registry import QUERIES
+
+LONG = " ".join(f"Word{k}," for k in range(200))
+TURNS = [
+    (1, 0, LONG), (1, 1, LONG + " and more"), (1, 2, LONG.replace("Word150,", "other")), (1, 3, ""), (1, 4, None), (1, 5, "one two"),
+    (2, 0, "a b c d e " * 30), (2, 1, "a b c d e " * 29 + "a b"), (2, 2, "a b c d e " * 8 + "x y z " * 40), (3, 0, "alone"), (4, 9, "x y " * 4), (4, 10, LONG),
+]
+
+
+def words(text):
+    return re.sub(r"[^\w\s]", "", text.lower()).split()
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.fixture
+def turns(spark, tmp_path):
+    spark.createDataFrame(TURNS, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows, want = {(c, t): x or "" for c, t, x in TURNS}, {}
+    for (c, t), text in rows.items():
+        if (c, t + 1) in rows:
+            a, b = words(text), words(rows[c, t + 1])
+            edits = distance(a, b)
+            rate = edits / len(a) if a else float(bool(b))
+            ok = t + len(text) / 10 <= 3 * (len(text) / 15) + 3 and (len(a) <= 4 or len(set(a)) <= 2 or rate <= 0.95 or edits <= 1)
+            want[c, t] = (edits, round(rate, 9), ok)
+    return str(tmp_path), want
+
+
+def test_errors_of_whole_turns(spark, turns):
+    sf, want = turns
+    assert want[1, 0][0] == 2 and want[1, 1][0] == 3  # both beyond the first 30 words
+    assert {(r.conv_id, r.turn): (r.edits, r.error_rate) for r in QUERIES["whole_word_errors"](spark, sf).collect()} == {k: v[:2] for k, v in want.items()}
+
+
+def test_verdicts_of_whole_turns(spark, turns):
+    sf, want = turns
+    assert {(r.conv_id, r.turn): r.ok for r in QUERIES["whole_verdicts"](spark, sf).collect()} == {k: v[2] for k, v in want.items()}
