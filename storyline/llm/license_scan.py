@@ -5,6 +5,10 @@ sentences. Version numbers, years and names within a sentence are slots: pattern
 order, with runs of unknown sentences as one gap, form a sequence; ordered rules match in it, the most specific first, and a match uses
 up its identifiers. What no rule uses is reported as unmatched licence sentences. One pass over each row, no shuffle.
 
+A known sentence begins and ends where BREAK cuts, and may run across single line breaks and semicolons, so that wrapped texts count; blank
+lines and . ! ? end it. Sentences that name a licence may have a subject before and a reference after. The SQL has none of this: it looks
+up pieces between two cuts, and n_sentences counts those here too.
+
 Defined cases: null and empty texts have no sentences and no licence. A very long text is scanned whole. Licences of a text are distinct, in
 rule order, joined by a comma; a text with none has an empty string. Other columns are ignored. An empty table gives no rows.
 """
@@ -73,31 +77,60 @@ RULES = [
 ]
 #: Ends of sentences: line breaks; and . ! ? ; before white space, a quote or bracket or the end.
 BREAK = r"[\n\r\x0b\x0c]+|[.!?;]+[\x22\x27)\]]*[ \t]+|[.!?;]+[\x22\x27)\]]*$"
-#: Every known sentence has one of these; sentences (and texts) without any are unknown at once.
-HINT = r"licen[sc]|permission|software|copyright|redistribut|bsd|rights|cc[ -]by|cc0|creative commons|public domain|endorse"
+#: Within a lowered text, H ends every sentence and S ends pieces only. A cut after "v" is of the second kind, as in "v. 2.0".
+HARD = r"\n[ \t*#/]*(?=\n)|[\x0b\x0c]|(?<!\bv)[.!?]+[\x22\x27)\]]*(?=[ \t\n\x0b\x0c]|$)"
+SOFT = r"\n|(?:;|(?<=\bv)[.!?])[\x22\x27)\]]*(?=[ \t\n]|$)"
+#: Every known sentence has one of these; texts without any are unknown at once.
+HINT = r"licen[sc]|permission|software|copyright|redistribut|bsd|rights|cc[^a-z0-9]+by|cc0|creative[^a-z0-9]+commons|public[^a-z0-9]+domain|endorse"
+#: Before a sentence that names a licence: what is licensed, unless it is denied or a condition. After it: where to read more.
+WORDS = r"(?:[a-z0-9]+ ){1,8}?"
+SUBJECT = r"(?!(?:if|when|where|whether|unless|until|once|because|suppose|no|not|none|nothing|neither) )" + WORDS + r"(?:is|are) (?:also |hereby )?(?=released|licensed|distributed|available|dedicated)"
+TAIL = r" (?:see|as|in the|which|whose|a copy of|the full|unless|https?|or( at your option)? any later version|for (?:more |further )?(?:details|information))(?: .*)?"
 NOT_WORD = r"[^a-z0-9]+"
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.lower(text), BREAK, -1)
+def variants() -> dict[str, str]:
+    """SENTENCES with what sentences in running text may have besides."""
+    out = {}
+    for name, pattern in SENTENCES.items():
+        if name.endswith("-name"):
+            pattern = pattern.replace(" under the ", " under (the terms of )?the ").replace("a?( )?creative", "((a|the) )?creative")
+            pattern = f"(?:{SUBJECT})?(?:{pattern})(?:{TAIL})?"
+        out[name] = pattern
+    return out
+
+
+def across(pattern: str) -> str:
+    """A pattern of normalised sentences as one that runs across S. Where any rest of a sentence will do, it ends with its piece, and a
+    subject's words are of one piece, or they could take in what is before."""
+    head, rest, end = pattern.rpartition(".*")
+    if rest and end.strip(")?") == "":
+        pattern = head + ("[a-z0-9]" if head.endswith(" ") else "") + "[^HS]*" + end
+    return pattern.replace(".*", "[^H]*?").replace(" ", "[ S]+").replace(WORDS.replace(" ", "[ S]+"), WORDS)
+
+
+VARIANTS = variants()
+KNOWN = "(?<=[HS]|[HS] )(?:" + "|".join(across(p) for p in VARIANTS.values()) + ")(?= ?[HS])"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, NOT_WORD, " "))
+def marked(text: Column) -> Column:
+    """A text, lowered and normalised, with its cuts."""
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), r"\r\n?", "\n"), HARD, "H"), SOFT, "S")
+    return F.regexp_replace(F.concat(F.lit("H"), cut, F.lit("H")), "[^a-z0-9HS]+", " ")
 
 
 def identifier(sentence: Column) -> Column:
     """The known identifier of a normalised sentence, "-" for an unknown one."""
     known = F.lit("-")
-    for name, pattern in reversed(SENTENCES.items()):
+    for name, pattern in reversed(VARIANTS.items()):
         known = F.when(sentence.rlike(f"^(?:{pattern})$"), name).otherwise(known)
     return known
 
 
 def identifiers(text: Column) -> Column:
     """The text's identifiers in order, unknown sentences left out."""
-    hinted = F.filter(sentences(text), lambda s: s.rlike(HINT))
-    found = F.filter(F.transform(hinted, lambda s: identifier(normalised(s))), lambda i: i != "-")
+    found = F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0))
+    found = F.transform(found, lambda s: identifier(F.trim(F.regexp_replace(s, "[ S]+", " "))))
     return F.when(F.lower(text).rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 
