@@ -1,6 +1,7 @@
 """A book's folder and its stages: each reads the tables of the one before, does what its stamps call stale, and replaces those chapters.
 
-    <root>/source.md | source.txt, book.json (title, author, language, chapter_regex, styles, voices, tts, pauses), cast.json, overrides.json
+    <root>/source.md | source.txt, book.json (title, author, language, chapter_regex, styles, voices, tts, pauses), cast.json, overrides.json,
+        pinyin.json (Chinese only: toneless syllable by character)
     <root>/work/chapters, normalized, lines, render, verify, timeline: tables; work/stamps: what each chapter was built from; work/log.txt
 
 Speech, transcription and language models are providers (storyline.providers); encoding audio files isn't part of the library.
@@ -13,7 +14,7 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import providers
@@ -48,6 +49,11 @@ class Book:
     def voice_map(self) -> dict[str, str]:
         return voices.voice_map_of(self.config.get("voices", {}), self.backend)
 
+    def pronunciation(self) -> Callable[[Column], Column] | None:
+        """By pinyin.json, a Chinese book's table from character to toneless syllable; without it characters are compared."""
+        table = self._json("pinyin.json", {}) if self.lang == "zh" else {}
+        return verify.pronunciation(table) if table else None
+
     def note(self, message: str) -> None:
         Path(self.work).mkdir(parents=True, exist_ok=True)
         with Path(self.work, "log.txt").open("a", encoding="utf-8") as f:
@@ -166,8 +172,9 @@ class Book:
         rate = providers.speech(self.backend).sample_rate
         todo = verify.pending(state, results).join(self.read("audio").select("audio", "n_samples").dropDuplicates(["audio"]), "audio")
         heard = todo.join(transcribe(todo), "id").join(books.read_table(self.spark, self.work, "lines").select("id", "text"), "id")
-        rated = verify.compare(heard, self.lang).withColumn("duration", F.col("n_samples") / rate)
-        new = rated.withColumn("ok", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), F.col("duration"), self.lang, threshold))
+        syllable = self.pronunciation()
+        rated = verify.compare(heard, self.lang, syllable=syllable).withColumn("duration", F.col("n_samples") / rate)
+        new = rated.withColumn("ok", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), F.col("duration"), self.lang, threshold, syllable))
         columns = [c.split()[0] for c in books.VERIFY.split(", ")]
         self.replace(verify.current(state, results).select(columns).unionByName(new.select(columns)), "verify")
         n = verify.summary(state, books.read_table(self.spark, self.work, "verify")).first()

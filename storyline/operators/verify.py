@@ -21,10 +21,26 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def tokens(text: Column, lang: str = "en", syllable: Callable[[Column], Column] | None = None, compatible: bool = False) -> Column:
-    """Tokens to compare. English: words without punctuation. Chinese: digits in words, then each Han character (by `syllable`, if there is
-    a pronunciation table) and other runs whole. With `compatible`, compatibility forms are made alike first, in Python."""
-    text = F.lower(nfkc(text) if compatible else text)
+def compatible(text: Column) -> Column:
+    """Compatibility forms made alike (NFKC). ASCII texts have none, and Python gets nothing of them."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def pronunciation(table: dict[str, str]) -> Callable[[Column], Column]:
+    """A table from Han character to toneless syllable, for `syllable`: characters go to the first one of their syllable, and those few to
+    it. Others have none."""
+    first: dict[str, str] = {}
+    for character, syllable in table.items():
+        first.setdefault(syllable, character)
+    characters, firsts = "".join(table), "".join(first[s] for s in table.values())
+    known = F.create_map(*(F.lit(x) for syllable, character in first.items() for x in (character, syllable)))
+    return lambda c: F.try_element_at(known, F.translate(c, characters, firsts))
+
+
+def tokens(text: Column, lang: str = "en", syllable: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens to compare, of compatible forms. English: words without punctuation. Chinese: digits in words, then each Han character (by
+    `syllable`, if there is a pronunciation table) and other runs whole."""
+    text = F.lower(compatible(text))
     if lang == "zh":
         text = replace_matches(text, "[0-9]+", zh_number)
     text = F.regexp_replace(text, r"(?U)[^\w\s]", "")
@@ -64,17 +80,17 @@ def error_rate(edits: Column, reference: Column, hypothesis: Column) -> Column:
     return F.when(F.size(reference) > 0, edits / F.size(reference)).when(F.size(hypothesis) > 0, 1.0).otherwise(0.0)
 
 
-def compare(pairs: DataFrame, lang: str = "en", reference: str = "text", hypothesis: str = "transcript") -> DataFrame:
+def compare(pairs: DataFrame, lang: str = "en", reference: str = "text", hypothesis: str = "transcript", syllable: Callable[[Column], Column] | None = None) -> DataFrame:
     """pairs with edits and error_rate."""
-    rows = pairs.withColumn("_r", tokens(F.col(reference), lang)).withColumn("_h", tokens(F.col(hypothesis), lang))
+    rows = pairs.withColumn("_r", tokens(F.col(reference), lang, syllable)).withColumn("_h", tokens(F.col(hypothesis), lang, syllable))
     rows = rows.withColumn("edits", token_edits("_r", "_h"))
     return rows.withColumn("error_rate", error_rate(F.col("edits"), F.col("_r"), F.col("_h"))).drop("_r", "_h")
 
 
-def judge(text: Column, rate: Column, edits: Column, duration: Column, lang: str = "en", threshold: float = 0.15) -> Column:
+def judge(text: Column, rate: Column, edits: Column, duration: Column, lang: str = "en", threshold: float = 0.15, syllable: Callable[[Column], Column] | None = None) -> Column:
     """Whether audio is acceptable: never if far too long; always if the text is a few syllables; else by error rate, or a single edit."""
     runaway = duration > 3 * (F.length(text) / chars_per_s(lang)) + 3
-    words = tokens(text, lang)
+    words = tokens(text, lang, syllable)
     short = (F.size(words) <= 4) | (F.size(F.array_distinct(words)) <= 2)
     return F.when(runaway, False).when(short, True).otherwise((rate <= threshold) | (edits <= 1))
 
