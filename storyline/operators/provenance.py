@@ -148,15 +148,15 @@ def backend_name(registered: str) -> str | None:
     return fixed.BACKEND_NAMES.get(registered)
 
 
-def report(title: str, stages: DataFrame, grid: DataFrame, lines: DataFrame, failures: DataFrame, log: list[str], shown: int = 40) -> str:
-    """A book's status as Markdown. The tables are a book's stages, chapters and speakers; of lines to look at, the first `shown`."""
+def report(title: str, stages: DataFrame, grid: DataFrame, lines: DataFrame, failures: DataFrame, log: list[str]) -> str:
+    """A book's status as Markdown. The tables are a book's stages, chapters and speakers; all lines to look at are listed, a partition at a time."""
     out = [f"# {title}", "", "| stage | status | detail | reasons |", "|---|---|---|---|"]
     out += [f"| {r['stage']} | {r['status']} | {r['detail']} | {r['reasons']} |" for r in stages.collect()]
     out += ["", "| chapter | " + " | ".join(STAGES) + " |", "|---" * (len(STAGES) + 1) + "|"]
     out += [f"| {r['chapter']} | " + " | ".join(r[s] for s in STAGES) + " |" for r in grid.orderBy("chapter").collect()]
     out += ["", "## Speakers", ""] + [f"- {r['speaker']}: {r['lines']}" for r in speakers(lines).collect()]
-    doubtful = lines.where((F.col("kind") == "dialogue") & (F.col("confidence") < fixed.RULES)).orderBy("id").limit(shown)
-    out += ["", "## To review", ""] + [f"- `{r['id']}` {r['speaker']} ({r['confidence']:.2f}): {r['text'][:100]}" for r in doubtful.collect()]
-    bad = failures.orderBy(F.col("error_rate").desc(), "id").limit(shown)
-    out += ["", "## Failed verification", ""] + [f"- `{r['id']}` {r['error_rate']:.2f}: {r['transcript'][:100]}" for r in bad.collect()]
+    doubtful = lines.where((F.col("kind") == "dialogue") & (F.col("confidence") < fixed.RULES)).orderBy("id")
+    out += ["", "## To review", ""] + [f"- `{r['id']}` {r['speaker']} ({r['confidence']:.2f}): {r['text'][:100]}" for r in doubtful.toLocalIterator()]
+    bad = failures.orderBy(F.col("error_rate").desc(), "id")
+    out += ["", "## Failed verification", ""] + [f"- `{r['id']}` {r['error_rate']:.2f}: {r['transcript'][:100]}" for r in bad.toLocalIterator()]
     return "\n".join([*out, "", "## Log", "", *log[-25:], ""])
