@@ -181,3 +181,17 @@ def discovered_entries(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     found = table(spark, sf, "conversations").select(F.col("conv_id").cast("int").alias("chapter"), F.col("turn").alias("pos"), F.concat(F.lit(" "), "role").alias("name"), F.array(F.substring(text, 1, 1)).alias("aliases"), F.substring(text, 1, 20).alias("description"))
     return c.dedupe_entries(found).select("chapter", "name", F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "description")
+
+
+#: The same with whole turns as descriptions and all their words as aliases.
+@query("""
+WITH e AS (SELECT CAST(conv_id AS INTEGER) AS chapter, turn, trim(role) AS name, coalesce(text, '') AS t FROM conversations),
+d AS (SELECT chapter, name, regexp_replace(arg_min(t, turn), '^\\s+|\\s+$', '', 'g') AS description FROM e GROUP BY chapter, name),
+a AS (SELECT DISTINCT chapter, name, unnest(string_split(t, ' ')) AS alias FROM e),
+g AS (SELECT chapter, name, string_agg(alias, ',' ORDER BY encode(alias)) AS aliases FROM (SELECT DISTINCT chapter, name, trim(alias) AS alias FROM a) WHERE alias <> '' AND alias <> name GROUP BY chapter, name)
+SELECT d.chapter, d.name, coalesce(g.aliases, '') AS aliases, d.description FROM d LEFT JOIN g ON g.chapter = d.chapter AND g.name = d.name
+""")
+def whole_entries(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    found = table(spark, sf, "conversations").select(F.col("conv_id").cast("int").alias("chapter"), F.col("turn").alias("pos"), F.concat(F.lit(" "), "role").alias("name"), F.split(text, " ", -1).alias("aliases"), text.alias("description"))
+    return c.dedupe_entries(found).select("chapter", "name", F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "description")
