@@ -17,9 +17,13 @@ doc_id, or earlier in the same one.
 
 Nothing is capped, and no document is cut: every stretch that the counts name is streamed.
 
-Defined cases: a null text has no words; texts under 20 words lose nothing. A null doc_id counts as the greatest. Rows that repeat both
-doc_id and text are one document, and each gets its result; rows with one doc_id and different texts are judged as one document that
-holds the passages of all. An empty table gives no rows. Other columns are ignored.
+Every step is keyed by the row: by its doc_id and the digest of its words where what is found decides, and before that, where a chance
+meeting of two rows only adds candidates, by one hash of doc_id and text.
+
+Defined cases: a null text has no words; texts under 20 words lose nothing. Null doc_ids are equal to each other and count as the greatest.
+Rows with equal doc_ids and different texts are documents of their own, of which neither is earlier: each loses what it repeats itself and
+what rows with smaller doc_ids have. Rows that repeat both doc_id and text are one document, and each gets its result. An empty table gives
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +42,10 @@ from .words import batches_of, mixed, rolling, sliding_min, word_hashes
 WINDOW, ANCHOR = 20, 6
 SHARD_WINDOWS, TASK_WORDS, STRETCH_COST = 4096, 50_000, 64
 NULL_ID = (1 << 63) - 1
-FACTS = "doc long, n_words long, sha string, own_removed long, own_sha string, anchors array<long>"
+FACTS = "row long, doc long, n_words long, sha string, own_removed long, own_sha string, anchors array<long>"
 #: What a row of stretches is: a passage for a shard's library, a stretch to look through, or a whole text that has such stretches.
 LIBRARY, STREAM, WHOLE = 0, 1, 2
-STRETCHES = "shard long, kind int, doc long, start int, words binary, cost long"
+STRETCHES = "shard long, kind int, doc long, sha binary, start int, words binary, cost long"
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -97,7 +101,9 @@ def runs(mask: np.ndarray, by: np.ndarray | None = None) -> list[tuple[int, int]
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
+    """row, doc, text: the hash of identifier and text, the identifier, and the text."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return documents.select(F.xxhash64(doc, F.col("text")).alias("row"), doc.alias("doc"), "text")
 
 
 def facts(rows: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def facts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, shas, removed, own, anchors = [], [], [], [], []
-            for _, text, starts, _, windows, phrases in hashed_texts(texts_of(batch.column(1))):
+            for _, text, starts, _, windows, phrases in hashed_texts(texts_of(batch.column(2))):
                 n.append(len(starts))
                 shas.append(hashlib.sha256(text).hexdigest())
                 repeats = own_repeats(text, windows)
@@ -114,7 +120,7 @@ def facts(rows: DataFrame) -> DataFrame:
                 removed.append(gone)
                 own.append(left)
                 anchors.append(np.unique(phrases).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(removed, pa.int64()), pa.array(own, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], [c.split()[0] for c in FACTS.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(removed, pa.int64()), pa.array(own, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], [c.split()[0] for c in FACTS.split(", ")])
 
     return rows.mapInArrow(run, FACTS)
 
@@ -127,18 +133,36 @@ def places(listed: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, listed[at] == values
 
 
+class Unseen:
+    """Rows of a task that weren't there before. A task whose rows repeat goes through each once."""
+
+    def __init__(self) -> None:
+        self.keys: set[tuple[int, bytes]] = set()
+
+    def __call__(self, doc: int, text: bytes) -> bool:
+        key = (doc, hashlib.sha256(text).digest())
+        if key in self.keys:
+            return False
+        self.keys.add(key)
+        return True
+
+
 def candidate_windows(rows: DataFrame) -> DataFrame:
-    """(doc, windows): distinct hashes of the windows whose anchor is in `anchors`; rows has doc, text, anchors."""
+    """(row, doc, windows): distinct hashes of the windows whose anchor is in `anchors`; rows has row, doc, text, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unseen = Unseen()
         for batch in batches:
-            out = []
-            for k, _, _, _, windows, phrases in hashed_texts(texts_of(batch.column(1))):
-                listed = np.sort(np.asarray(batch.column(2)[k].values))
-                out.append(np.unique(windows[places(listed, phrases.view(np.int64))[1]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc", "windows"])
+            docs, keep, out = batch.column(1).to_pylist(), [], []
+            for k, text, _, _, windows, phrases in hashed_texts(texts_of(batch.column(2))):
+                if unseen(docs[k], text):
+                    listed = np.sort(np.asarray(batch.column(3)[k].values))
+                    keep.append(k)
+                    out.append(np.unique(windows[places(listed, phrases.view(np.int64))[1]]).view(np.int64))
+            at = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.list_(pa.int64()))], ["row", "doc", "windows"])
 
-    return rows.select("doc", "text", "anchors").mapInArrow(run, "doc long, windows array<long>")
+    return rows.select("row", "doc", "text", "anchors").mapInArrow(run, "row long, doc long, windows array<long>")
 
 
 def stretches(rows: DataFrame, shards: int) -> DataFrame:
@@ -149,10 +173,11 @@ def stretches(rows: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in STRETCHES.split(", ")]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
+        unseen = Unseen()
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
 
             def put(*row: object) -> None:
                 for column, value in zip(out, row, strict=True):  # noqa: B023
@@ -160,24 +185,26 @@ def stretches(rows: DataFrame, shards: int) -> DataFrame:
 
             held = 0
             for k, text, starts, ends, windows, _ in hashed_texts(texts_of(batch.column(1))):
+                if not unseen(docs[k], text):
+                    continue
                 listed, firsts = (np.asarray(batch.column(i)[k].values) for i in (2, 3))
                 order = np.argsort(listed)
                 at, found = places(listed[order], windows.view(np.int64))
                 if not found.any():
                     continue
-                first = firsts[order][at]
+                first, sha = firsts[order][at], hashlib.sha256(text).digest()
                 shard = (mixed(first.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
                 for kind, mask in ((LIBRARY, found & (first == docs[k])), (STREAM, found & (first < docs[k]))):
                     parts = runs(mask, shard)
                     for a, z in parts:
-                        put(int(shard[a]), kind, docs[k], a, text[starts[a] : ends[z + WINDOW - 1]], z - a + WINDOW + STRETCH_COST)
-                        held += len(out[4][-1])
+                        put(int(shard[a]), kind, docs[k], sha, a, text[starts[a] : ends[z + WINDOW - 1]], z - a + WINDOW + STRETCH_COST)
+                        held += len(out[5][-1])
                     if kind == STREAM and parts:
-                        put(-1, WHOLE, docs[k], 0, text, 0)
-                        held += len(out[4][-1])
+                        put(-1, WHOLE, docs[k], sha, 0, text, 0)
+                        held += len(out[5][-1])
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-                    out, held = ([], [], [], [], [], []), 0
+                    out, held = ([], [], [], [], [], [], []), 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     return rows.select("doc", "text", "windows", "firsts").mapInArrow(run, STRETCHES)
@@ -216,13 +243,13 @@ class Library:
 
 
 def streamed(dealt: DataFrame) -> DataFrame:
-    """(doc, starts, ends): first and last windows of the runs found. dealt is sorted so that each shard's library comes before its stretches."""
+    """(doc, sha, starts, ends): first and last windows of the runs found. dealt is sorted so that each shard's library comes before its stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, library = None, Library()
         for batch in batches:
-            docs, starts, ends = [], [], []
-            for shard, part, kind, doc, start, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            docs, shas, starts, ends = [], [], [], []
+            for shard, part, kind, doc, sha, start, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if (shard, part) != of:
                     of, library = (shard, part), Library()
                 words = data.split(b" ")
@@ -235,11 +262,12 @@ def streamed(dealt: DataFrame) -> DataFrame:
                     seen[hits] = True
                     found = runs(seen)
                     docs.append(doc)
+                    shas.append(sha)
                     starts.append([start + a for a, _ in found])
                     ends.append([start + z for _, z in found])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["doc", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(shas, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["doc", "sha", "starts", "ends"])
 
-    return dealt.select("shard", "part", "kind", "doc", "start", "words").mapInArrow(run, "doc long, starts array<int>, ends array<int>")
+    return dealt.select("shard", "part", "kind", "doc", "sha", "start", "words").mapInArrow(run, "doc long, sha binary, starts array<int>, ends array<int>")
 
 
 def locate_occurrences(table: DataFrame, ws: Workspace) -> DataFrame:
@@ -248,63 +276,65 @@ def locate_occurrences(table: DataFrame, ws: Workspace) -> DataFrame:
     need = table.where(stream).groupBy("shard").agg(F.sum("cost").alias("cost"))
     need = ws.put(need.select("shard", F.ceil(F.col("cost") / TASK_WORDS).cast("int").alias("parts")), "parts")
     both = table.where(F.col("kind") != WHOLE).join(need, "shard")
-    part = F.when(stream, F.array(F.pmod(F.xxhash64("doc", "start"), F.col("parts").cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = both.select("shard", F.explode(part).alias("part"), "kind", "doc", "start", "words")
+    part = F.when(stream, F.array(F.pmod(F.xxhash64("doc", "sha", "start"), F.col("parts").cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = both.select("shard", F.explode(part).alias("part"), "kind", "doc", "sha", "start", "words")
     return streamed(dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind"))
 
 
 def kept_words(rows: DataFrame) -> DataFrame:
-    """(doc, removed, kept): rows has doc, the whole text's words, and the runs of windows to remove besides its own repeats."""
+    """(doc, sha, removed, kept): rows has doc, sha, the whole text's words, and the runs of windows to remove besides its own repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, shas = [], []
-            for k, text, _, _, windows, _ in hashed_texts(batch.column(1).to_pylist()):
+            removed, left = [], []
+            for k, text, _, _, windows, _ in hashed_texts(batch.column(2).to_pylist()):
                 own = own_repeats(text, windows)
-                gone, left = without(text, batch.column(2)[k].as_py() + own, batch.column(3)[k].as_py() + own)
+                gone, digest = without(text, batch.column(3)[k].as_py() + own, batch.column(4)[k].as_py() + own)
                 removed.append(gone)
-                shas.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc", "removed", "kept"])
+                left.append(digest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(left, pa.string())], ["doc", "sha", "removed", "kept"])
 
-    return rows.select("doc", "words", "starts", "ends").mapInArrow(run, "doc long, removed long, kept string")
+    return rows.select("doc", "sha", "words", "starts", "ends").mapInArrow(run, "doc long, sha binary, removed long, kept string")
 
 
 def remove_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """What is left of every document."""
     ws, rows = Workspace(spark, "repeats"), keyed(documents)
     known = ws.put(facts(rows), "facts")
-    narrow = ws.put(known.drop("anchors"), "narrow")
+    narrow = ws.put(known.drop("row", "anchors"), "narrow")
     long = narrow.where(F.col("n_words") >= WINDOW)
     classes = ws.put(long.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("sha", "first"), "classes")
-    copies = ws.put(long.join(classes, "sha").where("doc > first").select("doc").distinct(), "copies")
+    copies = ws.put(long.join(classes, "sha").where("doc > first").select("doc", "sha").distinct(), "copies")
     # of copies only the first is looked at from here on
-    each = known.join(copies, "doc", "left_anti").select("doc", F.explode("anchors").alias("anchor"))
+    each = known.join(copies, ["doc", "sha"], "left_anti").select("row", F.explode("anchors").alias("anchor"))
     twice = ws.put(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
     ws.sweep()
-    held = ws.put(each.join(twice, "anchor").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "held")
+    held = ws.put(each.join(twice, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors")), "held")
     ws.drop("facts", "twice")
     ws.sweep()
-    windows = ws.put(candidate_windows(rows.join(held, "doc")), "windows")
+    windows = ws.put(candidate_windows(rows.join(held, "row")), "windows")
     ws.drop("held")
     ws.sweep()
     each = windows.select("doc", F.explode("windows").alias("window"))
     firsts = ws.put(each.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first"), "firsts")
     ws.sweep()
-    recurring = each.join(firsts, "window").groupBy("doc").agg(F.collect_list(F.struct("window", "first")).alias("of"))
-    recurring = ws.put(recurring.select("doc", F.col("of.window").alias("windows"), F.col("of.first").alias("firsts")), "recurring")
+    recurring = windows.select("row", F.explode("windows").alias("window")).join(firsts, "window").groupBy("row").agg(F.collect_set(F.struct("window", "first")).alias("of"))
+    recurring = ws.put(recurring.select("row", F.col("of.window").alias("windows"), F.col("of.first").alias("firsts")), "recurring")
     shards = max(1, firsts.count() // SHARD_WINDOWS)
     ws.drop("windows", "firsts")
     ws.sweep()
-    table = ws.put(stretches(rows.join(recurring, "doc"), shards), "stretches")
+    table = ws.put(stretches(rows.join(recurring, "row"), shards), "stretches")
     ws.drop("recurring")
     ws.sweep()
     found = ws.put(locate_occurrences(table, ws), "found")
     ws.sweep()
-    whole = table.where(F.col("kind") == WHOLE).select("doc", "words").join(found.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "doc")
-    again = ws.put(kept_words(whole).dropDuplicates(["doc"]), "again")
+    by = ["doc", "sha"]
+    whole = table.where(F.col("kind") == WHOLE).select(*by, "words").join(found.groupBy(by).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), by)
+    again = kept_words(whole).select("doc", F.lower(F.hex("sha")).alias("sha"), "removed", "kept").dropDuplicates(by)
+    again = ws.put(again, "again")
     ws.drop("stretches", "found")
     ws.sweep()
-    out = narrow.join(again, "doc", "left").join(copies.withColumn("copy", F.lit(True)), "doc", "left")
+    out = narrow.join(again, by, "left").join(copies.withColumn("copy", F.lit(True)), by, "left")
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("removed", "own_removed"))
     left = F.when(F.col("copy"), NOTHING).otherwise(F.coalesce("kept", "own_sha"))
     return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n_words", gone.alias("n_removed"), left.alias("kept_sha256"))

@@ -69,6 +69,24 @@ def test_odd_texts(spark, documents):
     check(spark, documents, rows)
 
 
+def test_rows_that_share_an_id(spark, documents, words):
+    """A null or repeated doc_id never takes words from another text of that id, and each row has its own digest."""
+    a, b, c, d, e, f, g = (" ".join(words(40)) for _ in range(7))
+    rows = [(1, a), (None, a), (None, b), (None, c), (2, d), (9, d), (9, e)]
+    check(spark, documents, [*rows, (None, f"{f} {b}"), (None, f"{f} {f}"), (3, f"{d} {g}"), (3, f"{g} {c}"), (3, f"{g} {c}"), (3, d), (None, b), (None, b)])
+
+
+def test_many_rows_without_id(spark, documents, words, rng):
+    passages, rows = [words(n) for n in (20, 45, 150)], []
+    for k in range(150):
+        text = words(rng.randint(0, 60))
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            at = rng.randint(0, len(text))
+            text[at:at] = p
+        rows.append((rng.choice([None, None, 7, 8, k]), " ".join(text)))
+    check(spark, documents, rows + rows[:40], extra=True)
+
+
 def test_empty(spark, documents):
     assert substring_dedup.remove_repeats(spark, documents([(1, "x")]).limit(0)).count() == 0
 
