@@ -7,13 +7,16 @@ probability (1 - 0.75^4)^32 = 5e-6.
 
 Sets come once each: documents with equal sets form a class, and only the class's first document goes on. In every band each document is
 compared with the band's first document, never with all. Links join documents into components. Where a band's documents are then still in
-more than one component, they are compared with its most central document, and what is left after that is settled pair by pair, across
-components only. A pair isn't made unless the two have enough shingles that occur in any other document at all, which bounds what they can
-have in common, enough equal registers, and few enough different parities of 2048 finer ones: no band, however large, is cut, sampled or expanded into all its pairs.
+more than one component, those go on that have enough shingles that any other document has at all, and are compared with the band's most
+central document. What is left after that, in bands of whatever size, is split by a second key: a document's rarest shared shingles. Sets
+as similar as asked for have one in common among each one's rarest quarter (prefix filtering; Chaudhuri et al., 2006), so a passage that
+very many documents share is nobody's key, and keys whose documents are all in one component make no pairs. Pairs within the others need
+like sizes, enough equal registers, and few enough different parities of 2048 finer ones, before their sets are fetched.
 
 A candidate pair is estimated first: the likelihood of the numbers of greater, less and equal registers, jointly with both set sizes, gives
 the similarity; a pair is put aside only if a similarity of 0.75 is less likely than the best one by e^30. All others are confirmed on the
-full sets. Components come from contracting links again and again in tables; nothing of them goes to the driver.
+full sets. Components come from contracting links in tables, by identifier and then by hashes, so that a chain of any order loses about half
+of its vertices a round; once no more than a fixed number of links is left, one task finishes them. Nothing of them goes to the driver.
 
 Defined cases: with fewer than five words the whole sequence is one shingle; without words, or null, a document has no set, links with
 nothing and stays. Rows that share a doc_id are one document for linking. Rows without doc_id join their set's class only; a class
@@ -28,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, fresh
@@ -43,6 +47,8 @@ SKETCH = "doc_id long, n_shingles long, digest binary, registers binary"
 #: Further registers, of which a document that is still undecided keeps one bit each; and most bits in which a link differs: at 0.75, one in
 #: eight (256, deviation 15) differ, and five deviations more are too many.
 PARITIES, MOST_DIFFERENT = 2048, 331
+#: Links that one task joins into components, as 16 bytes each; more are contracted first.
+FINISH = 1 << 18
 _rng = np.random.default_rng(20210101)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -172,24 +178,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "s_a", "r_a", "s_b", "r_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(doc_id, component) for every end of links (a, b): the smallest end that it is linked with.
+def finished(edges: DataFrame) -> DataFrame:
+    """(v, to): every end of few links with the least end of its component, by one task."""
 
-    Each round gives every vertex the least of itself and its neighbours, and replaces both ends of links by these; the vertices left
-    at least halve. A vertex that is the least of its component keeps its place to the end.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent[v] != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(parent.setdefault(a, a)), root(parent.setdefault(b, b))
+                parent[max(x, y)] = min(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(v) for v in parent], pa.int64())], ["v", "to"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "v long, to long")
+
+
+def contractions(edges: DataFrame, ws: Workspace, name: str, finish: int = FINISH) -> list[DataFrame]:
+    """Tables (v, to), one a round: where each vertex that the rounds before have left goes.
+
+    Each vertex goes to the first one, in the round's order, of itself and its neighbours. The first round's order is the identifier's, as
+    most links are stars round a least one; later orders are hashes, another one every other round, so that no order of the input is bad.
     """
-    edges = ws.put(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges0")
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = ws.put(both(edges).select(F.col("a").alias("doc_id"), F.col("a").alias("component")).distinct(), f"{name}-of0")
-    n = 0
-    while not edges.isEmpty():
-        n += 1
-        to = ws.put(both(edges).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), f"{name}-to{n}")
-        moved = edges.join(to.select("a", F.col("to").alias("to_a")), "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b")
-        moved = moved.where("to_a <> to_b").select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct()
-        of = found.join(to.select(F.col("a").alias("component"), "to"), "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"))
-        edges, found = ws.put(moved, f"{name}-edges{n}"), ws.put(of, f"{name}-of{n}")
-    return found
+    out: list[DataFrame] = []
+    while left := edges.count():
+        n = len(out) + 1
+        if left <= finish:
+            return [*out, ws.put(finished(edges), f"{name}-to{n}")]
+        if n == 1:
+            to = both(edges).groupBy("a").agg(F.min("b").alias("first")).select(F.col("a").alias("v"), F.least("a", "first").alias("to"))
+        else:
+            place = lambda c: F.xxhash64(F.col(c), F.lit(n // 2))  # noqa: B023, E731
+            near = both(edges).groupBy("a").agg(F.min_by("b", place("b")).alias("first"), F.min(place("b")).alias("place"))
+            to = near.select(F.col("a").alias("v"), F.when(F.col("place") < place("a"), F.col("first")).otherwise(F.col("a")).alias("to"))
+        to = ws.put(to, f"{name}-to{n}")
+        moved = edges.join(to.select(F.col("v").alias("a"), F.col("to").alias("to_a")), "a").join(to.select(F.col("v").alias("b"), F.col("to").alias("to_b")), "b")
+        edges = ws.put(moved.where("to_a <> to_b").select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct(), f"{name}-edges{n}")
+        out.append(to)
+    return out
+
+
+def components(links: DataFrame, ws: Workspace, name: str, finish: int = FINISH) -> DataFrame:
+    """(doc_id, component) for every end of links (a, b): the smallest end that it is linked with."""
+    edges = ws.put(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges0")
+    rounds = contractions(edges, ws, name, finish)
+    if not rounds:
+        return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+    found = rounds[-1]
+    for n in range(len(rounds) - 2, -1, -1):  # each table is about half of the one before it
+        after = found.select(F.col("v").alias("to"), F.col("to").alias("end"))
+        found = ws.put(rounds[n].join(after, "to", "left").select("v", F.coalesce("end", "to").alias("to")), f"{name}-of{n}")
+    if len(rounds) > 1:  # hashes may have chosen which vertex stays
+        found = found.join(found.groupBy("to").agg(F.min("v").alias("least")), "to").select("v", F.col("least").alias("to"))
+    return ws.put(found.select(F.col("v").alias("doc_id"), F.col("to").alias("component")), f"{name}-of")
 
 
 def different_bits(a: Column, b: Column) -> Column:
@@ -205,8 +251,8 @@ def register_array(registers: Column) -> Column:
     return F.regexp_extract_all(F.hex(registers), F.lit("[0-9A-F]{4}"), F.lit(0))
 
 
-def unique_shingles(sets: DataFrame, ws: Workspace) -> DataFrame:
-    """(doc_id, n, shared): set sizes, and how many of a document's shingles also occur in another document of sets."""
+def each_shingle(sets: DataFrame) -> DataFrame:
+    """(shingle, doc_id): the sets, a row for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,8 +260,12 @@ def unique_shingles(sets: DataFrame, ws: Workspace) -> DataFrame:
                 values = np.frombuffer(shingles.as_buffer(), "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), doc_id.as_py()))], ["shingle", "doc_id"])
 
-    each = sets.select("doc_id", "shingles").mapInArrow(run, "shingle long, doc_id long")
-    alone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    return sets.select("doc_id", "shingles").mapInArrow(run, "shingle long, doc_id long")
+
+
+def unique_shingles(sets: DataFrame, ws: Workspace) -> DataFrame:
+    """(doc_id, n, shared): set sizes, and how many of a document's shingles also occur in another document of sets."""
+    alone = each_shingle(sets).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
     n = (F.octet_length("shingles") / 8).cast("long")
     sized = sets.select("doc_id", n.alias("n")).join(alone, "doc_id", "left")
     return ws.put(sized.select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")), "shared_shingles")
@@ -246,12 +296,42 @@ def open_members(members: DataFrame, linked: DataFrame, ws: Workspace, name: str
     return ws.put(placed.join(ws.put(still, f"{name}-bands"), "band", "left_semi"), f"{name}-members")
 
 
-def settle(members: DataFrame, sketched: DataFrame, sets: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+def prefix_keys(left: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
+    """(key, size, doc_id, component, n, shared) of documents left (doc_id, component, n, shared): the rarest shingles of each, in one order
+    for all, as many as any set that is similar enough must share one of; without those that no other document has. `size` is a class of set
+    sizes such that similar sets have one in common."""
+    each = each_shingle(sets.join(left.select("doc_id"), "doc_id", "left_semi"))
+    often = ws.put(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    counted = each.join(often, "shingle").join(left, "doc_id")
+    within = W.partitionBy("doc_id")
+    first = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    alone = F.col("n") - F.count(F.lit(1)).over(within)
+    kept = counted.withColumn("alone", alone).withColumn("place", F.row_number().over(within.orderBy("often", "shingle"))).where(F.col("place") <= first - F.col("alone"))
+    size = F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
+    keyed = ws.put(kept.select(F.col("shingle").alias("key"), F.explode(F.array(size, size + 1)).alias("size"), "doc_id", "component", "n", "shared"), "keys")
+    open_keys = keyed.groupBy("key", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
+    return ws.put(keyed.join(open_keys, ["key", "size"], "left_semi"), "open-keys")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
+    """Those of pairs (a, b) with enough equal registers and few enough different parities."""
+    of = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = sets.join(of, "doc_id", "left_semi")
+    sketched = ws.put(parity_table(held).join(held.select("doc_id", register_array(F.col("registers")).alias("regs")), "doc_id"), "finer")
+    side = lambda n: sketched.select(F.col("doc_id").alias(n), F.col("regs").alias(f"regs_{n}"), F.col("bits").alias(f"bits_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    enough = (equal_registers(F.col("regs_a"), F.col("regs_b")) >= LEAST_EQUAL) & (different_bits(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT)
+    return ws.put(both.where(enough).select("a", "b"), "alike")
+
+
+def settle(members: DataFrame, sets: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
     """links, with all that are missing between members of a band: first against the band's most central document, the one with the
     largest part of its shingles shared, then across what components are left."""
     left = open_members(members, components(links, ws, "stars"), ws, "first")
+    if left.isEmpty():
+        return links
     held = sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    sizes = unique_shingles(held, ws)
+    sizes = unique_shingles(held, ws).where(may_link(F.col("n"), F.col("shared"), F.ceil(F.col("n") * NUMERATOR / DENOMINATOR), F.col("shared")))
     left = ws.put(left.drop("component").join(sizes, "doc_id"), "sized")
 
     centre = ws.put(left.groupBy("band").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), F.bitwise_not("doc_id").alias("order"), "doc_id", "n", "shared")).alias("c")).select("band", "c.*"), "centres")
@@ -261,23 +341,15 @@ def settle(members: DataFrame, sketched: DataFrame, sets: DataFrame, links: Data
     links = links.unionByName(more)
 
     left = open_members(left, components(links, ws, "centres"), ws, "second")
-    counts = left.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = ws.put(counts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main")), "main")
-    sides = left.join(main, "band")
-    sides = sides.join(sketched.select("doc_id", "registers"), "doc_id").withColumn("regs", register_array(F.col("registers"))).drop("registers")
-    sides = sides.join(left.groupBy("doc_id").agg(F.collect_set("band").alias("bands")), "doc_id")  # 32 at most
-    sides = ws.put(sides.join(parity_table(sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id"), "sides")
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "component", "n", "shared", "bands", "regs", "bits")]
-    minor = sides.where("component <> main").select("band", *side("a"))
-    other = sides.select("band", *side("b"), (F.col("component") == F.col("main")).alias("in_main"))
-    met = (F.col("component_a") != F.col("component_b")) & (F.col("in_main") | (F.col("doc_id_a") < F.col("doc_id_b")))
-    met = met & may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b"))
-    met = met & (minor["band"] == F.array_min(F.array_intersect("bands_a", "bands_b")))  # a pair meets in its first common band only
-    met = met & (equal_registers(F.col("regs_a"), F.col("regs_b")) >= LEAST_EQUAL)
-    met = met & (different_bits(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT)
-    pairs = minor.join(other, (minor["band"] == other["band"]) & met)
-    pairs = ws.put(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "across")
-    return links.unionByName(ws.put(confirmed(pairs, sets), "across-links"))
+    if left.isEmpty():
+        return links
+    left = ws.put(left.select("doc_id", "component", "n", "shared").distinct(), "unsettled")
+    keys = prefix_keys(left, sets, ws)
+    side = lambda x: keys.select("key", "size", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n", "shared")))
+    met = side("a").join(side("b"), ["key", "size"]).where(F.col("doc_id_a") < F.col("doc_id_b")).where(F.col("component_a") != F.col("component_b"))
+    met = met.where(may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b"))).where(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
+    pairs = ws.put(met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "across")
+    return links.unionByName(ws.put(confirmed(alike(pairs, sets, ws), sets), "across-links"))
 
 
 def link_documents(documents: DataFrame, ws: Workspace) -> DataFrame:
@@ -299,9 +371,9 @@ def link_documents(documents: DataFrame, ws: Workspace) -> DataFrame:
     ws.sweep()
     links = ws.put(confirmed(stars, sets), "links")
     ws.sweep()
-    links = settle(shared.where("n > 2").select("band", "doc_id"), firsts, sets, links, ws)
+    links = settle(shared.where("n > 2").select("band", "doc_id"), sets, links, ws)
     of = components(links, ws, "all").select(F.col("doc_id").alias("class"), "component")
-    ws.drop("sets", "shared", "pivots", "first-placed", "first-members", "second-placed", "second-members", "sized", "sides")
+    ws.drop("sets", "shared", "pivots", "first-placed", "first-members", "second-placed", "second-members", "sized", "keys", "open-keys", "often", "finer")
     ws.sweep()
     out = members.join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

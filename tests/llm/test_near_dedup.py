@@ -112,6 +112,25 @@ def test_components(spark):
     assert {r.doc_id: r.component for r in got.collect()} == {v: root(v) for v in parent if v not in alone}
 
 
+@pytest.mark.parametrize("finish", [0, 40])
+def test_components_by_rounds_and_by_one_task(spark, finish):
+    """A chain in the order of its identifiers loses about half of its vertices a round."""
+    chain = spark.range(1000).selectExpr("id * 3 AS a", "id * 3 + 3 AS b").union(spark.createDataFrame([(90_000, k) for k in range(90_001, 90_050)], "a long, b long"))
+    ws = Workspace(spark, "t")
+    assert len(near_dedup.contractions(chain, ws, "r", finish)) <= 15
+    got = near_dedup.components(chain, ws, "c", finish)
+    assert {(r.doc_id, r.component) for r in got.collect()} == {(k * 3, 0) for k in range(1001)} | {(k, 90_000) for k in range(90_000, 90_050)}
+
+
+def test_a_band_of_many_groups(spark, documents, words, rng):
+    """Half of every text is one passage: its bands hold all groups at once, and the groups differ in the other half."""
+    shared, rows = words(120), []
+    for g in range(25):
+        base = words(110)
+        rows += [(g * 100 + k, " ".join(shared) + " " + edited(words, rng, base, 5)) for k in range(4)]
+    check(spark, documents, rows)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 2**64, 3000, dtype=np.uint64)
