@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +23,14 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's spark.checkpoint.dir names it.
 
-    Only where a session has none (tests on one machine), a temporary folder is set.
+    Only where a session has none and runs on one machine alone, as in tests, a temporary folder is set. On a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="storyline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -81,6 +85,41 @@ class Workspace:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Sieve:
+    """A bitmap of bounded size that keys pass which are in a table, and by chance a few others: about one in seventy as long as the table
+    has no more than MOST / 16 keys, more beyond that. It takes rows out of a scan that a join needn't see; the join still decides."""
+
+    MOST = 1 << 28
+
+    def __init__(self, spark: SparkSession, words: np.ndarray):
+        self.spark, self.words = spark, spark.sparkContext.broadcast(words)
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Sieve:
+        """Of the hashes in keys' column `key`. At most MOST / 64 rows of 16 bytes come to the driver."""
+        bits = 1 << min(cls.MOST.bit_length() - 1, max(10, (16 * keys.count()).bit_length()))
+        at = F.explode(F.array(*(F.pmod(k, F.lit(bits)) for k in (F.col("key"), F.shiftright("key", 32)))))
+        words = np.zeros(bits // 64, np.uint64)
+        found = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
+        words[np.asarray(found["word"])] = np.asarray(found["set"]).view(np.uint64)
+        return cls(keys.sparkSession, words)
+
+    def passes(self, key: Column) -> Column:
+        held = self.words
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            words = held.value
+            for batch in batches:
+                k, out = np.asarray(batch), None
+                for h in (k, k >> 32):
+                    at = h.view(np.uint64) & np.uint64(len(words) * 64 - 1)
+                    found = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+                    out = found if out is None else out & found
+                yield pa.array(out.astype(bool))
+
+        return F.arrow_udf(run, T.BooleanType())(key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -73,6 +73,27 @@ def _kept(rows):
     return out
 
 
+def test_clashing_names(spark, documents, tables):
+    """Columns may have the names that locators and decisions have."""
+    docs = documents(ROWS, extra=True).selectExpr("*", "'f' AS __file", "1 AS __row", "2 AS drop_file", "'m' AS _metadata", "'k' AS keep_id")
+    folder = tables(documents=docs.coalesce(1))
+    for some in (spark.read.parquet(f"{folder}/documents.parquet"), docs):
+        got = exact_dedup.drop_copies(spark, some)
+        assert got.columns == docs.columns and got.count() == sum(_kept(ROWS))
+        assert exact_dedup.dedup_documents(spark, some).count() == len(ROWS)
+
+
+def test_many_files_come_in_several_batches(spark, documents, tables):
+    """One text that half of all rows share, over many files, and the state is met again."""
+    rows = [(k, "the same" if k % 2 else f"text {k % 50}") for k in range(400)]
+    folder = tables(documents=documents(rows).repartition(7))
+    ws = Workspace(spark, "t")
+    rows_at = exact_dedup.located(spark.read.parquet(f"{folder}/documents.parquet"), ws)
+    got = exact_dedup.assign(rows_at, ws).select("doc_id", "keep_id", "group_size", "kept", "digest").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == expected(rows)
+    assert spark.read.parquet(ws.path("states")).select("of").distinct().count() >= exact_dedup.BATCHES
+
+
 def test_empty(spark, documents):
     assert exact_dedup.dedup_documents(spark, documents(ROWS).limit(0)).count() == 0
     assert exact_dedup.drop_copies(spark, documents(ROWS).limit(0)).count() == 0
