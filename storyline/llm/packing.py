@@ -1,19 +1,21 @@
 """Best-fit packing of documents into sequences of at most 1024 tokens.
 
 Token ids come from the tokenizer file. Only documents longer than a sequence are cut, into full sequences after a shorter first piece. Every
-other piece goes online into the open sequence where it fits best: open sequences hang under their free space, and a bitset of the free
-spaces in use gives the tightest fit in one shift. The number of open sequences is fixed; when a new one is needed beyond it, the fullest
-closes. Pieces are narrow rows (no text, no ids), dealt by a hash into parts of about `part_rows`, each packed by one task in the order of a
-hash; a part's last open sequences are all that a larger part would save. As many pieces as there may be open sequences are held back at a
-time and go in from the longest on, which leaves under a thousandth of the space empty, against a fiftieth in the order that they come in.
-Order and parts depend on the rows alone, so retries agree.
-
-tiktoken encodes with the vocabulary of the same tokenizer file, several times faster than tokenizers does with equal ids. That is tested,
-not trusted: a worker takes this way only if the file's merges are in the order of its ids, and compares the first text of every batch
-with tokenizers, which does all the rest from the first difference on.
-
-Defined cases: null and empty texts are one piece of one token (the end). Strings like "<|endoftext|>" in a text are ordinary text. A null
-doc_id stays null. Repeated rows are each packed. Very long texts are encoded whole. An empty table gives no rows. Other columns are ignored.
+piece goes, when it comes and for good, into the open sequence where it fits best: open sequences hang under their free space, and a bitset
+of the free spaces in use gives the tightest fit in one shift. The number of open sequences is fixed; when a new one is needed beyond it,
+the fullest closes. Pieces are narrow rows (no text, no ids), dealt by a hash into parts of about `part_rows`, each packed by one task; a
+part's last open sequences are all that a larger part would save. A part's pieces come from the longest on, which leaves under a thousandth
+of the space empty, or in the order of a hash (`longest_first` false), which leaves about a hundredth. Order and parts depend on the rows
+alone, so retries agree.
+
+Ids are those of tokenizers. tiktoken has them several times faster, by the vocabulary of the same file, and is used where that is shown and
+not trusted: the file's model must be plain byte-level BPE with merges in the order of its ids, so that texts can only differ in how their
+characters are classed; a worker compares both encoders on every character that it meets for the first time, next to a letter, a digit, a
+sign and a space, before the text's ids are used, and on the first text of every batch. Texts with a character that differs, and texts that
+hold the string of a special token, go through tokenizers; so does everything from a batch's first difference on, that batch included.
+
+Defined cases: null and empty texts are one piece of one token (the end). The string of a special token, like "<|endoftext|>", is that token
+in a text, as tokenizers has it; with `special_as_text` it is ordinary text. A null doc_id stays null. Repeated rows are each packed. Very long texts are encoded whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,20 +48,34 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of a text by a byte-level BPE file of tokenizers."""
 
-    cache: dict[str, Encoder] = {}
+    cache: dict[tuple[str, bool], Encoder] = {}
+    #: What a character is put next to, so that its class shows.
+    BESIDE = ("a{0}a", "1{0}1", "!{0}!", " {0} ", "{0}{0}", "'{0}")
 
     @classmethod
-    def of(cls, name: str) -> Encoder:
-        if name not in cls.cache:
-            cls.cache[name] = cls(tokenizer_path(name))
-        return cls.cache[name]
+    def of(cls, name: str, special_as_text: bool = False) -> Encoder:
+        key = (name, special_as_text)
+        if key not in cls.cache:
+            cls.cache[key] = cls(tokenizer_path(name), special_as_text)
+        return cls.cache[key]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = self.same_ranks(json.load(open(path, encoding="utf-8"))["model"])
+        self.slow.encode_special_tokens = special_as_text
+        file = json.load(open(path, encoding="utf-8"))
+        self.fast = self.same_ranks(file["model"]) if self.plain(file) else None
+        self.special = [] if special_as_text else [t["content"] for t in file.get("added_tokens") or []]
+        self.compared: set[str] = set()
+        self.different: set[str] = set()
+
+    @staticmethod
+    def plain(file: dict) -> bool:
+        """Whether the file does nothing but cut texts by the usual pattern and merge bytes by rank."""
+        model, before = file["model"], file.get("pre_tokenizer") or {}
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+        return model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in options) and not file.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
 
     @staticmethod
     def same_ranks(model: dict):
@@ -78,13 +94,29 @@ class Encoder:
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(ids) and all(c in letters for c in token)}
         return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str) -> np.ndarray:
-        if self.fast is None:
-            return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    def slowly(self, text: str) -> np.ndarray:
+        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def quickly(self, text: str) -> np.ndarray:
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
+    def alike(self, text: str) -> bool:
+        """Whether both encoders class all characters of a text alike."""
+        characters = set(text)
+        new = characters - self.compared
+        for c in new:
+            if any(not np.array_equal(self.quickly(t), self.slowly(t)) for t in (b.format(c) for b in self.BESIDE)):
+                self.different.add(c)
+        self.compared |= new
+        return not self.different or self.different.isdisjoint(characters)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special) or not self.alike(text):
+            return self.slowly(text)
+        return self.quickly(text)
+
     def test(self, text: str) -> None:
-        if self.fast is not None and self.slow.encode(text, add_special_tokens=False).ids != self.ids(text).tolist():
+        if self.fast is not None and not np.array_equal(self.slowly(text), self.ids(text)):
             self.fast = None
 
 
@@ -93,9 +125,9 @@ def cut(n: int, length: int = LENGTH) -> list[int]:
     return list(range(n % length or length, n + 1, length))
 
 
-def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end: int = END) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end: int = END, special_as_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, special_as_text)
         for batch in batches:
             docs, texts, out = batch.column(0).to_pylist(), batch.column(1), ([], [], [], [], [])
             for k, doc_id in enumerate(docs):
@@ -149,38 +181,26 @@ class BestFit:
         return found, self.capacity - space
 
 
-def pack(table: DataFrame, rows: int, length: int = LENGTH, open_bins: int = OPEN_BINS, part_rows: int = PART_ROWS) -> DataFrame:
+def pack(table: DataFrame, rows: int, length: int = LENGTH, open_bins: int = OPEN_BINS, part_rows: int = PART_ROWS, longest_first: bool = True) -> DataFrame:
     """table (a written table of pieces, with its number of rows) with sequence_id and offset."""
     parts = partitions_for(rows, part_rows)
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = table.repartition(parts, order).sortWithinPartitions(order, "doc_id", "piece", "start", "length", "ids_crc32").withColumn("part", F.spark_partition_id().cast("long"))
+    arrival = [F.desc("length")] if longest_first else []
+    dealt = table.repartition(parts, order).sortWithinPartitions(*arrival, order, "doc_id", "piece", "start", "length", "ids_crc32").withColumn("part", F.spark_partition_id().cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(length, open_bins)
-
-        def placed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            sizes = np.asarray(rows.column(3))
-            sequence, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-            for k in np.argsort(-sizes, kind="stable").tolist():
-                sequence[k], offset[k] = bins.place(int(sizes[k]))
-            sequence += np.asarray(rows.column(5)) << 36
-            return pa.RecordBatch.from_arrays([*rows.columns[:5], pa.array(sequence), pa.array(offset)], [*rows.schema.names[:5], "sequence_id", "offset"])
-
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held += [batch] if batch.num_rows else []
-            if sum(b.num_rows for b in held) >= open_bins:
-                yield placed(held)
-                held = []
-        if held:
-            yield placed(held)
+            places = [bins.place(n) for n in batch.column(3).to_pylist()]
+            sequence, offset = np.array(places, np.int64).reshape(-1, 2).T
+            sequence = sequence + (np.asarray(batch.column(5)) << 36)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
     return dealt.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(spark: SparkSession, documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_documents(spark: SparkSession, documents: DataFrame, tokenizer: str = TOKENIZER, longest_first: bool = True, special_as_text: bool = False) -> DataFrame:
     """Where every piece of every document lies."""
     ws = Workspace(spark, "packing")
-    table = ws.put(pieces(documents, tokenizer), "pieces")
-    return pack(table, table.count())
+    table = ws.put(pieces(documents, tokenizer, special_as_text=special_as_text), "pieces")
+    return pack(table, table.count(), longest_first=longest_first)

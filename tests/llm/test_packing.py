@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -85,8 +86,51 @@ def test_fast_and_slow_ids_agree():
     assert fast == [slow.ids(t or "").tolist() for t in TEXTS]
 
 
-def test_special_strings_are_text():
-    assert 50256 not in packing.Encoder.of(packing.TOKENIZER).ids("a <|endoftext|> b").tolist()
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y " * 300, "<|endoftext", "<|ENDOFTEXT|>"]
+
+
+def test_special_strings_are_tokens_as_tokenizers_has_them(reference):
+    got = packing.Encoder.of(packing.TOKENIZER)
+    assert got.ids(SPECIAL[0]).tolist() == [64, 220, 50256, 275]
+    assert all(got.ids(t).tolist() == reference.encode(t, add_special_tokens=False).ids for t in SPECIAL)
+
+
+def test_special_strings_may_be_text():
+    assert 50256 not in packing.Encoder.of(packing.TOKENIZER, special_as_text=True).ids(SPECIAL[0]).tolist()
+
+
+def test_all_texts_of_a_table_and_odd_ones(spark, documents, reference, tables):
+    """Every piece of the smallest table, and of texts of special strings and of unusual characters, is that of tokenizers."""
+    odd = ["".join(chr(c) for c in range(a, a + 300) if not 0xD800 <= c < 0xE000) for a in range(0x80, 0x20000, 1999)] + ["\u1885 \U000323af \x85 \u2028a\u3000b", "ab\u0301c\u200d\ufe0f"]
+    rows = [(k, t) for k, t in enumerate(SPECIAL + odd)]
+    sf = Path("/root/testdata/sf0.001/documents.parquet")
+    if sf.exists():
+        rows += [(r.doc_id + 10_000, r.text) for r in spark.read.parquet(str(sf)).select("doc_id", "text").collect()]
+    want = set()
+    for doc_id, text in rows:
+        ids = np.array([*reference.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        ends = packing.cut(len(ids))
+        want |= {(doc_id, i, a, z - a, zlib.crc32(ids[a:z].tobytes())) for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False))}
+    assert {tuple(r)[:5] for r in packing.pack_documents(spark, documents(rows)).collect()} == want
+
+
+def test_a_character_that_differs_goes_the_slow_way(reference):
+    encoder = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER))
+    quickly, calls = encoder.quickly, []
+    encoder.quickly = lambda t: np.append(quickly(t), np.uint32(7)) if "ж" in t else (calls.append(t), quickly(t))[1]
+    for text in ("plain words", "with a ж in it", "plain again"):
+        assert encoder.ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert encoder.different == {"ж"} and "plain again" in calls and "with a ж in it" not in calls
+
+
+@pytest.mark.parametrize("longest_first", [True, False])
+def test_pieces_go_in_as_they_come(spark, documents, words, rng, longest_first):
+    """The packing of a part is that of one online best fit over its rows in order."""
+    docs = documents([(k, " ".join(words(rng.randint(1, 400)))) for k in range(80)])
+    rows = packing.pack_documents(spark, docs, longest_first=longest_first).collect()
+    bins = packing.BestFit(packing.LENGTH, packing.OPEN_BINS)
+    assert [(r.sequence_id, r.offset) for r in rows] == [bins.place(r.length) for r in rows]
+    assert (sorted((r.length for r in rows), reverse=True) == [r.length for r in rows]) == longest_first
 
 
 def test_empty(spark, documents):
