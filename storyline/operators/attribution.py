@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,16 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.folds import context_windows
 from ..functions.text import approx_tokens
+from ..providers import PromptTooLong
 from .cast import Character, resolver
 
 ANSWERS = "struct<speakers:array<struct<quote_id:int,speaker:string,confidence:double,style:string>>>"
 LINE = ["id", "chapter", "para", "kind", "speaker", "text", "lang", "style", "confidence", "locked"]
 
 
-class PromptTooLong(ValueError):
-    """A request's fixed part or its text is beyond what the model takes."""
-
-
 def prompt_budget(num_ctx: int = 16384) -> int:
     return num_ctx - fixed.OUTPUT_RESERVE
 
@@ -33,6 +31,12 @@ def window_budget(overhead: int, num_ctx: int = 16384) -> int:
     return left
 
 
+def tokens_of(text: str) -> int:
+    """approx_tokens of a text that isn't in a column."""
+    other = len(re.sub(fixed.CJK, "", text))
+    return len(text) - other - (-other // 3)
+
+
 def over_budget(prompts: DataFrame, num_ctx: int = 16384) -> DataFrame:
     """Prompts (system, prompt) that must not be sent."""
     need = approx_tokens(F.coalesce("system", F.lit(""))) + approx_tokens(F.col("prompt"))

@@ -145,7 +145,8 @@ def span_rows(chapters: DataFrame, cast: Sequence[Character], lang: str = "en")
 
 
 def numbered(said: Column) -> Column:
-    """Spans of a chapter in order, with numbers from 1 for its quotes."""
-    quotes = F.filter(F.transform(said, lambda s, i: F.when(s["kind"] == "dialogue", i)), lambda i: i.isNotNull())
+    """Spans of a chapter, with numbers from 1 for its quotes in order: the quotes first, then the narration, as rows have their places."""
     fields = ("para", "span", "open_end", "kind", "text", "speaker", "confidence")
-    return F.transform(said, lambda s, i: F.struct(*(s[f].alias(f) for f in fields), F.nullif(F.array_position(quotes, i).cast("int"), F.lit(0)).alias("quote_id")))
+    given = lambda s, number: F.struct(*(s[f].alias(f) for f in fields), number.cast("int").alias("quote_id"))
+    quotes = F.transform(F.filter(said, lambda s: s["kind"] == "dialogue"), lambda s, i: given(s, i + 1))
+    return F.concat(quotes, F.transform(F.filter(said, lambda s: s["kind"] != "dialogue"), lambda s: given(s, F.lit(None))))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.folds import pack_groups
+from ..functions.folds import greedy_runs
 from ..functions.hashing import params_json, render_key
 from ..functions.text import chunks, sequence_cost
 
@@ -68,15 +69,20 @@ def batch_size(configured: int | None, default: int, batched: bool) -> int:
 
 def batches(jobs: DataFrame, size: int, tokens: int = 8000, lang: str = "en") -> DataFrame:
     """(voice, params, batch, place, id, chunk_idx, chunk): chunks of one voice and parameters, shortest first, cut at `size` chunks or
-    where their cost passes `tokens` (0: no limit). An array fold per voice needs only costs, not texts."""
+    where their cost passes `tokens` (0: no limit).
+
+    A chunk's cost follows from its length, so the cuts of a voice follow from how many chunks it has of each length: only these counts meet in
+    one row, and a chunk's batch is arithmetic on its rank among those of its length. No voice's chunks are ever held or sorted together.
+    """
     items = jobs.where(F.col("chunks").isNotNull()).select("voice", "params", "id", F.posexplode("chunks").alias("chunk_idx", "chunk"))
-    items = items.withColumn("cost", sequence_cost(F.col("chunk"), lang))
-    order = F.struct(F.length("chunk").alias("chars"), "id", "chunk_idx", "cost")
-    groups = items.groupBy("voice", "params").agg(F.array_sort(F.collect_list(order)).alias("all"))
-    groups = groups.withColumn("of", pack_groups(F.transform("all", lambda x: x["cost"]), tokens or NO_LIMIT, 0, size))
-    placed = groups.select("voice", "params", F.posexplode(F.arrays_zip("all", "of")).alias("place", "x"))
-    placed = placed.select("voice", "params", F.col("x.of").alias("batch"), "place", F.col("x.all.id").alias("id"), F.col("x.all.chunk_idx").alias("chunk_idx"))
-    return placed.join(items.select("id", "chunk_idx", "chunk", "cost"), ["id", "chunk_idx"])
+    items = items.withColumn("chars", F.length("chunk")).withColumn("cost", sequence_cost(F.col("chunk"), lang))
+    counts = items.groupBy("voice", "params", "chars").agg(F.first("cost").alias("cost"), F.count(F.lit(1)).alias("n"))
+    lengths = counts.groupBy("voice", "params").agg(F.array_sort(F.collect_list(F.struct("chars", "cost", "n"))).alias("lengths"))
+    cuts = lengths.select("voice", "params", F.explode(greedy_runs(F.col("lengths"), size, tokens or NO_LIMIT)).alias("c")).select("voice", "params", "c.*")
+    rank = F.row_number().over(W.partitionBy("voice", "params", "chars").orderBy("id", "chunk_idx")).cast("long") - 1
+    placed = items.withColumn("rank", rank).join(cuts, ["voice", "params", "chars"])
+    batch = F.when(F.col("rank") < F.col("room"), F.col("group")).otherwise(F.col("group") + 1 + F.floor((F.col("rank") - F.col("room")) / F.col("per")))
+    return placed.select("id", "chunk_idx", "voice", "params", batch.alias("batch"), (F.col("before") + F.col("rank")).alias("place"), "chunk", "cost")
 
 
 def reassembled(pieces: DataFrame) -> DataFrame:

@@ -26,6 +26,18 @@ def attribute_inputs(title: Column, paragraphs: Column, lang: str, cast: str, st
     return inputs(chapter=content_hash(title, json_array(paragraphs)), language=lang, cast=cast, styles=",".join(styles))
 
 
+def normalize_inputs(chapters: Column, lang: str, overrides: str, rules: int = 2) -> Column:
+    return inputs(chapters=chapters, language=lang, overrides=overrides, rules=str(rules))
+
+
+def verify_inputs(render_hash: Column, transcriber: str, threshold: float) -> Column:
+    return inputs(render=render_hash, transcriber=transcriber, threshold=str(threshold))
+
+
+def build_inputs(render_hash: Column, pauses: str) -> Column:
+    return inputs(render=render_hash, pauses=pauses)
+
+
 def render_inputs(lines_hash: Column, backend: str, voices: Column, params: str) -> Column:
     return inputs(lines=lines_hash, backend=backend, voices=content_hash(json_map(voices)), params=params)
 
@@ -64,6 +76,14 @@ def chapter_grid(chapters: DataFrame, states: DataFrame) -> DataFrame:
     return chapters.join(pivot, "chapter", "left").na.fill("missing", STAGES)
 
 
+def progress(lines: DataFrame, state: DataFrame, inventory: DataFrame, results: DataFrame) -> DataFrame:
+    """(chapter, lines, rendered, verified): how many lines a chapter has, and how many of them have audio that is there, and a result."""
+    there = state.where(F.col("audio").isNotNull()).join(inventory.select("audio").distinct(), "audio", "left_semi").select("id", F.lit(1).alias("done"))
+    heard = results.select("id", F.lit(1).alias("heard")).distinct()
+    rows = lines.select("chapter", "id").join(there, "id", "left").join(heard, "id", "left")
+    return rows.groupBy("chapter").agg(F.count(F.lit(1)).alias("lines"), F.count("done").alias("rendered"), F.count("heard").alias("verified"))
+
+
 def stage_status(states: DataFrame) -> DataFrame:
     """(stage, status, detail, reasons) over all chapters of each stage."""
     state = state_of(F.col("reasons"))
@@ -152,8 +172,9 @@ def report(title: str, stages: DataFrame, grid: DataFrame, lines: DataFrame, fai
     """A book's status as Markdown. The tables are a book's stages, chapters and speakers; all lines to look at are listed, a partition at a time."""
     out = [f"# {title}", "", "| stage | status | detail | reasons |", "|---|---|---|---|"]
     out += [f"| {r['stage']} | {r['status']} | {r['detail']} | {r['reasons']} |" for r in stages.collect()]
-    out += ["", "| chapter | " + " | ".join(STAGES) + " |", "|---" * (len(STAGES) + 1) + "|"]
-    out += [f"| {r['chapter']} | " + " | ".join(r[s] for s in STAGES) + " |" for r in grid.orderBy("chapter").collect()]
+    counts = [c for c in ("lines", "rendered", "verified") if c in grid.columns]
+    out += ["", "| chapter | " + " | ".join([*STAGES, *counts]) + " |", "|---" * (len(STAGES) + len(counts) + 1) + "|"]
+    out += [f"| {r['chapter']} | " + " | ".join([*(r[s] for s in STAGES), *(str(r[c]) for c in counts)]) + " |" for r in grid.orderBy("chapter").collect()]
     out += ["", "## Speakers", ""] + [f"- {r['speaker']}: {r['lines']}" for r in speakers(lines).collect()]
     doubtful = lines.where((F.col("kind") == "dialogue") & (F.col("confidence") < fixed.RULES)).orderBy("id")
     out += ["", "## To review", ""] + [f"- `{r['id']}` {r['speaker']} ({r['confidence']:.2f}): {r['text'][:100]}" for r in doubtful.toLocalIterator()]

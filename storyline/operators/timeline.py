@@ -29,18 +29,19 @@ def markers(chapters: DataFrame) -> DataFrame:
     """chapters (book, chapter, title, duration) with start_ms and end_ms, one book's chapters after each other."""
     end = F.sum("duration").over(W.partitionBy("book").orderBy("chapter").rowsBetween(W.unboundedPreceding, 0))
     start = F.coalesce(F.sum("duration").over(W.partitionBy("book").orderBy("chapter").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return chapters.withColumn("start_ms", F.floor(start * 1000).cast("long")).withColumn("end_ms", F.floor(end * 1000).cast("long"))
+    whole = lambda seconds: F.floor(F.round(seconds * 1000, 3)).cast("long")  # noqa: E731  a sum a hair under a millisecond is that millisecond
+    return chapters.withColumn("start_ms", whole(start)).withColumn("end_ms", whole(end))
 
 
 def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([=;#\\\n])", r"\\$1")
 
 
-def metadata(markers: DataFrame) -> DataFrame:
+def metadata(markers: DataFrame, genre: str = "Speech") -> DataFrame:
     """(book, metadata): the chapter metadata file of each book; markers has book, author, chapter, title, start_ms, end_ms."""
     one = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), F.col("start_ms").cast("string"), F.lit("\nEND="), F.col("end_ms").cast("string"), F.lit("\ntitle="), escaped(F.col("title")), F.lit("\n"))
     all_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", one.alias("t")))), lambda x: x["t"]), "\n")
-    head = F.concat(F.lit(";FFMETADATA1\ntitle="), escaped(F.col("book")), F.lit("\nartist="), escaped(F.col("author")), F.lit("\nalbum="), escaped(F.col("book")), F.lit("\ngenre=Audiobook\n\n"))
+    head = F.concat(F.lit(";FFMETADATA1\ntitle="), escaped(F.col("book")), F.lit("\nartist="), escaped(F.col("author")), F.lit("\nalbum="), escaped(F.col("book")), F.lit("\ngenre="), escaped(F.lit(genre)), F.lit("\n\n"))
     return markers.groupBy("book", "author").agg(all_of.alias("body")).select("book", F.concat(head, F.col("body")).alias("metadata"))
 
 

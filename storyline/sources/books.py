@@ -26,6 +26,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, from whatever file system has it; None if there is none."""
+    if not exists(spark, path):
+        return None
+    return "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file. The new one is complete before the old one goes."""
+    jvm = spark._jvm
+    to, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.delete(to, False)
+    fs.rename(new, to)
+
+
+def file_hashes(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Content hashes (24 hexadecimal digits of the SHA-256 of their bytes) of those files that there are; a clip's identity."""
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return {}
+    rows = spark.read.format("binaryFile").load(there).select("path", F.substring(F.sha2("content", 256), 1, 24).alias("hash")).collect()
+    plain = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath()
+    found = {plain(r["path"]): r["hash"] for r in rows}
+    return {p: found[plain(p)] for p in there}
+
+
 def locate_source(spark: SparkSession, root: str) -> str:
     """A markdown source comes before a plain one."""
     for name in ("source.md", "source.txt"):
@@ -107,9 +137,9 @@ def write_cast(cast: DataFrame, path: str, force: bool = False) -> None:
     cast.write.mode("overwrite" if force else "errorifexists").json(path)
 
 
-def read_config(path: str) -> dict:
-    """A configuration file: JSON, or YAML where a YAML library is installed."""
-    text = Path(path).read_text(encoding="utf-8")
+def read_config(path: str, text: str | None = None) -> dict:
+    """A configuration file (or its text, if that was read already): JSON, or YAML where a YAML library is installed."""
+    text = Path(path).read_text(encoding="utf-8") if text is None else text
     if path.endswith(".json"):
         return json.loads(text)
     try:
@@ -137,6 +167,12 @@ def scaffold(spark: SparkSession, source: str, root: str, title: str | None = No
     to.mkdir(parents=True, exist_ok=True)
     name = "source.md" if source.endswith(".md") else "source.txt"
     (to / name).write_bytes(Path(source).read_bytes())
-    config = {"title": title or re.sub(r"[-_]+", " ", to.name).title(), "language": "en", "voices": {}}
+    text = (to / name).read_text(encoding="utf-8")
+    lang = "zh" if len(re.findall("[一-鿿]", text)) > len(text) // 10 else "en"
+    config = {
+        "_": "voices: role to voice of the speech provider; narrator and _default, then names of cast.json, or name@style",
+        "title": title or re.sub(r"[-_]+", " ", to.name).title(), "author": "", "language": lang, "genre": "Speech", "chapter_regex": None, "styles": [], "voices": {},
+        "tts": {"backend": "tone", "params": {}}, "pauses": {}, "llm": {"provider": "tagged", "num_ctx": 16384}, "verify": {"provider": "deaf", "threshold": 0.15, "max_attempts": 3},
+    }
     (to / "book.json").write_text(json.dumps(config, ensure_ascii=False, indent=1), encoding="utf-8")
     return config

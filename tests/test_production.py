@@ -145,7 +145,7 @@ def test_timeline(spark):
     chapters = timeline.chapter_durations(rows).withColumn("book", F.lit("B=1")).withColumn("title", F.lit("T;#")).withColumn("author", F.lit("A"))
     marked = timeline.markers(chapters.withColumn("duration", F.col("duration").cast("decimal(9,3)").cast("double") + 0.0001))
     assert [(r.start_ms, r.end_ms) for r in marked.orderBy("chapter").collect()] == [(0, 7900), (7900, 13000)]
-    assert timeline.metadata(marked).first().metadata.startswith(";FFMETADATA1\ntitle=B\\=1\nartist=A\nalbum=B\\=1\ngenre=Audiobook\n\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=0\nEND=7900\ntitle=T\\;\\#\n")
+    assert timeline.metadata(marked).first().metadata.startswith(";FFMETADATA1\ntitle=B\\=1\nartist=A\nalbum=B\\=1\ngenre=Speech\n\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=0\nEND=7900\ntitle=T\\;\\#\n")
     files = spark.createDataFrame([("b", 1, "/y"), ("b", 0, "/x")], "book string, chapter int, path string")
     assert timeline.concat_list(files).first()["list"] == "file '/x'\nfile '/y'\n"
     done = spark.createDataFrame([("b", True, True), ("b", True, False), ("c", True, True)], "book string, ready boolean, fresh boolean")
