@@ -13,7 +13,7 @@ from ..functions import fixed
 from ..functions.folds import context_windows
 from ..operators import attribution, dialogue
 from ..operators import cast as c
-from .registry import query, table
+from .registry import ORACLES, QUERIES, query, table
 
 CAST = [c.Character("User", ["the user", "USER."]), c.Character("Assistant", ["assist-ant"]), c.Character("System")]
 
@@ -172,26 +172,52 @@ def cast_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.select("name", "lines", "mentions", F.size("chapters").alias("chapters"), "rank", "main")
 
 
-@query("""
-WITH e AS (SELECT CAST(conv_id AS INTEGER) AS chapter, turn, trim(role) AS name, substr(coalesce(text, ''), 1, 1) AS alias, substr(coalesce(text, ''), 1, 20) AS description FROM conversations)
-SELECT chapter, name, array_to_string(list_sort(list_distinct(list_filter(list(trim(alias)), lambda x: x <> '' AND x <> name))), ',') AS aliases, regexp_replace(arg_min(description, turn), '^\\s+|\\s+$', '', 'g') AS description
-FROM e GROUP BY chapter, name
-""")
-def discovered_entries(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    found = table(spark, sf, "conversations").select(F.col("conv_id").cast("int").alias("chapter"), F.col("turn").alias("pos"), F.concat(F.lit(" "), "role").alias("name"), F.array(F.substring(text, 1, 1)).alias("aliases"), F.substring(text, 1, 20).alias("description"))
-    return c.dedupe_entries(found).select("chapter", "name", F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "description")
-
-
-#: The same with whole turns as descriptions and all their words as aliases.
-@query("""
+#: Whole turns are descriptions, and all their words aliases.
+ENTRIES = """
 WITH e AS (SELECT CAST(conv_id AS INTEGER) AS chapter, turn, trim(role) AS name, coalesce(text, '') AS t FROM conversations),
 d AS (SELECT chapter, name, regexp_replace(arg_min(t, turn), '^\\s+|\\s+$', '', 'g') AS description FROM e GROUP BY chapter, name),
 a AS (SELECT DISTINCT chapter, name, unnest(string_split(t, ' ')) AS alias FROM e),
 g AS (SELECT chapter, name, string_agg(alias, ',' ORDER BY encode(alias)) AS aliases FROM (SELECT DISTINCT chapter, name, trim(alias) AS alias FROM a) WHERE alias <> '' AND alias <> name GROUP BY chapter, name)
 SELECT d.chapter, d.name, coalesce(g.aliases, '') AS aliases, d.description FROM d LEFT JOIN g ON g.chapter = d.chapter AND g.name = d.name
-""")
-def whole_entries(spark: SparkSession, sf: str) -> DataFrame:
+"""
+
+
+@query(ENTRIES)
+def discovered_entries(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     found = table(spark, sf, "conversations").select(F.col("conv_id").cast("int").alias("chapter"), F.col("turn").alias("pos"), F.concat(F.lit(" "), "role").alias("name"), F.split(text, " ", -1).alias("aliases"), text.alias("description"))
     return c.dedupe_entries(found).select("chapter", "name", F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "description")
+
+
+#: The name that it had when discovered_entries still cut turns.
+QUERIES["whole_entries"], ORACLES["whole_entries"] = discovered_entries, ENTRIES
+
+
+#: Each turn in one of four forms: a quote split by its tag; a tag before the quote; a quote left open that the next paragraph goes on with,
+#: which has a tag; and one whose next paragraph has none, so that its speaker goes on. What the rules must find is stated form by form.
+TAG, BEFORE = "said User, who was smiling at all of us in the room.", "Assistant said:"
+FORMS = [
+    (['"{x}," ' + TAG + ' "And {x}."'], [(0, 0, "dialogue", "", ",", "User", 0.95), (0, 1, "narration", TAG, "", "narrator", 1.0), (0, 2, "dialogue", "And ", ".", "User", 0.9)]),
+    ([BEFORE + ' "{x}."'], [(0, 0, "narration", BEFORE, "", "narrator", 1.0), (0, 1, "dialogue", "", ".", "Assistant", 0.95)]),
+    (['"{x}.', '"And {x}." said System.'], [(0, 0, "dialogue", "", ".", None, 0.0), (1, 0, "dialogue", "And ", ".", "System", 0.95), (1, 1, "narration", "said System.", "", "narrator", 1.0)]),
+    (['"{x}," ' + TAG + ' "And {x}.', '"Then {x}."'], [(0, 0, "dialogue", "", ",", "User", 0.95), (0, 1, "narration", TAG, "", "narrator", 1.0), (0, 2, "dialogue", "And ", ".", "User", 0.9), (1, 0, "dialogue", "Then ", ".", "User", 0.85)]),
+]
+_FOUND = ", ".join(f"({k}, {p}, {i}, '{kind}', '{before}', '{after}', {'NULL' if who is None else repr(who)}, {sure}::DOUBLE, {sum(x[2] == 'dialogue' for x in spans[: n + 1])})" for k, (_, spans) in enumerate(FORMS) for n, (p, i, kind, before, after, who, sure) in enumerate(spans))
+_PARAS, _QUOTES = ([f(x) for x in FORMS] for f in (lambda x: len(x[0]), lambda x: sum(s[2] == "dialogue" for s in x[1])))
+
+
+@query(rf"""
+WITH c AS (SELECT CAST(conv_id AS INTEGER) AS chapter, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, 'Listen, ' || trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g')) || ' now' AS x FROM conversations),
+b AS (SELECT *, k % 4 AS form, sum(({_PARAS})[CAST(k % 4 + 1 AS INTEGER)]) OVER w - ({_PARAS})[CAST(k % 4 + 1 AS INTEGER)] AS paras, sum(({_QUOTES})[CAST(k % 4 + 1 AS INTEGER)]) OVER w - ({_QUOTES})[CAST(k % 4 + 1 AS INTEGER)] AS quotes FROM c WINDOW w AS (PARTITION BY chapter ORDER BY k)),
+f AS (SELECT * FROM (VALUES {_FOUND}) AS v(form, para, span, kind, before, after, speaker, confidence, quote))
+SELECT chapter, CAST(b.paras + f.para AS INTEGER) AS para, span, kind, CASE WHEN kind = 'dialogue' THEN before || x || after ELSE before END AS text, coalesce(speaker, '') AS speaker, confidence,
+  CASE WHEN kind = 'dialogue' THEN CAST(quotes + quote AS INTEGER) ELSE 0 END AS quote_id FROM b JOIN f ON f.form = b.form
+""")
+def quote_forms(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]+", ""), " +", " "))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("Listen, "), words, F.lit(" now")).alias("x"))
+    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "x"))).alias("ts"))
+    shown = lambda x, form: F.array(*(F.replace(F.lit(p), F.lit("{x}"), x) for p in form[0]))
+    paragraphs = F.flatten(F.transform("ts", lambda t, i: F.when(i % 4 == 0, shown(t["x"], FORMS[0])).when(i % 4 == 1, shown(t["x"], FORMS[1])).when(i % 4 == 2, shown(t["x"], FORMS[2])).otherwise(shown(t["x"], FORMS[3]))))
+    rows = ordered.select(F.col("conv_id").cast("int").alias("chapter"), paragraphs.alias("paragraphs"))
+    return dialogue.span_rows(rows, CAST).drop("open_end").na.fill(0, ["quote_id"]).na.fill("", ["speaker"])

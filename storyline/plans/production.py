@@ -15,7 +15,8 @@ from ..functions import hashing
 from ..functions.text import human_age, token_cap
 from ..operators import planning, provenance, timeline, verify, voices
 from ..operators.attribution import last_of_each
-from .registry import query, table
+from .registry import ORACLES, QUERIES, query, table
+from .texts import chunks_sql
 
 VOICES = {"narrator": "bm_george", "user": "af_heart", "user@angry": "af_bella", "_default": "am_adam", "_default@sad": "am_echo"}
 PARAMS = {"speed": 1.0}
@@ -85,7 +86,22 @@ def cache_probe(spark: SparkSession, sf: str) -> DataFrame:
     return render_plan(spark, sf).select("id", "voice", "audio", "attempts", F.col("chunks").isNotNull().alias("todo"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {LINES}, {STATE},
+j AS (SELECT v.*, o.had, o.attempts FROM voiced v JOIN old o ON o.id = v.id),
+e AS (SELECT *, {KEY} AS want, {KEY.replace("attempts", "0")} AS fresh FROM j),
+p AS (SELECT id, voice, text, CASE WHEN had IS NOT NULL AND had <> want THEN fresh ELSE want END AS audio, CAST(CASE WHEN had IS NOT NULL AND had <> want THEN 0 ELSE attempts END AS INTEGER) AS attempts FROM e),
+inv AS (SELECT DISTINCT had FROM old WHERE had IS NOT NULL AND substr(id, 9, 1) <> '4' AND had <> '05-audio/old.wav'),
+todo AS (SELECT p.id, p.voice, '{{"seed": ' || p.attempts || ', "speed": 1.0}}' AS params, p.text FROM p LEFT JOIN inv i ON i.had = p.audio WHERE i.had IS NULL),
+{chunks_sql("todo", "id, voice, params", 120)},
+c AS (SELECT voice, params, id, CAST(i - 1 AS INTEGER) AS chunk_idx, chunks[i] AS chunk, CAST(floor(length(chunks[i]) / 15.0::DOUBLE * 12) + 301 AS BIGINT) AS cost FROM chunked, unnest(range(1, len(chunks) + 1)) AS r(i)),
+k AS (SELECT *, row_number() OVER (PARTITION BY voice, params ORDER BY length(chunk), id, chunk_idx) AS k FROM c),
+f AS (SELECT *, cost AS used, 1 AS n, CAST(0 AS BIGINT) AS batch FROM k WHERE k = 1
+  UNION ALL
+  SELECT k.*, CASE WHEN f.n >= 16 OR f.used + k.cost > 8000 THEN k.cost ELSE f.used + k.cost END, CASE WHEN f.n >= 16 OR f.used + k.cost > 8000 THEN 1 ELSE f.n + 1 END,
+    f.batch + CASE WHEN f.n >= 16 OR f.used + k.cost > 8000 THEN 1 ELSE 0 END FROM f JOIN k ON k.voice = f.voice AND k.params = f.params AND k.k = f.k + 1)
+SELECT voice, params, batch, k - 1 AS place, id, chunk_idx, chunk, cost FROM f
+""")
 def synthesis_batches(spark: SparkSession, sf: str) -> DataFrame:
     return planning.batches(render_plan(spark, sf), 16, 8000).select("voice", "params", "batch", "place", "id", "chunk_idx", "chunk", "cost")
 
@@ -98,7 +114,7 @@ f AS (SELECT voice, id, k, cost AS used, 1 AS n, 0 AS b FROM c WHERE k = 1
   UNION ALL
   SELECT c.voice, c.id, c.k, CASE WHEN f.n >= 8 OR f.used + c.cost > 4000 THEN c.cost ELSE f.used + c.cost END, CASE WHEN f.n >= 8 OR f.used + c.cost > 4000 THEN 1 ELSE f.n + 1 END,
     f.b + CASE WHEN f.n >= 8 OR f.used + c.cost > 4000 THEN 1 ELSE 0 END FROM f JOIN c ON c.voice = f.voice AND c.k = f.k + 1)
-SELECT voice, CAST(b AS INTEGER) AS batch, CAST(k - 1 AS INTEGER) AS place, id FROM f
+SELECT voice, CAST(b AS BIGINT) AS batch, CAST(k - 1 AS BIGINT) AS place, id FROM f
 """)
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines(spark, sf).withColumn("voice", planning.resolve_voice(VOICES, F.col("speaker"), F.col("style"))).withColumn("params", F.lit("{}")).withColumn("chunks", F.array("text"))
@@ -112,46 +128,46 @@ def token_caps(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).groupBy("speaker").agg(F.max(F.length("text")).alias("longest")).select("speaker", token_cap(F.col("longest"), "en").alias("cap"))
 
 
-#: A turn against the next one, both cut at 30 words. Tokens become single ASCII characters, so that levenshtein counts tokens.
-#: Queries of whole turns have no SQL: levenshtein counts bytes, and a pair has more distinct tokens than there are such characters.
+#: A turn against the next one, whole. The table of edit distances grows by a row a step for all pairs at once; within a row, insertions
+#: spread as a running minimum of the distance less its column.
 PAIRS = r"""a AS (SELECT conv_id, turn, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM conversations),
-  w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(array_to_string((string_split(t, ' '))[1:30], ' ')), '[^\pL\pN\pM_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS r,
-    list_filter(regexp_split_to_array(regexp_replace(lower(array_to_string((string_split(u, ' '))[1:30], ' ')), '[^\pL\pN\pM_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS h, array_to_string((string_split(t, ' '))[1:30], ' ') AS text FROM a WHERE u IS NOT NULL),
-  v AS (SELECT *, list_sort(list_distinct(list_concat(r, h))) AS words FROM w),
-  e AS (SELECT *, CAST(levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(33 + list_position(words, x) AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(33 + list_position(words, x) AS INTEGER))), '')) AS INTEGER) AS edits FROM v),
+  w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(t), '[^\pL\pN\pM_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS r,
+    list_filter(regexp_split_to_array(regexp_replace(lower(u), '[^\pL\pN\pM_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS h, t AS text FROM a WHERE u IS NOT NULL),
+  c AS (SELECT conv_id, turn, list_transform(r, lambda x: hash(x)) AS r, list_transform(h, lambda x: hash(x)) AS h FROM w),
+  d AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, j, j AS v FROM c, unnest(range(0, len(h) + 1)) AS x(j)
+    UNION ALL
+    SELECT conv_id, turn, i, j, CAST(j + min(t - j) OVER (PARTITION BY conv_id, turn ORDER BY j) AS BIGINT) AS v FROM (
+      SELECT d.conv_id, d.turn, d.i + 1 AS i, d.j, CASE WHEN d.j = 0 THEN d.i + 1 ELSE least(d.v + 1, lag(d.v) OVER (PARTITION BY d.conv_id, d.turn ORDER BY d.j) + CASE WHEN c.r[d.i + 1] = c.h[d.j] THEN 0 ELSE 1 END) END AS t
+      FROM d JOIN c ON c.conv_id = d.conv_id AND c.turn = d.turn WHERE d.i < len(c.r))),
+  e AS (SELECT w.*, CAST(d.v AS INTEGER) AS edits FROM w JOIN d ON d.conv_id = w.conv_id AND d.turn = w.turn AND d.i = len(w.r) AND d.j = len(w.h)),
   rated AS (SELECT *, CASE WHEN len(r) > 0 THEN edits / CAST(len(r) AS DOUBLE) WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END AS error_rate FROM e)"""
+ERRORS = f"WITH RECURSIVE {PAIRS} SELECT conv_id, turn, edits, round(error_rate, 9) AS error_rate FROM rated"
+VERDICTS = f"""
+WITH RECURSIVE {PAIRS}
+SELECT conv_id, turn, CASE WHEN turn + length(text) / 10.0::DOUBLE > 3 * (length(text) / 15.0::DOUBLE) + 3 THEN false WHEN len(r) <= 4 OR len(list_distinct(r)) <= 2 THEN true ELSE error_rate <= 0.95 OR edits <= 1 END AS ok FROM rated
+"""
 
 
-def pairs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    first = lambda x: x if whole else F.array_join(F.slice(F.split(x, " ", -1), 1, 30), " ")
     rows = table(spark, sf, "conversations").withColumn("next", F.lead(text).over(W.partitionBy("conv_id").orderBy("turn"))).where(F.col("next").isNotNull())
-    return verify.compare(rows.select("conv_id", "turn", first(text).alias("text"), first(F.col("next")).alias("transcript")))
+    return verify.compare(rows.select("conv_id", "turn", text.alias("text"), F.col("next").alias("transcript")))
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, edits, round(error_rate, 9) AS error_rate FROM rated")
+@query(ERRORS)
 def word_errors(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).select("conv_id", "turn", "edits", F.round("error_rate", 9).alias("error_rate"))
 
 
-@query()
-def whole_word_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf, whole=True).select("conv_id", "turn", "edits", F.round("error_rate", 9).alias("error_rate"))
-
-
-@query(f"""
-WITH {PAIRS}
-SELECT conv_id, turn, CASE WHEN turn + length(text) / 10.0::DOUBLE > 3 * (length(text) / 15.0::DOUBLE) + 3 THEN false WHEN len(r) <= 4 OR len(list_distinct(r)) <= 2 THEN true ELSE error_rate <= 0.95 OR edits <= 1 END AS ok FROM rated
-""")
+@query(VERDICTS)
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     duration = F.col("turn") + F.length("text") / 10.0
     return pairs(spark, sf).select("conv_id", "turn", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), duration, threshold=0.95).alias("ok"))
 
 
-@query()
-def whole_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    duration = F.col("turn") + F.length("text") / 10.0
-    return pairs(spark, sf, whole=True).select("conv_id", "turn", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), duration, threshold=0.95).alias("ok"))
+#: Names under which whole turns were compared when the two above still cut them.
+QUERIES["whole_word_errors"], ORACLES["whole_word_errors"] = word_errors, ERRORS
+QUERIES["whole_verdicts"], ORACLES["whole_verdicts"] = verdicts, VERDICTS
 
 
 #: Segments to clips: purchases go to the user's last signup by then, or to the first.
@@ -217,21 +233,30 @@ def line_timeline(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.with_offsets(timed(spark, sf)).select("id", "chapter", "pause", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
 
-@query(f"""
-WITH {LINES}, {TIMED}, d AS (SELECT chapter % 5 AS book, chapter, CAST(count(*) AS BIGINT) AS lines, round(sum(pause + duration) + 0.6, 3) AS duration FROM p GROUP BY chapter)
-SELECT CAST(book AS VARCHAR) AS book, chapter, lines, CAST(round(coalesce(sum(duration) OVER (PARTITION BY book ORDER BY chapter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) * 100 AS BIGINT) AS start_cs FROM d
-""")
+#: Chapters of five books, each with its start and end in milliseconds.
+MARKERS = """d AS (SELECT CAST(chapter % 5 AS VARCHAR) AS book, chapter, CAST(count(*) AS BIGINT) AS lines, sum(pause + duration) + 0.6 AS duration FROM p GROUP BY chapter),
+  m AS (SELECT *, CAST(floor(round(coalesce(sum(duration) OVER (PARTITION BY book ORDER BY chapter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 1000, 3)) AS BIGINT) AS start_ms,
+    CAST(floor(round(sum(duration) OVER (PARTITION BY book ORDER BY chapter ROWS UNBOUNDED PRECEDING) * 1000, 3)) AS BIGINT) AS end_ms FROM d)"""
+
+
+def marked(spark: SparkSession, sf: str) -> DataFrame:
+    chapters = timeline.chapter_durations(timed(spark, sf)).withColumn("book", (F.col("chapter") % 5).cast("string"))
+    return timeline.markers(chapters.withColumn("title", F.concat(F.lit("Part; "), F.col("chapter").cast("string"))))
+
+
+@query(f"WITH {LINES}, {TIMED}, {MARKERS} SELECT book, chapter, lines, start_ms, end_ms FROM m")
 def chapter_markers(spark: SparkSession, sf: str) -> DataFrame:
-    chapters = timeline.chapter_durations(timed(spark, sf)).withColumn("duration", F.round("duration", 3)).withColumn("book", (F.col("chapter") % 5).cast("string"))
-    start = F.coalesce(F.sum("duration").over(W.partitionBy("book").orderBy("chapter").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return timeline.markers(chapters.withColumn("title", F.lit("x"))).withColumn("start_cs", (F.round(start, 2) * 100).cast("decimal(20,0)").cast("long")).select("book", "chapter", "lines", "start_cs")
+    return marked(spark, sf).select("book", "chapter", "lines", "start_ms", "end_ms")
 
 
-@query()
+@query(f"""
+WITH {LINES}, {TIMED}, {MARKERS}
+SELECT book, ';FFMETADATA1' || chr(10) || 'title=' || book || chr(10) || 'artist=\\=' || chr(10) || 'album=' || book || chr(10) || 'genre=Tales' || chr(10) || chr(10)
+  || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || start_ms || chr(10) || 'END=' || end_ms || chr(10) || 'title=Part\\; ' || chapter || chr(10), chr(10) ORDER BY chapter) AS metadata
+FROM m GROUP BY book
+""")
 def chapter_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    chapters = timeline.chapter_durations(timed(spark, sf)).withColumn("book", (F.col("chapter") % 5).cast("string"))
-    titled = timeline.markers(chapters.withColumn("title", F.concat(F.lit("Part; "), F.col("chapter").cast("string"))))
-    return timeline.metadata(titled.withColumn("author", F.lit("=")))
+    return timeline.metadata(marked(spark, sf).withColumn("author", F.lit("=")), "Tales")
 
 
 #: Stamps: of chapters built before, every second with another text, every third with other settings, every fifth unreadable.
@@ -384,12 +409,22 @@ def tone_audio(spark: SparkSession, sf: str) -> DataFrame:
     return providers.joined_audio(made).select("id", "n_samples", F.sha2("audio", 256).alias("digest"))
 
 
+#: Pieces fade into each other over 240 samples.
+@query(f"""
+WITH {LINES}, rows AS (SELECT id, text FROM lines), {chunks_sql("rows", "id", 120)}
+SELECT id, CAST(list_sum(list_transform(chunks, lambda x: length(x) * 1600)) - 240 * (len(chunks) - 1) AS BIGINT) AS n_samples FROM chunked WHERE len(chunks) > 0
+""")
+def tone_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    plan = planning.plan(lines(spark, sf), state(lines(spark, sf)), spark.createDataFrame([], "audio string"), VOICES, provenance.backend_name("kokoro"), PARAMS, 120)
+    return providers.joined_audio(providers.synthesize(planning.batches(plan, 16, 8000), "tone")).select("id", "n_samples")
+
+
 @query(f"""
-WITH {LINES}, {TIMED}, g AS (SELECT *, (row_number() OVER (PARTITION BY speaker ORDER BY id) - 1) // 16 AS grp FROM p)
-SELECT id, CAST(grp AS INTEGER) AS "group", round(coalesce(sum(duration + 0.5) OVER (PARTITION BY speaker, grp ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS start, duration > 28.0 AS alone FROM g
+WITH {LINES}, {TIMED}, g AS (SELECT *, (row_number() OVER (PARTITION BY chapter ORDER BY id) - 1) // 16 AS grp FROM p)
+SELECT id, CAST(grp AS INTEGER) AS "group", round(coalesce(sum(duration + 0.5) OVER (PARTITION BY chapter, grp ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS start, duration > 28.0 AS alone FROM g
 """)
 def clip_groups(spark: SparkSession, sf: str) -> DataFrame:
-    groups = verify.fixed_groups(timed(spark, sf), "id", 16, "speaker").withColumn("whose", F.struct("speaker", "group"))
+    groups = verify.fixed_groups(timed(spark, sf), "id", 16, "chapter").withColumn("whose", F.struct("chapter", "group"))
     return verify.clips(groups, by="whose").select("id", "group", "start", verify.goes_alone(F.col("duration"), F.lit(2)).alias("alone"))
 
 

@@ -22,6 +22,19 @@ ABBREVIATIONS = ", ".join(f"'{a}'" for a in fixed.ABBREVIATIONS)
 ONE_WORD = r"[A-Za-z]+\.$"
 
 
+def chunks_sql(rows: str, columns: str, most: int) -> str:
+    """CTEs whose last, `chunked`, has rows' columns (with text among the table's) and the text's chunks of at most `most` characters."""
+    packed = lambda xs: f"""CASE WHEN len({xs}) = 0 THEN [] ELSE list_reduce(list_transform({xs}, lambda x: [x]), lambda acc, x:
+    CASE WHEN length(acc[-1]) + 1 + length(x[1]) <= {most} THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END) END"""
+    trimmed = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+    return rf"""p1 AS (SELECT {columns}, {PIECES} AS p FROM {rows}),
+  p2 AS (SELECT {columns}, array_to_string(list_transform(p, lambda x: x || CASE WHEN {LAST_WORD} IN ({ABBREVIATIONS}) THEN ' ' ELSE chr(1) END), '') AS j FROM p1),
+  p3 AS (SELECT {columns}, list_filter(list_transform(string_split(j, chr(1)), lambda x: regexp_replace(x, ' $', '')), lambda x: x <> '') AS s FROM p2),
+  p4 AS (SELECT {columns}, list_transform(s, lambda x: CASE WHEN length(x) <= {most} THEN [x] ELSE list_filter(string_split(regexp_replace(x, '([,;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: regexp_matches(y, '\S')) END) AS s FROM p3),
+  p5 AS (SELECT {columns}, flatten(list_transform(flatten(s), lambda x: CASE WHEN length(x) <= {most} THEN [{trimmed}] ELSE {packed(f"regexp_split_to_array({trimmed}, '" + chr(92) + "s+')")} END)) AS s FROM p4),
+  chunked AS (SELECT {columns}, {packed("s")} AS chunks FROM p5)"""
+
+
 @query(f"""
 WITH p AS (SELECT doc_id, {PIECES} AS p FROM documents)
 SELECT doc_id, CAST(len(p) - len(list_filter(list_transform(p[1:len(p) - 1], lambda x: {LAST_WORD}), lambda w: w IN ({ABBREVIATIONS}))) AS INTEGER) AS sentences FROM p
@@ -69,7 +82,10 @@ def turn_groups(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", F.col("x.group").alias("group"), F.col("x.turn").alias("turn")).groupBy("conv_id", "group").agg(F.count(F.lit(1)).alias("turns"), F.min("turn").alias("first_turn"))
 
 
-@query()
+@query(f"""
+WITH {chunks_sql("documents", "doc_id", 250)}
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_idx, chunks[i] AS chunk FROM chunked, unnest(range(1, len(chunks) + 1)) AS r(i)
+""")
 def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
     chunks = t.chunks(F.coalesce("text", F.lit("")), "en", 250)
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunks).alias("chunk_idx", "chunk"))
@@ -97,6 +113,54 @@ def chinese_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.concat(t.zh_number((F.col("p_partkey") * 37).cast("string")), F.lit("年")).alias("words"))
 
 
+#: Years digit by digit, other numbers in words, pauses, and sentences that end within quotes.
+@query(f"""
+WITH n AS (SELECT p_partkey, p_partkey * 37 + 3 AS n, translate(CAST(1000 + p_partkey % 9000 AS VARCHAR), '0123456789', '零一二三四五六七八九') AS y FROM part),
+s AS (SELECT p_partkey, [y || '年，他买了' || CASE WHEN n >= 10000 THEN {_GROUP("n // 10000")} || '万' ELSE '' END || {_GROUP("n % 10000")} || '本书，“好吗？”', '她问，「好」。', '再见！', '，'] AS s FROM n)
+SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, s[i] AS sentence FROM s, unnest(range(1, 5)) AS r(i)
+""")
+def chinese_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    year, n = (1000 + F.col("p_partkey") % 9000).cast("string"), (F.col("p_partkey") * 37 + 3).cast("string")
+    text = F.concat(F.lit("  "), year, F.lit("年，他买了"), n, F.lit("本书……“好吗？”她问——「好」。再见！~~\n"))
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(t.sentences(t.normalize_zh(text), "zh")).alias("pos", "sentence"))
+
+
+#: Books with the headings that each language has by itself, once with marks round them and once as Markdown.
+_BODY = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z ]+', ' ', 'g'), ' +', ' ', 'g'))"
+_TITLED = lambda one, two, joint: f"""
+WITH b AS (SELECT doc_id, {_BODY} AS b FROM documents),
+c AS (SELECT doc_id, unnest([{{'chapter': 0, 'title': '{one}', 'text': b}}, {{'chapter': 1, 'title': '{two}', 'text': b || CASE WHEN b = '' THEN '' ELSE '{joint}' END || 'end'}}]) AS c FROM b)
+SELECT doc_id, c.chapter, c.title, c.text FROM c
+"""
+
+
+def _books(spark: SparkSession, sf: str, template: str) -> DataFrame:
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z ]+", " "), " +", " "))
+    return table(spark, sf, "documents").select("doc_id", F.replace(F.lit(template), F.lit("{b}"), body).alias("text"))
+
+
+def _texts(chapters: DataFrame) -> DataFrame:
+    return chapters.select("doc_id", "chapter", "title", F.array_join("paragraphs", "\n\n").alias("text"))
+
+
+@query(_TITLED("CHAPTER I", "Chapter 2: More", " "))
+def book_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """What is before and after the marks is no part of the book."""
+    text = "A licence.\r\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\r\n\r\nCHAPTER I\r\n\r\n{b}\r\n\r\nChapter 2: More\r\n{b}\r\n  end\r\n\r\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\r\nMore licence.\r\n"
+    return _texts(s.chapters(_books(spark, sf, text), key="doc_id"))
+
+
+@query(_TITLED("One", "Two # 2", " "))
+def markdown_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    return _texts(s.chapters(_books(spark, sf, "# One #\n\n{b}\n\n##  Two # 2\n{b}\nend\n"), markdown=True, key="doc_id"))
+
+
+@query(_TITLED("第一章 起", "第二章", ""))
+def chinese_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """Wrapped lines of Chinese are joined without a space."""
+    return _texts(s.chapters(_books(spark, sf, "第一章 起\n\n{b}\n\n第二章\n{b}\nend\n"), lang="zh", key="doc_id"))
+
+
 _LINES = rf"""l AS (SELECT doc_id, i, string_split(replace({TEXT}, chr(13) || chr(10), chr(10)), chr(10))[i] AS line
     FROM documents, unnest(range(1, len(string_split(replace({TEXT}, chr(13) || chr(10), chr(10)), chr(10))) + 1)) AS r(i)),
   t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM l),
