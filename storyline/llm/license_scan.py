@@ -9,70 +9,159 @@ A known sentence begins and ends where BREAK cuts, and may run across single lin
 lines and . ! ? end it. Sentences that name a licence may have a subject before and a reference after. The SQL has none of this: it looks
 up pieces between two cuts, and n_sentences counts those here too.
 
+What is licensed may also be named by a SPDX identifier or a field "License:". "All rights reserved" after a copyright makes a text
+proprietary only if it has no licence.
+
 Defined cases: null and empty texts have no sentences and no licence. A very long text is scanned whole. Licences of a text are distinct, in
 rule order, joined by a comma; a text with none has an empty string. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
 
+#: Licences that a SPDX identifier, or a field "License:", may name as they are.
+SPDX = [
+    "MIT", "MIT-0", "ISC", "Zlib", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Artistic-2.0", "Unlicense",
+    "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
+]
 #: Sentences of well-known licences, normalised, as regular expressions. The identifier is the key.
 SENTENCES = {
-    "mit-name": r"(released|licensed|distributed|available) under (the )?(terms of the )?mit licen[sc]e",
+    "mit-name": r"(released|licensed|distributed|available) under (the )?(terms of the )?mit( licen[sc]e)?",
     "mit-title": r"(the )?mit licen[sc]e( mit)?",
+    "mit-style": r"use of this source code is governed by an? mit style licen[sc]e that can be found in the licen[sc]e file.*",
     "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*",
     "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "as-is": r"(the|this) software is provided (by the copyright holders and contributors )?as is .*",
+    "liable": r"in no event (shall|will) the (authors?|copyright holders?)( or copyright holders| or contributors)* be (held )?liable .*",
+    "isc-title": r"(the )?isc licen[sc]e( isc)?",
+    "isc-grant": r"permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted.*",
+    "zlib-title": r"(the )?zlib licen[sc]e",
+    "zlib-grant": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely.*",
+    "zlib-origin": r"(1 )?the origin of this software must not be misrepresented.*",
+    "zlib-altered": r"(2 )?altered source versions must be plainly marked as such.*",
+    "zlib-notice": r"(3 )?this notice may not be removed or altered from any source distribution",
     "apache2-name": r"(released |licensed |distributed )under the apache licen[sc]e version 2 0( the licen[sc]e)?",
+    "apache2-asf": r"the asf licen[sc]es this file to you under the apache licen[sc]e version 2 0( the licen[sc]e)?",
     "apache2-title": r"apache licen[sc]e( version 2 0)?( january 2004)?",
     "apache2-comply": r"you may not use this (file|work) except in compliance with the licen[sc]e",
     "apache2-copy": r"you may obtain a copy of the licen[sc]e at.*",
+    "asf-agree": r"licensed to the apache software foundation( asf)? under one or more contributor licen[sc]e agreements",
     "gpl3-name": r"(this (work|program|file|software) is )?(released|licensed|distributed) under the gnu general public licen[sc]e version 3( or later)?",
     "gpl2-name": r"(this (work|program|file|software) is )?(released|licensed|distributed) under the gnu general public licen[sc]e version 2( or later)?",
-    "gpl-title": r"gnu general public licen[sc]e( version [123])?",
+    "gpl3-title": r"gnu general public licen[sc]e version 3( 29 june 2007)?",
+    "gpl2-title": r"gnu general public licen[sc]e version 2( june 1991)?",
+    "gpl-title": r"gnu general public licen[sc]e( version 1)?",
     "gpl-free": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation.*",
-    "lgpl-name": r"(this (work|program|file|software) is )?(released|licensed|distributed) under the gnu lesser general public licen[sc]e version (2 1|3)( or later)?",
+    "lgpl-name": r"(this (work|program|file|software|library) is )?(released|licensed|distributed) under the gnu lesser general public licen[sc]e version (2 1|3)( or later)?",
+    "lgpl3-title": r"gnu lesser general public licen[sc]e version 3( 29 june 2007)?",
+    "lgpl21-title": r"gnu lesser general public licen[sc]e version 2 1( february 1999)?",
+    "lgpl-free": r"this (library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation.*",
+    "agpl-name": r"(this (work|program|file|software) is )?(released|licensed|distributed) under the gnu affero general public licen[sc]e version 3( or later)?",
+    "agpl3-title": r"gnu affero general public licen[sc]e version 3( 19 november 2007)?",
+    "agpl-free": r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e as published by the free software foundation.*",
+    "fsf-copies": r"everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed",
     "bsd-grant": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*",
     "bsd-source": r"(1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": r"(2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer.*",
     "bsd-endorse": r"(3 )?neither the name of .* may be used to endorse or promote products derived from this software.*",
     "bsd-name": r"(released|licensed|distributed) under (the|a) (2 clause |3 clause |new |simplified )?bsd licen[sc]e",
+    "bsd-style": r"use of this source code is governed by a bsd style licen[sc]e that can be found in the licen[sc]e file.*",
     "mpl2-name": r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0",
-    "cc-by-nc4-name": r"((this (work|text) is )?licensed under )?(cc by nc 4 0|a?( )?creative commons attribution noncommercial 4 0( international)?( licen[sc]e)?)",
-    "cc-by-sa4-name": r"((this (work|text) is )?licensed under )?(cc by sa 4 0|a?( )?creative commons attribution sharealike 4 0( international)?( licen[sc]e)?)",
-    "cc-by4-name": r"((this (work|text) is )?licensed under )?(cc by 4 0|a?( )?creative commons attribution 4 0( international)?( licen[sc]e)?)",
-    "cc0-name": r"((this (work|text) is )?(licensed|dedicated) (under|to) )?(cc0( 1 0)?|the public domain)",
+    "mpl2-copy": r"if a copy of the mpl was not distributed with this file you can obtain one at.*",
+    "mpl2-title": r"mozilla public licen[sc]e version 2 0",
+    "epl2-name": r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v( )?2 0.*",
+    "epl1-name": r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v( )?1 0.*",
+    "epl2-title": r"eclipse public licen[sc]e v( )?2 0",
+    "bsl-name": r"distributed under the boost software licen[sc]e version 1 0",
+    "bsl-title": r"boost software licen[sc]e version 1 0( august 17th 2003)?",
+    "bsl-grant": r"permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation covered by this licen[sc]e.*",
+    "artistic2-name": r"(this (program|library|software|module) is )?(free software you can redistribute it and or modify it|released|licensed|distributed) under the terms of the artistic licen[sc]e( version)? 2 0",
+    "artistic2-title": r"(the )?artistic licen[sc]e 2 0",
+    "cc-by-nc-sa4-name": r"((this (work|text) is )?licensed under )?(cc by nc sa 4 0|a?( )?creative commons attribution noncommercial sharealike 4 0( international)?( public)?( licen[sc]e)?)",
+    "cc-by-nc-nd4-name": r"((this (work|text) is )?licensed under )?(cc by nc nd 4 0|a?( )?creative commons attribution noncommercial noderivatives 4 0( international)?( public)?( licen[sc]e)?)",
+    "cc-by-nc4-name": r"((this (work|text) is )?licensed under )?(cc by nc 4 0|a?( )?creative commons attribution noncommercial 4 0( international)?( public)?( licen[sc]e)?)",
+    "cc-by-nd4-name": r"((this (work|text) is )?licensed under )?(cc by nd 4 0|a?( )?creative commons attribution noderivatives 4 0( international)?( public)?( licen[sc]e)?)",
+    "cc-by-sa4-name": r"((this (work|text) is )?licensed under )?(cc by sa 4 0|a?( )?creative commons attribution sharealike 4 0( international)?( public)?( licen[sc]e)?)",
+    "cc-by4-name": r"((this (work|text) is )?licensed under )?(cc by 4 0|a?( )?creative commons attribution 4 0( international)?( public)?( licen[sc]e)?)",
+    "cc0-name": r"((this (work|text) is )?(licensed|dedicated) (under|to) )?(cc0( 1 0)?( universal)?|the public domain)",
     "unlicense": r"this is free and unencumbered software released into the public domain",
+    "unlicense-grant": r"anyone is free to copy modify publish use compile sell or distribute this software.*",
     "rights": r"all rights reserved",
     "copyright": r"copyright( c)?( [0-9]{4}.*)",
-    "spdx": r"spdx licen[sc]e identifier .*",
-}
+} | {f"spdx-{x}": r"(spdx licen[sc]e identifier|licen[sc]e) " + re.sub("[^a-z0-9]+", " ", x.lower()) + "( only| or later)?" for x in SPDX} | {"spdx": r"spdx licen[sc]e identifier .*"}
 #: Rules in order; each is a licence and the identifiers that must follow each other, gaps of unknown text apart.
 RULES = [
+    ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is", "liable")),
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is")),
+    ("MIT", ("mit-grant", "mit-notice", "as-is", "liable")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("asf-agree", "apache2-asf", "apache2-comply", "apache2-copy")),
     ("Apache-2.0", ("apache2-name", "apache2-comply", "apache2-copy")),
     ("Apache-2.0", ("apache2-name", "apache2-comply")),
+    ("ISC", ("isc-title", "isc-grant", "as-is")),
+    ("ISC", ("isc-grant", "as-is")),
+    ("ISC", ("isc-grant",)),
+    ("Zlib", ("as-is", "liable", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl-title", "bsl-grant")),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("GPL-3.0", ("gpl3-title", "fsf-copies")),
+    ("GPL-2.0", ("gpl2-title", "fsf-copies")),
+    ("LGPL", ("lgpl3-title", "fsf-copies")),
+    ("LGPL", ("lgpl21-title", "fsf-copies")),
+    ("AGPL-3.0", ("agpl3-title", "fsf-copies")),
+    ("MPL-2.0", ("mpl2-name", "mpl2-copy")),
+    ("Unlicense", ("unlicense", "unlicense-grant")),
     ("GPL-any", ("gpl-free",)),
+    ("LGPL", ("lgpl-free",)),
+    ("AGPL-3.0", ("agpl-free",)),
     ("MIT", ("mit-name",)),
+    ("MIT", ("mit-style",)),
     ("MIT", ("mit-grant",)),
     ("Apache-2.0", ("apache2-name",)),
+    ("Apache-2.0", ("apache2-asf",)),
     ("GPL-3.0", ("gpl3-name",)),
     ("GPL-2.0", ("gpl2-name",)),
     ("LGPL", ("lgpl-name",)),
+    ("AGPL-3.0", ("agpl-name",)),
     ("BSD", ("bsd-name",)),
+    ("BSD", ("bsd-style",)),
     ("MPL-2.0", ("mpl2-name",)),
+    ("EPL-2.0", ("epl2-name",)),
+    ("EPL-1.0", ("epl1-name",)),
+    ("BSL-1.0", ("bsl-name",)),
+    ("Artistic-2.0", ("artistic2-name",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa4-name",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd4-name",)),
     ("CC-BY-NC-4.0", ("cc-by-nc4-name",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd4-name",)),
     ("CC-BY-SA-4.0", ("cc-by-sa4-name",)),
     ("CC-BY-4.0", ("cc-by4-name",)),
     ("CC0-1.0", ("cc0-name",)),
     ("Unlicense", ("unlicense",)),
+    *((x, (f"spdx-{x}",)) for x in SPDX),
+    ("MIT", ("mit-title",)),
+    ("ISC", ("isc-title",)),
+    ("Zlib", ("zlib-title",)),
+    ("Apache-2.0", ("apache2-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-any", ("gpl-title",)),
+    ("LGPL", ("lgpl3-title",)),
+    ("LGPL", ("lgpl21-title",)),
+    ("AGPL-3.0", ("agpl3-title",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("BSL-1.0", ("bsl-title",)),
+    ("Artistic-2.0", ("artistic2-title",)),
     ("proprietary", ("copyright", "rights")),
 ]
 #: Ends of sentences: line breaks; and . ! ? ; before white space, a quote or bracket or the end.
@@ -140,15 +229,20 @@ def sequence(ids: Column) -> Column:
 
 
 def apply_rules(documents: DataFrame, ids: str = "ids") -> DataFrame:
-    """Adds licenses (comma-joined) and rest (identifiers that no rule used) to a table with identifier arrays."""
-    rest, found = F.when(F.size(ids) > 0, sequence(F.col(ids))).otherwise(""), []
-    out = documents.withColumn("rest", rest)
-    for k, (name, rule) in enumerate(RULES):
-        pattern = "".join(f"\\|{i}\\|" for i in rule)
-        out = out.withColumn(f"r{k}", F.col("rest").rlike(pattern)).withColumn("rest", F.regexp_replace("rest", pattern, "|#|"))
-        found.append(F.when(F.col(f"r{k}"), F.lit(name)))
-    licenses = F.array_join(F.array_distinct(F.array_compact(F.array(*found))), ",")
-    return out.withColumn("licenses", licenses).drop(*(f"r{k}" for k in range(len(RULES))))
+    """Adds licenses (comma-joined) and rest (identifiers that no rule used) to a table with identifier arrays. A text with a licence isn't
+    reported as proprietary besides."""
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"|{i}|" for i in rule)).alias("ids")) for name, rule in RULES))
+    start = F.struct(sequence(F.col(ids)).alias("rest"), F.array().cast("array<string>").alias("names"))
+
+    def apply(s: Column, rule: Column) -> Column:
+        hit = F.contains(s["rest"], rule["ids"])
+        return F.struct(F.when(hit, F.replace(s["rest"], rule["ids"], F.lit("|#|"))).otherwise(s["rest"]).alias("rest"), F.when(hit, F.array_append(s["names"], rule["name"])).otherwise(s["names"]).alias("names"))
+
+    out = documents.withColumn("applied", F.when(F.size(ids) > 0, F.aggregate(rules, start, apply)))
+    order = F.array(*(F.lit(name) for name in dict.fromkeys(name for name, _ in RULES)))
+    names = F.filter(order, lambda x: F.array_contains(F.coalesce("applied.names", F.array().cast("array<string>")), x))
+    licenses = F.array_join(F.when(F.size(names) > 1, F.array_remove(names, "proprietary")).otherwise(names), ",")
+    return out.withColumn("licenses", licenses).withColumn("rest", F.coalesce("applied.rest", F.lit(""))).drop("applied")
 
 
 def scan_licenses(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -166,7 +260,7 @@ def oracle() -> str:
     known = " ".join(f"WHEN regexp_full_match(s, {quoted(p)}) THEN '{n}'" for n, p in SENTENCES.items())
     steps, last = [], "r0"
     for k, (_, rule) in enumerate(RULES):
-        pattern = quoted("".join(f"\\|{i}\\|" for i in rule))
+        pattern = quoted("".join("\\|" + i.replace(".", "\\.") + "\\|" for i in rule))
         steps.append(f"r{k + 1} AS (SELECT * EXCLUDE (rest), regexp_matches(rest, {pattern}) AS m{k}, regexp_replace(rest, {pattern}, '|#|', 'g') AS rest FROM {last})")
         last = f"r{k + 1}"
     names = ", ".join(f"CASE WHEN m{k} THEN '{n}' END" for k, (n, _) in enumerate(RULES))
@@ -180,6 +274,6 @@ r0 AS (SELECT doc_id, n_sentences, ids, CASE WHEN len(ids) > 0 THEN '|' || array
 {", ".join(steps)},
 f AS (SELECT *, [{names}] AS hit FROM {last})
 SELECT doc_id, n_sentences, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS sentence_ids,
-  array_to_string(list_filter({order}, lambda x: list_contains(hit, x)), ',') AS licenses,
+  array_to_string(list_filter({order}, lambda x: list_contains(hit, x) AND (x <> 'proprietary' OR len(list_filter(hit, lambda y: y IS NOT NULL AND y <> 'proprietary')) = 0)), ',') AS licenses,
   CAST(len(list_filter(string_split(rest, '|'), lambda x: x <> '' AND x <> '#')) AS BIGINT) AS n_unmatched FROM f
 """
