@@ -5,10 +5,12 @@ only their due share. The published generator multiplies modulo 2^64; here the s
 The law is `key`.
 
 A row's slot is its place in its shard, gapless from 0. No shard is ever sorted in one task: rows are counted and ranked in 1024 buckets of
-a shard, by a hash of the key, and a bucket starts after all earlier ones. The counts are 1024 rows a shard at most, whatever the input.
+a shard, by a hash of key and text, and a bucket starts after all earlier ones. So the rows of one key, or without one, are of one shard, as
+the law asks, and still of all its buckets. The counts are 1024 rows a shard at most, whatever the input.
 
 Defined cases: a null key hashes as the string "null"; repeated keys go to one shard and get slots of their own. A null text has no bytes.
-Very long texts only count. An empty table gives no rows. Other columns are ignored (or kept, by with_shard).
+Very long texts only count. An empty table gives no rows. Other columns are ignored (or kept, by with_shard, whose own column gets a _ before
+its name if there is one of that name).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 SHARDS, BUCKETS = 24, 1024
 #: Fixed value of the published algorithm.
@@ -46,13 +48,13 @@ def jump(key: Column, shards: int) -> Column:
 
 
 def with_shard(documents: DataFrame, shards: int = SHARDS, name: str = "shard") -> DataFrame:
-    """documents with each row's shard, all other columns as they are; needs no shuffle."""
-    return documents.withColumn(name, jump(key_of(F.col("doc_id")), shards))
+    """documents with each row's shard as last column, all other columns as they are; needs no shuffle."""
+    return documents.withColumn(fresh(documents, name)[0], jump(key_of(F.col("doc_id")), shards))
 
 
 def shard_documents(spark: SparkSession, documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     data = F.encode(text_of("text"), "UTF-8")
-    bucket = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(data)), F.lit(BUCKETS)).cast("int")
     places = documents.select("doc_id", jump(key_of(F.col("doc_id")), shards).alias("shard"), bucket.alias("bucket"))
     counts = places.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
