@@ -40,7 +40,7 @@ from .common import Workspace
 from .words import batches_of, mixed, rolling, sliding_min, word_hashes
 
 WINDOW, ANCHOR = 20, 6
-SHARD_WINDOWS, TASK_WORDS, STRETCH_COST = 4096, 50_000, 64
+SHARD_WINDOWS, TASK_WORDS, STRETCH_COST, HOT = 4096, 50_000, 64, 1000
 NULL_ID = (1 << 63) - 1
 FACTS = "row long, doc long, n_words long, sha string, own_removed long, own_sha string, anchors array<long>"
 #: What a row of stretches is: a passage for a shard's library, a stretch to look through, or a whole text that has such stretches.
@@ -303,8 +303,14 @@ def remove_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     known = ws.put(facts(rows), "facts")
     narrow = ws.put(known.drop("row", "anchors"), "narrow")
     long = narrow.where(F.col("n_words") >= WINDOW)
-    classes = ws.put(long.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("sha", "first"), "classes")
-    copies = ws.put(long.join(classes, "sha").where("doc > first").select("doc", "sha").distinct(), "copies")
+    classes = ws.put(long.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("sha", "first", "n"), "classes")
+    # no more than HOT classes have more than one in HOT of all rows, so these are broadcast and their rows stay where they are
+    hot = F.col("n") > F.lit(-(-narrow.count() // HOT))
+    large = F.broadcast(classes.where(hot).select("sha", F.col("first").alias("hot_first")))
+    rest = long.join(large, "sha", "left")
+    copies = rest.where("doc > hot_first").select("doc", "sha")
+    copies = copies.unionByName(rest.where("hot_first IS NULL").join(classes.where(~hot), "sha").where("doc > first").select("doc", "sha"))
+    copies = ws.put(copies.distinct(), "copies")
     # of copies only the first is looked at from here on
     each = known.join(copies, ["doc", "sha"], "left_anti").select("row", F.explode("anchors").alias("anchor"))
     twice = ws.put(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
