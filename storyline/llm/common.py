@@ -55,9 +55,19 @@ class Workspace:
     A lost executor then costs a reread, not a recomputation of everything upstream.
     """
 
+    #: All that this driver has made and not removed: results are read from them, so they stay until `remove_all`.
+    made: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/storyline/{name}-{uuid.uuid4().hex}"
+        Workspace.made.append(self)
+
+    @classmethod
+    def remove_all(cls) -> None:
+        """Deletes the folders of all operators that this driver has run; their results can't be read any more."""
+        while cls.made:
+            cls.made.pop().drop("")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -81,7 +91,7 @@ class Workspace:
         """Deletes tables no later step reads, through the file system that holds them."""
         jvm = self.spark._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            at = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -49,6 +49,31 @@ def test_query(spark, duck, name):
         assert rows
 
 
+ODD = [
+    (1, "a plain text of some words that nobody else has written here"), (2, "a plain text of some words that nobody else has written here"), (3, None), (4, ""), (5, " \n\t "), (None, "no identifier but a text"), (None, None),
+    (6, "word " * 3000), (7, "word " * 3001), (1, "a plain text of some words that nobody else has written here"), (8, "é 漢字 🙂 <|endoftext|>"), (9, "x"),
+]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_with_odd_rows(spark, tmp_path, rows):
+    """Nulls, empty and repeated rows, no rows, and columns with the names that stages use themselves."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["__file", "__row", "drop_file", "toxic_score", "mix_source", "mix_rate", "mix_copy", "dropped_id", "shard", "kept", "component_id", "score"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 2 else "s", None, *("x" for _ in names)) for k, (i, t) in enumerate(rows)], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, None, 1), (9, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    start = docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == start.columns
+    near = spark.read.parquet(f"{tmp_path}/near_dedup").select("doc_id").collect()
+    assert sorted((r.doc_id for r in near), key=repr) == sorted([1, 3, 6, None, 8, 9] if rows else [], key=repr)
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = start = spark.read.parquet(f"{SF}/documents.parquet")

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
 import zlib
+from pathlib import Path
 
 import pytest
 
 from storyline.llm import toxicity
+from storyline.llm.queries import QUERIES
 
 SLURS = ["grulk", "vashnet", "blorf"]
 
@@ -54,6 +57,50 @@ def test_a_few_words_count_in_a_very_long_text(corpus, words):
     assert toxicity.score_texts([" ".join(long)], model)[0] > 0.5
 
 
+def plain_score(text, model):
+    """The scorer word by word and n-gram by n-gram: the highest mean over windows of words."""
+    words = [b" " + w + b" " for w in text.lower().encode("utf-8", "surrogatepass").split()]
+    best = None
+    for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if words else []:
+        values = []
+        for w in words[start : start + toxicity.WINDOW]:
+            for n in toxicity.ORDERS:
+                for k in range(len(w) - n + 1):
+                    h = 2166136261
+                    for byte in w[k : k + n]:
+                        h = (h ^ byte) * 16777619 % 2**32
+                    values.append(float(model.scores[(h ^ (h >> 15)) % 2**toxicity.BUCKET_BITS]))
+        logit = sum(values) / max(1, len(values)) + model.bias
+        best = logit if best is None else max(best, logit)
+    return model.prior if best is None else 1 / (1 + math.exp(-best))
+
+
+def test_scores_against_a_plain_scorer(corpus, words):
+    rows, labels = corpus
+    texts = dict(rows)
+    model = toxicity.train([texts[i] for i, _, _ in labels], [y for _, _, y in labels], epochs=3)
+    some = [t for _, t in rows[:60]] + ["", " ", "a", "ab", "one two", "a b c d e", "é ü 漢字 🙂 vashnet", "x" * 400, " lead", "trail ", "Case CASE cAsE", "a\x0bb\x0cc", *(" ".join(words(n)) for n in range(1, 12))]
+    assert toxicity.score_texts(some, model) == pytest.approx([plain_score(t, model) for t in some], abs=1e-5)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
+def test_query_against_a_plain_scorer(spark):
+    """Which rows are learned from, held out and predicted, row by row of the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["op2_toxicity"](spark, sf).collect()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.toxic is not None and r.doc_id is not None:
+            labels[r.doc_id] = max(labels.get(r.doc_id, 0), int(r.toxic > 0))
+    out = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    learned = sorted((i, t, labels[i]) for i, t in docs if t is not None and i in labels and not out(i))
+    model = toxicity.train([t for _, t, _ in learned], [y for _, _, y in learned])
+    want = {i: plain_score(t or "", model) for i, t in docs if len(t or "") < 4000}
+    assert {r.doc_id for r in got} == {i for i, _ in docs} and all(r.held_out == out(r.doc_id) and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-5) for r in got if r.doc_id in want) and len(want) > 100
+
+
 def test_labels_of_held_out_rows_are_never_learned(spark, documents, corpus):
     rows, labels = corpus
     fold = [(i, q, t if zlib.crc32(str(i).encode()) % 5 else 1 - t) for i, q, t in labels]
