@@ -215,6 +215,15 @@ def page_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "title", F.size("paragraphs").alias("paragraphs"), F.sha2(F.array_join("paragraphs", "\n"), 256).alias("digest"))
 
 
-@query()
+#: Paragraphs end with the next one at the latest. The pages have these entities.
+_PLAIN = lambda x: rf"""regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '(?s)<[^>]*>', '', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\s+|\s+$', '', 'g')"""
+
+
+@query(rf"""
+WITH b AS (SELECT page_id, regexp_matches(html, '<a[^>]*rel="next"') AS has_next, {_PLAIN("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS title,
+    regexp_split_to_array(regexp_extract(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '(?s)<article[^>]*>(.*?)</article>', 1), '<p(\s[^>]*)?>') AS ps FROM pages),
+p AS (SELECT *, list_filter(list_transform(ps[2:], lambda x: {_PLAIN("regexp_replace(x, '(?s)</p>.*', '')")}), lambda x: x <> '') AS paragraphs FROM b)
+SELECT page_id, title, array_to_string(paragraphs, chr(10)) AS text, has_next, coalesce(nullif(substr(trim(regexp_replace(title, '[\\/:*?"<>|]', '_', 'g')), 1, 120), ''), 'untitled') AS file FROM p
+""")
 def page_chapters(spark: SparkSession, sf: str) -> DataFrame:
     return p.chapters(table(spark, sf, "pages")).select("page_id", "title", F.array_join("paragraphs", "\n").alias("text"), "has_next", "file")
