@@ -2,14 +2,15 @@
 
 Tokens are summed per source; each source's target gives its repetition rate; a document goes out floor(rate) times, and once more by a
 Bernoulli draw seeded by its identifier, with the rate's fraction as probability. A source tries 32 seeds, each a full set of draws, and
-takes the one whose words come nearest its target, so that small sources with a few long documents aren't left to chance. Draws depend on
-doc_id and seed only: reruns, retries and other partitionings agree.
+takes the one whose words come nearest its target, so that small sources with a few long documents aren't left to chance. So each set of
+draws is Bernoulli with the fraction as probability, and which of the sets counts is a choice among them. Draws depend on doc_id and seed
+only: reruns, retries and other partitionings agree.
 
 Targets share the words of all sources by weight, but none exceeds 3 times its source: the excess goes to the others by weight, again and
 again until none is above. That loop runs on the table of sources and brings one row of sums to the driver each time.
 
-Defined cases: a null text has no words; a null source is one source, ordered last; a null doc_id draws as the string "null"; repeated rows
-draw alike; a source without words has rate 0. An empty table gives no rows. When documents are emitted, all their columns are kept.
+Defined cases: a null text has no words; a null source is one source, ordered last; a row with a null doc_id draws by its text instead, so
+that such rows don't all draw alike; repeated rows do; a source without words has rate 0. An empty table gives no rows. When documents are emitted, all their columns are kept.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ WEIGHTS, MOST, SEEDS = (5, 2, 1), 3, 32
 DRAW = 1 << 48
 
 
-def draw_parts(doc_id: Column) -> list[Column]:
-    """Two numbers from the identifier's MD5; the draw under seed k is their combination a + k * b."""
-    h = F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+def draw_parts(doc_id: Column, text: Column) -> list[Column]:
+    """Two numbers from the MD5 of the identifier, or without one of the text; the draw under seed k is their combination a + k * b."""
+    h = F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), text)).cast("binary"))
     return [F.conv(F.substring(h, 1, 12), 16, 10).cast("long"), F.conv(F.substring(h, 13, 12), 16, 10).cast("long")]
 
 
@@ -79,7 +80,7 @@ def rates(sized: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS, m
 
 
 def sized_rows(documents: DataFrame) -> DataFrame:
-    a, b = draw_parts(F.col("doc_id"))
+    a, b = draw_parts(F.col("doc_id"), text_of("text"))
     return documents.select("doc_id", F.col("source"), word_count(text_of("text")).alias("size"), a.alias("a"), b.alias("b"))
 
 
@@ -102,7 +103,7 @@ def mix_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     table = rates(ws.put(sized_rows(documents), "sized"), ws)
     names = fresh(documents, "mix_source", "mix_rate", "mix_seed", "mix_copy")
     table = table.select(F.col("source").alias(names[0]), F.col("rate").alias(names[1]), F.col("seed").alias(names[2]))
-    a, b = draw_parts(F.col("doc_id"))
+    a, b = draw_parts(F.col("doc_id"), text_of("text"))
     rate = F.col(names[1])
     times = (F.floor(rate) + F.when(draw(a, b, F.col(names[2])) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
     out = documents.join(table, documents["source"].eqNullSafe(table[names[0]]))
@@ -111,8 +112,8 @@ def mix_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS a,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 13, 12) AS BIGINT) AS b FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || coalesce(text, ''))), 1, 12) AS BIGINT) AS a,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || coalesce(text, ''))), 13, 12) AS BIGINT) AS b FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s0),
 t AS (SELECT CAST(sum(source_size) AS BIGINT) AS total FROM s),

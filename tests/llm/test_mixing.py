@@ -53,6 +53,13 @@ def test_documents_go_out_as_often_as_reported(spark, documents, words):
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: n for k, n in report.items() if n})
 
 
+def test_rows_without_id_draw_by_their_texts(spark, documents, words):
+    """A source of such rows gets near its target, not all or nothing."""
+    rows = [(None, " ".join(words(20)), "ab"[k % 2]) for k in range(600)]
+    got = mixing.mix_report(spark, documents(rows)).groupBy("target").agg(F.sum("taken").alias("taken"), F.countDistinct("taken").alias("kinds")).collect()
+    assert len(got) == 2 and all(r.kinds == 2 and abs(r.taken - r.target) < 0.02 * r.target for r in got)
+
+
 def test_no_words_and_no_rows(spark, documents):
     assert [(r.taken, r.target) for r in mixing.mix_report(spark, documents([(1, None), (2, " \n")])).collect()] == [(0, 0.0)] * 2
     assert mixing.mix_report(spark, documents([(1, "x")]).limit(0)).count() == 0
