@@ -6,9 +6,11 @@ The bundle table holds one row per bundle: its bytes, and for each record its id
 raw frame. A record is read by decompressing its one frame.
 
 Bundles are rows of a binary column in a written table, so that they live in whatever store Spark writes to; export_files() writes them
-as plain .warc.zst files where a folder is mounted everywhere.
+as plain .warc.zst files where a folder is mounted everywhere. A bundle is a cell of at most about 2 MB: locate() gives a record's offset in
+its frame, and reading it fetches the cell that has the frame, not the frame alone; seeking within a bundle is for the exported files.
 
-Defined cases: a null payload is empty. A null page identifier is written as "null", is never a response that others refer to and comes
+Defined cases: records of rows with one page_id have one WARC-Record-ID, as they are told apart by nothing else. A
+null payload is empty. A null page identifier is written as "null", is never a response that others refer to and comes
 back as null. Repeated rows each give a record. An empty table gives no bundle. Other columns are ignored.
 """
 

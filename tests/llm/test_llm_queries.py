@@ -71,7 +71,7 @@ def test_pipeline_with_odd_rows(spark, tmp_path, rows):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == start.columns
     near = spark.read.parquet(f"{tmp_path}/near_dedup").select("doc_id").collect()
-    assert sorted((r.doc_id for r in near), key=repr) == sorted([1, 3, 6, None, 8, 9] if rows else [], key=repr)
+    assert sorted((r.doc_id for r in near), key=repr) == sorted([1, 5, 6, None, 8, 9] if rows else [], key=repr)  # of the empty texts, the one with most white space
 
 
 def test_pipeline(spark):
