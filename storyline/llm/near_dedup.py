@@ -8,10 +8,12 @@ probability (1 - 0.75^4)^32 = 5e-6.
 Sets come once each: documents with equal sets form a class, and only the class's first document goes on. In every band each document is
 compared with the band's first document, never with all. Links join documents into components. Where a band's documents are then still in
 more than one component, those go on that have enough shingles that any other document has at all, and are compared with the band's most
-central document. What is left after that, in bands of whatever size, is split by a second key: a document's rarest shared shingles. Sets
-as similar as asked for have one in common among each one's rarest quarter (prefix filtering; Chaudhuri et al., 2006), so a passage that
-very many documents share is nobody's key, and keys whose documents are all in one component make no pairs. Pairs within the others need
-like sizes, enough equal registers, and few enough different parities of 2048 finer ones, before their sets are fetched.
+central document. A band of what is left after that is split by a second key, from documents' rarest shared shingles: sets as similar as
+asked for have one in common among each one's rarest quarter (prefix filtering; Chaudhuri et al., 2006), so documents that no chain of such
+shingles connects are of different clusters and can't be linked. A passage that very many documents share is nobody's key, and a key whose
+documents are all in one component counts for none. Pairs meet within one band and cluster and across components only, once each; they need
+like sizes, enough equal registers, and few enough different parities of 2048 finer ones, before their sets are fetched. What stays
+quadratic is the work on documents of one cluster that differ from its centre and yet could be linked with each other by all these bounds.
 
 A candidate pair is estimated first: the likelihood of the numbers of greater, less and equal registers, jointly with both set sizes, gives
 the similarity; a pair is put aside only if a similarity of 0.75 is less likely than the best one by e^30. All others are confirmed on the
@@ -313,15 +315,34 @@ def prefix_keys(left: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     return ws.put(keyed.join(open_keys, ["key", "size"], "left_semi"), "open-keys")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
-    """Those of pairs (a, b) with enough equal registers and few enough different parities."""
-    of = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = sets.join(of, "doc_id", "left_semi")
-    sketched = ws.put(parity_table(held).join(held.select("doc_id", register_array(F.col("registers")).alias("regs")), "doc_id"), "finer")
-    side = lambda n: sketched.select(F.col("doc_id").alias(n), F.col("regs").alias(f"regs_{n}"), F.col("bits").alias(f"bits_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    enough = (equal_registers(F.col("regs_a"), F.col("regs_b")) >= LEAST_EQUAL) & (different_bits(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT)
-    return ws.put(both.where(enough).select("a", "b"), "alike")
+def clusters(keys: DataFrame, ws: Workspace) -> DataFrame:
+    """(doc_id, cluster): documents that share keys, directly or through others, are of one cluster; no link is between two of them."""
+    first = keys.groupBy("key", "size").agg(F.min("doc_id").alias("first"))
+    edges = ws.put(keys.join(first, ["key", "size"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "cluster-edges")
+    return components(edges, ws, "clusters").withColumnRenamed("component", "cluster")
+
+
+def across(left: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
+    """Candidates (a, b) of left (band, cluster, doc_id, component, n, shared) in different components: each pair once, in its first common
+    band, and only if sizes, shared shingles, registers and parities allow a link. The largest component of a band and cluster meets the
+    others and not itself."""
+    counts = left.groupBy("band", "cluster", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = ws.put(counts.groupBy("band", "cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main")), "main")
+    held = sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    finer = parity_table(held).join(held.select("doc_id", register_array(F.col("registers")).alias("regs")), "doc_id")
+    finer = ws.put(finer.join(left.groupBy("doc_id").agg(F.collect_set("band").alias("bands")), "doc_id"), "finer")  # 32 bands at most
+    sides = ws.put(left.join(main, ["band", "cluster"]).join(finer, "doc_id"), "sides")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n", "shared", "bands", "regs", "bits")]
+    minor = sides.where("component <> main").select("band", "cluster", *side("a"))
+    other = sides.select("band", "cluster", *side("b"), (F.col("component") == F.col("main")).alias("in_main"))
+    met = (F.col("component_a") != F.col("component_b")) & (F.col("in_main") | (F.col("doc_id_a") < F.col("doc_id_b")))
+    met = met & may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b"))
+    met = met & (DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
+    met = met & (minor["band"] == F.array_min(F.array_intersect("bands_a", "bands_b")))
+    met = met & (equal_registers(F.col("regs_a"), F.col("regs_b")) >= LEAST_EQUAL)
+    met = met & (different_bits(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT)
+    pairs = minor.join(other, (minor["band"] == other["band"]) & (minor["cluster"] == other["cluster"]) & met)
+    return ws.put(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "across")
 
 
 def settle(members: DataFrame, sets: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
@@ -343,13 +364,12 @@ def settle(members: DataFrame, sets: DataFrame, links: DataFrame, ws: Workspace)
     left = open_members(left, components(links, ws, "centres"), ws, "second")
     if left.isEmpty():
         return links
-    left = ws.put(left.select("doc_id", "component", "n", "shared").distinct(), "unsettled")
-    keys = prefix_keys(left, sets, ws)
-    side = lambda x: keys.select("key", "size", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n", "shared")))
-    met = side("a").join(side("b"), ["key", "size"]).where(F.col("doc_id_a") < F.col("doc_id_b")).where(F.col("component_a") != F.col("component_b"))
-    met = met.where(may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b"))).where(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
-    pairs = ws.put(met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "across")
-    return links.unionByName(ws.put(confirmed(alike(pairs, sets, ws), sets), "across-links"))
+    unsettled = ws.put(left.select("doc_id", "component", "n", "shared").distinct(), "unsettled")
+    of = clusters(prefix_keys(unsettled, sets, ws), ws)
+    split = ws.put(left.join(of, "doc_id"), "split")
+    still = split.groupBy("band", "cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "cluster")
+    pairs = across(ws.put(split.join(still, ["band", "cluster"], "left_semi"), "open"), sets, ws)
+    return links.unionByName(ws.put(confirmed(pairs, sets), "across-links"))
 
 
 def link_documents(documents: DataFrame, ws: Workspace) -> DataFrame:
@@ -373,7 +393,7 @@ def link_documents(documents: DataFrame, ws: Workspace) -> DataFrame:
     ws.sweep()
     links = settle(shared.where("n > 2").select("band", "doc_id"), sets, links, ws)
     of = components(links, ws, "all").select(F.col("doc_id").alias("class"), "component")
-    ws.drop("sets", "shared", "pivots", "first-placed", "first-members", "second-placed", "second-members", "sized", "keys", "open-keys", "often", "finer")
+    ws.drop("sets", "shared", "pivots", "first-placed", "first-members", "second-placed", "second-members", "sized", "keys", "open-keys", "often", "finer", "sides", "split", "open")
     ws.sweep()
     out = members.join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
