@@ -200,3 +200,23 @@ def test_designed_voices(spark, root):
     chosen = book.design_voices(lambda path, text, instruct: made.append((path, instruct)), "qwen3tts")
     assert made == [(f"{root}/voices/Ann.wav", "bright")]
     assert chosen == {"tone": CONFIG["voices"], "qwen3tts": {"Ann": "voices/Ann.wav", "narrator": "voices/narrator.wav"}}
+
+
+def test_transcription_by_a_provider(spark, root, monkeypatch):
+    """The book's provider gets the samples of each line's current audio."""
+
+    class Counting:
+        name = "counting"
+
+        def transcribe(self, clips, sample_rate, lang):
+            return [f"{len(c)} {sample_rate} {lang}" for c in clips]
+
+    monkeypatch.setitem(providers.HEARING, "echo", Counting)
+    book = Book(spark, str(root))
+    lines = spark.createDataFrame([("x", "a"), ("y", "b"), ("z", "a")], "id string, audio string")
+    samples = [("a", 3, np.zeros(3, "<f4").tobytes()), ("b", 5, np.zeros(5, "<f4").tobytes()), ("c", 1, np.zeros(1, "<f4").tobytes())]
+    spark.createDataFrame(samples, "audio string, n_samples long, samples binary").write.parquet(f"{book.work}/audio")
+    assert {tuple(r) for r in book.heard(lines).collect()} == {("x", "3 24000 en"), ("y", "5 24000 en"), ("z", "3 24000 en")}
+    assert providers.Deaf().transcribe([np.zeros(2)], 24000, "en") == [""]
+    with pytest.raises(KeyError, match="no transcription provider 'none'"):
+        providers.found(providers.HEARING, "none", "transcription")
