@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, near_dedup, packing, sharding, substring_dedup, topk_search, toxicity, warc
+from . import bpe, exact_dedup, importance, license_scan, mixing, near_dedup, packing, sharding, substring_dedup, topk_search, toxicity, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore_topk": lambda spark, sf: topk_search.search_embeddings(spark, table(spark, sf, "embeddings")),
     "op9_repeated_phrases": lambda spark, sf: substring_dedup.remove_repeats(spark, table(spark, sf, "documents")),
     "op10_setsketch_near_dedup": lambda spark, sf: near_dedup.near_duplicates(spark, table(spark, sf, "documents")),
+    "op11_whitening": lambda spark, sf: whitening.whiten(spark, table(spark, sf, "embeddings")),
+    "op12_importance_resampling": lambda spark, sf: importance.resample(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op13_forced_boundary_bpe": lambda spark, sf: bpe.encode_documents(spark, table(spark, sf, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op8_maxscore_topk": topk_search.ORACLE,
     "op9_repeated_phrases": substring_dedup.ORACLE,
     "op10_setsketch_near_dedup": near_dedup.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
 }

@@ -21,6 +21,9 @@ RESULTS = {
     "op8": {"query_id", "rank", "vec_id", "score"},
     "op9": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op10": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op11": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+    "op12": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op13": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
 }
 
 

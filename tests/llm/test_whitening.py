@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from storyline.llm import whitening
+from storyline.llm.whitening import Moments, Whitener
+
+SCHEMA = "vec_id long, embedding array<float>, label int, x string, key long, n int, again string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, 0, "x", 1, 2, "y") for i, v in rows], SCHEMA)
+
+
+def whitened(spark, rows, **options):
+    return whitening.whiten(spark, frame(spark, rows).repartition(5), **options).collect()
+
+
+def plain(rows, components=4):
+    """Python's integers for n and deviations, numpy for the rest, over distinct vectors in one piece."""
+    kept = [(i, [math.floor(256 * float(np.float32(c))) for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    dims = max((len(v) for _, v in kept), default=0)
+    kept = [(i, v + [0] * (dims - len(v))) for i, v in kept]
+    fit = sorted({tuple(v) for _, v in kept})
+    n, sums = len(fit), [sum(c) for c in zip(*fit, strict=True)]
+    x = np.array(fit, float).reshape(n, dims)
+    mean = np.array([s / n for s in sums])
+    covariance = (x - mean).T @ (x - mean) / n
+    values, vectors = np.linalg.eigh(covariance)
+    top = np.argsort(-values)[:components]
+    out = {}
+    for i, v in kept:
+        deviation = sum((n * a - s) ** 2 for a, s in zip(v, sums, strict=True))
+        for k, c in enumerate(top, 1):
+            out.setdefault((i, k), []).append((n, deviation, (np.array(v) - mean) @ vectors[:, c] / math.sqrt(max(values[c], 1e-300)), values[c] / max(np.trace(covariance), 1e-300)))
+    return out
+
+
+def check(got, want):
+    assert len(got) == sum(map(len, want.values())) and len({r.identity_error for r in got}) == 1
+    assert got[0].identity_error <= 1e-9
+    sign = {}
+    for r in got:
+        n, deviation, value, explained = want[r.vec_id, r.component][0]
+        assert r.n == n and r.exact_deviation == str(deviation) and r.deviation == (deviation if deviation < 1 << 63 else None)
+        assert r.explained == pytest.approx(explained, rel=1e-9)
+        if abs(value) > 1e-6:
+            assert sign.setdefault(r.component, np.sign(value * r.whitened)) == np.sign(value * r.whitened)
+        assert abs(r.whitened) == pytest.approx(abs(value), rel=1e-8, abs=1e-8)
+
+
+def vectors(n, dims, seed=0):
+    r = np.random.default_rng(seed)
+    return [(k, v) for k, v in enumerate((r.normal(size=(n, dims)) * np.linspace(3, 0.3, dims) + r.normal(size=dims)).astype(np.float32).tolist())]
+
+
+@pytest.mark.parametrize("dims", [2, 16])
+def test_against_plain(spark, dims):
+    rows = vectors(700, dims)
+    check(whitened(spark, rows), plain(rows))
+
+
+def test_copies_count_once_and_each_row_is_given(spark):
+    """Of 900 rows a third are one vector; others differ only beyond what the integers hold."""
+    rows = vectors(600, 8)
+    rows += [(1000 + k, rows[0][1]) for k in range(300)] + [(2000, [c + 1e-5 for c in rows[0][1]])]
+    got = whitened(spark, rows)
+    check([r for r in got if r.vec_id < 2000], {k: v for k, v in plain(rows).items() if k[0] < 2000} | {})
+    first, last = ({r.component: r.whitened for r in got if r.vec_id == i} for i in (0, 1000))
+    assert first == last
+
+
+def test_odd_rows(spark):
+    rows = [*vectors(100, 6), (500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("-inf")] * 6), (504, []), (505, [1.0, 2.0]), (505, [1.0, 2.0, 0.0, 0.0]), (506, [-0.0] * 6), (None, [0.5] * 6), (7, [0.25] * 6)]
+    got = whitened(spark, rows)
+    kept = [r for r in rows if r[0] is None or r[0] < 500 or r[0] > 503]
+    assert sorted((repr(r.vec_id), r.component) for r in got) == sorted((repr(i), k) for i, _ in kept for k in range(1, 5))
+    assert {r.n for r in got} == {plain(rows)[0, 1][0][0]}  # the empty vector is one of zeros, and vectors filled up are one
+    check([r for r in got if r.vec_id is not None and r.vec_id < 100 and r.vec_id != 7], {k: v for k, v in plain(rows).items() if k[0] is not None and k[0] < 100 and k[0] != 7})
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [])]])
+def test_nothing_to_whiten(spark, rows):
+    assert whitened(spark, rows) == []
+
+
+def test_components_without_variance_are_null(spark):
+    one = whitened(spark, [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0])])
+    assert [(r.component, r.n, r.deviation, r.whitened, r.explained) for r in sorted(one, key=lambda r: (r.vec_id, r.component))] == [(k, 1, 0, None, 0.0) for k in (1, 2, 3)] * 2
+    line = whitened(spark, [(k, [float(k), 2.0 * k, 0.0]) for k in range(5)])
+    assert {r.component: r.whitened is None for r in line} == {1: False, 2: True, 3: True}
+    assert {round(r.explained, 9) for r in line if r.component == 1} == {1.0} and line[0].identity_error < 1e-9
+
+
+def test_deviation_beyond_64_bits(spark):
+    rows = vectors(40, 3) + [(100, [3e9, 1.0, -2e9]), (101, [1e5, 1e5, -1e5])]
+    got, want = whitened(spark, rows), plain(rows)
+    assert all(int(r.exact_deviation) == want[r.vec_id, r.component][0][1] for r in got)
+    assert any(r.deviation is None for r in got)
+
+
+def test_sums_of_any_size_are_exact():
+    """As of billions of vectors, whose sums need more than 24 bits a part."""
+    x = np.array([[3, -7, 0], [1 << 20, 5, -(1 << 23)]])
+    w = Whitener(10**11, [10**15 + 7, -(10**18) - 3, 0], np.zeros(3), np.zeros((3, 1)), [1.0], [True])
+    assert w.deviations(x) == [sum((w.n * int(c) - s) ** 2 for c, s in zip(v, w.sums, strict=True)) for v in x]
+
+
+def test_merging_is_as_good_as_one_piece():
+    """Far from zero, where sums of squares would lose all digits; and in any grouping."""
+    x = np.random.default_rng(1).integers(0, 50, (3000, 5)) + 10**8
+    parts = [Moments.of(p) for p in np.array_split(x, [1, 2, 700, 701, 2999])] + [Moments.none(5)]
+    left = Moments.none(5)
+    for p in parts:
+        left = left.merge(p)
+    right = Moments.none(5)
+    for p in reversed(parts):
+        right = p.merge(right)
+    exact = np.cov((x - 10**8).T, bias=True)
+    for m in (left, right):
+        assert m.n == 3000 and m.sums == [int(c) for c in x.sum(0)]
+        assert np.allclose(m.covariance(), exact, rtol=1e-9)
