@@ -329,8 +329,8 @@ class Book:
         todo = (state.where(F.col("audio").isNotNull()) if force else verify.pending(state, results)).join(self.inventory(), "audio")
         heard = todo.join(transcribe(todo), "id").join(self.table("lines", chapters).select("id", "text"), "id")
         syllable = self.pronunciation()
-        rated = verify.compare(heard, self.lang, syllable=syllable).withColumn("duration", F.col("n_samples") / rate)
-        new = rated.withColumn("ok", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), F.col("duration"), self.lang, threshold, syllable))
+        rated = verify.compare(heard, self.lang, syllable=syllable, short="short").withColumn("duration", F.col("n_samples") / rate)
+        new = rated.withColumn("ok", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), F.col("duration"), self.lang, threshold, syllable, F.col("short")))
         columns = [c.split()[0] for c in books.VERIFY.split(", ")]
         kept = verify.current(state, results).join(todo.select("id"), "id", "left_anti")
         self.replace(kept.select(columns).unionByName(new.select(columns)), "verify")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from ..functions import fixed
 from ..functions.text import chars_per_s, replace_matches, strip, zh_number
 
+COMPARED = ["edits", "reference", "hypothesis", "kinds"]
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
@@ -29,6 +32,7 @@ def compatible(text: Column) -> Column:
 def pronunciation(table: dict[str, str]) -> Callable[[Column], Column]:
     """A table from Han character to toneless syllable, for `syllable`: characters go to the first one of their syllable, and those few to
     it. Others have none."""
+    table = {character: "".join(syllable.split()) for character, syllable in table.items()}
     first: dict[str, str] = {}
     for character, syllable in table.items():
         first.setdefault(syllable, character)
@@ -37,61 +41,89 @@ def pronunciation(table: dict[str, str]) -> Callable[[Column], Column]:
     return lambda c: F.try_element_at(known, F.translate(c, characters, firsts))
 
 
-def tokens(text: Column, lang: str = "en", syllable: Callable[[Column], Column] | None = None) -> Column:
-    """Tokens to compare, of compatible forms. English: words without punctuation. Chinese: digits in words, then each Han character (by
-    `syllable`, if there is a pronunciation table) and other runs whole."""
-    text = F.lower(compatible(text))
+def spaced(text: Column, lang: str = "en", syllable: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens to compare, of compatible forms, with white space between them. English: words without punctuation. Chinese: digits in words,
+    then each Han character (by `syllable`, if there is a pronunciation table) and other runs whole."""
     if lang == "zh":
-        text = replace_matches(text, "[0-9]+", zh_number)
-    text = F.regexp_replace(text, r"(?U)[^\w\s]", "")
-    if lang == "zh":
-        found = F.regexp_extract_all(text, F.lit(r"(?U)[一-鿿]|[^一-鿿\s]+"), F.lit(0))
-        return F.transform(found, lambda t: F.coalesce(syllable(t), t)) if syllable else found
-    return F.filter(F.split(strip(text), r"(?U)\s+", -1), lambda t: t != "")
+        return F.array_join(tokens(text, lang, syllable), " ")
+    return F.regexp_replace(F.lower(compatible(text)), r"(?U)[^\w\s]+", "")
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Fewest insertions, deletions and substitutions. A row of the table is one vector operation: insertions spread along it as a running
-    minimum, since a cell's distance less its column can't grow again from left to right."""
-    if len(a) < len(b):
+def tokens(text: Column, lang: str = "en", syllable: Callable[[Column], Column] | None = None) -> Column:
+    """The same as an array."""
+    if lang != "zh":
+        return F.filter(F.split(strip(spaced(text, lang)), r"(?U)\s+", -1), lambda t: t != "")
+    text = F.regexp_replace(replace_matches(F.lower(compatible(text)), "[0-9]+", zh_number), r"(?U)[^\w\s]", "")
+    found = F.regexp_extract_all(text, F.lit(r"(?U)[一-鿿]|[^一-鿿\s]+"), F.lit(0))
+    return F.transform(found, lambda t: F.coalesce(syllable(t), t)) if syllable else found
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Fewest insertions, deletions and substitutions, by bit vectors of any length.
+
+    Down a column of the table neighbours differ by one at most, so a column is two sets of rows as bits of an integer: where the distance
+    grows from the row before, and where it falls. One step to the next column is a few operations on whole integers (an addition carries
+    along runs of equal tokens), whatever the number of rows; the last row's distance is kept by its own bit.
+    """
+    a, b = list(a), list(b)
+    first = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[first:], b[first:]
+    if len(a) > len(b):
         a, b = b, a
-    columns = np.arange(len(b) + 1)
-    row = columns.copy()
-    for k, token in enumerate(a, 1):
-        changed = np.empty_like(row)
-        changed[0] = k
-        np.minimum(row[1:] + 1, row[:-1] + (b != token), out=changed[1:])
-        row = np.minimum.accumulate(changed - columns) + columns
-    return int(row[-1])
+    if not a:
+        return len(b)
+    rows_of: dict[object, int] = {}
+    for k, token in enumerate(a):
+        rows_of[token] = rows_of.get(token, 0) | 1 << k
+    every, last, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    grows, falls = every, 0
+    for token in b:
+        same = rows_of.get(token, 0)
+        along = (((same & grows) + grows) ^ grows) | same  # rows whose diagonal step costs nothing, by a run that the carry extends
+        more, less = (falls | ~(along | grows)) & every, grows & along  # against the column before
+        distance += bool(more & last) - bool(less & last)
+        more, less = more << 1 | 1, less << 1
+        either = same | falls
+        grows, falls = (less | ~(either | more)) & every, more & either & every
+    return distance
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in COMPARED]))
+def compared(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """Distance of two texts' tokens, which white space separates, how many each has, and how many different ones the first. Texts come as
+    they lie in Arrow and are split here, since an array of strings costs the JVM more than the rest of the comparison."""
+    found = []
+    for a, b in zip(reference.to_pylist(), hypothesis.to_pylist(), strict=True):
+        x, y = (a or "").split(), (b or "").split()
+        found.append((edit_distance(x, y), len(x), len(y), len(set(x))))
+    columns = zip(*found, strict=True) if found else ((), (), (), ())
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], COMPARED)
 
 
-@F.pandas_udf(T.IntegerType())
-def token_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    def of(a: np.ndarray, b: np.ndarray) -> int:
-        numbers: dict[str, int] = {}
-        x, y = (np.array([numbers.setdefault(t, len(numbers)) for t in s], np.int64) for s in (a, b))
-        return edit_distance(x, y)
-
-    return pd.Series([of(a, b) for a, b in zip(reference, hypothesis, strict=True)], dtype="int32")
+def error_rate(edits: Column, reference: Column, hypothesis: Column) -> Column:
+    """Edits by the number of reference tokens; without any, 0 if there is nothing to compare and 1 otherwise. May exceed 1."""
+    return F.when(reference > 0, edits / reference).when(hypothesis > 0, 1.0).otherwise(0.0)
 
 
-def error_rate(edits: Column, reference: Column, hypothesis: Column) -> Column:
-    """Edits by reference tokens; without any, 0 if there is nothing to compare and 1 otherwise. May exceed 1."""
-    return F.when(F.size(reference) > 0, edits / F.size(reference)).when(F.size(hypothesis) > 0, 1.0).otherwise(0.0)
+def few(n: Column, kinds: Column) -> Column:
+    """Whether a text is a few syllables, or one or two again and again: too little for a transcript to say anything about."""
+    return (n <= 4) | (kinds <= 2)
 
 
-def compare(pairs: DataFrame, lang: str = "en", reference: str = "text", hypothesis: str = "transcript", syllable: Callable[[Column], Column] | None = None) -> DataFrame:
-    """pairs with edits and error_rate."""
-    rows = pairs.withColumn("_r", tokens(F.col(reference), lang, syllable)).withColumn("_h", tokens(F.col(hypothesis), lang, syllable))
-    rows = rows.withColumn("edits", token_edits("_r", "_h"))
-    return rows.withColumn("error_rate", error_rate(F.col("edits"), F.col("_r"), F.col("_h"))).drop("_r", "_h")
+def compare(pairs: DataFrame, lang: str = "en", reference: str = "text", hypothesis: str = "transcript", syllable: Callable[[Column], Column] | None = None, short: str | None = None) -> DataFrame:
+    """pairs with edits and error_rate, and in column `short`, if asked for, whether the reference has few tokens."""
+    rows = pairs.withColumn("_c", compared(spaced(F.col(reference), lang, syllable), spaced(F.col(hypothesis), lang, syllable)))
+    rows = rows.withColumn("edits", F.col("_c.edits")).withColumn("error_rate", error_rate(F.col("_c.edits"), F.col("_c.reference"), F.col("_c.hypothesis")))
+    return (rows.withColumn(short, few(F.col("_c.reference"), F.col("_c.kinds"))) if short else rows).drop("_c")
 
 
-def judge(text: Column, rate: Column, edits: Column, duration: Column, lang: str = "en", threshold: float = 0.15, syllable: Callable[[Column], Column] | None = None) -> Column:
-    """Whether audio is acceptable: never if far too long; always if the text is a few syllables; else by error rate, or a single edit."""
+def judge(text: Column, rate: Column, edits: Column, duration: Column, lang: str = "en", threshold: float = 0.15, syllable: Callable[[Column], Column] | None = None, short: Column | None = None) -> Column:
+    """Whether audio is acceptable: never if far too long; always if the text has few tokens (`short`, where that is known already); else by
+    error rate, or a single edit."""
     runaway = duration > 3 * (F.length(text) / chars_per_s(lang)) + 3
-    words = tokens(text, lang, syllable)
-    short = (F.size(words) <= 4) | (F.size(F.array_distinct(words)) <= 2)
+    if short is None:
+        words = tokens(text, lang, syllable)
+        short = few(F.size(words), F.size(F.array_distinct(words)))
     return F.when(runaway, False).when(short, True).otherwise((rate <= threshold) | (edits <= 1))
 
 

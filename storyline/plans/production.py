@@ -151,7 +151,7 @@ SELECT conv_id, turn, CASE WHEN turn + length(text) / 10.0::DOUBLE > 3 * (length
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf, "conversations").withColumn("next", F.lead(text).over(W.partitionBy("conv_id").orderBy("turn"))).where(F.col("next").isNotNull())
-    return verify.compare(rows.select("conv_id", "turn", text.alias("text"), F.col("next").alias("transcript")))
+    return verify.compare(rows.select("conv_id", "turn", text.alias("text"), F.col("next").alias("transcript")), short="short")
 
 
 @query(ERRORS)
@@ -162,7 +162,7 @@ def word_errors(spark: SparkSession, sf: str) -> DataFrame:
 @query(VERDICTS)
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     duration = F.col("turn") + F.length("text") / 10.0
-    return pairs(spark, sf).select("conv_id", "turn", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), duration, threshold=0.95).alias("ok"))
+    return pairs(spark, sf).select("conv_id", "turn", verify.judge(F.col("text"), F.col("error_rate"), F.col("edits"), duration, threshold=0.95, short=F.col("short")).alias("ok"))
 
 
 #: Names under which whole turns were compared when the two above still cut them.

@@ -109,6 +109,29 @@ def test_edit_distance_against_the_plain_recurrence():
         assert verify.edit_distance(a, b) == table[len(a), len(b)]
 
 
+@pytest.mark.parametrize("most", [0, 1, 40, 130, 2000])
+def test_bit_vectors_against_the_plain_recurrence(most):
+    """Texts of up to 2000 tokens, beyond any machine word, of few and of many kinds of tokens, alike and unlike."""
+    rng = np.random.default_rng(most)
+    for kinds in (1, 2, 5, 400):
+        a = rng.integers(0, kinds, most)
+        b = np.delete(np.insert(a, rng.integers(0, most + 1, 3), 7), rng.integers(0, most + 1, min(2, most))) if kinds == 400 else rng.integers(0, kinds, rng.integers(0, most + 1))
+        columns = np.arange(len(b) + 1)
+        row = columns.copy()
+        for k, token in enumerate(a, 1):
+            changed = np.append(k, np.minimum(row[1:] + 1, row[:-1] + (b != token)))
+            row = np.minimum.accumulate(changed - columns) + columns
+        assert verify.edit_distance(a, b) == verify.edit_distance(b, a) == row[-1]
+
+
+def test_texts_are_split_as_tokens_are(spark):
+    """What Python splits at is what the array of tokens is split at: white space of all kinds, and none that is left out before."""
+    texts = ["a\u00a0b\u2003c d\u0085e\x1cf\x1fg h", " \t\n", "", None, "\u3000x  y, z!", "co-op it's _u \u200b v\u2028w"]
+    rows = spark.createDataFrame([(t, t) for t in texts], "text string, transcript string").withColumn("c", verify.compared(verify.spaced(F.col("text")), verify.spaced(F.col("transcript"))))
+    for r in rows.withColumn("tokens", verify.tokens(F.col("text"))).collect():
+        assert r.c.edits == 0 and r.c.reference == r.c.hypothesis == len(r.tokens or []) and r.c.kinds == len(set(r.tokens or []))
+
+
 def test_pronunciation_table(value):
     same = lambda c: F.when(c.isin("风", "峰"), "feng").when(c.isin("林"), "lin")
     assert value(verify.tokens(F.lit("林风 ok"), "zh", same)) == ["lin", "feng", "ok"] == value(verify.tokens(F.lit("林峰ok"), "zh", same))
