@@ -67,6 +67,10 @@ class Book:
     def model(self) -> Model:
         return providers.found(providers.LANGUAGE, self.config.get("llm", {}).get("provider", "tagged"), "language")
 
+    def speech(self) -> Callable[[], providers.Speech]:
+        """The maker of the book's speech provider, for executors."""
+        return providers.configured(self.config.get("tts", {}))
+
     def hearing(self) -> Callable[[], providers.Hearing]:
         return providers.found(providers.HEARING, self.config.get("verify", {}).get("provider", "deaf"), "transcription")
 
@@ -165,9 +169,13 @@ class Book:
         answers = providers.ask(requests, model, system, budget=attribution.prompt_budget(self.num_ctx))
         answers.write.mode("overwrite").parquet(f"{self.work}/answers")
         answers = self.read("answers")
-        attribution.exchanges(requests, answers, self.config.get("llm", {}).get("provider", "tagged"), self.num_ctx).write.mode("append").json(f"{self.work}/exchanges")
+        self.exchanged(requests.join(answers, ["chapter", "window"]).select(F.col("passage").alias("prompt"), "response"))
         return answers
 
+    def exchanged(self, rows: DataFrame) -> None:
+        """Adds (prompt, response) to the log of exchanges."""
+        attribution.exchanges(rows, self.config.get("llm", {}).get("provider", "tagged"), self.num_ctx).write.mode("append").json(f"{self.work}/exchanges")
+
     def discover(self, model: Model) -> DataFrame:
         """Entries (chapter, hash, pos, name, aliases, description) of who speaks. Chapters whose text was read before keep theirs."""
         ask, system = prompts.DISCOVER[self.lang], prompts.ROLE[self.lang]
@@ -194,18 +202,13 @@ class Book:
         model = model or self.model()
         entries = self.discover(model).where(F.col("name").isNotNull())
         overhead = attribution.tokens_of(prompts.MERGE[self.lang] + prompts.ROLE[self.lang])
-        batches = people.merge_batches(entries, attribution.window_budget(overhead, self.num_ctx) // 2, self.config.get("cast", {}).get("merge_chapters", 5))
-        rows = entries.join(batches, "chapter").orderBy("batch", "chapter", "pos").collect()  # a book's characters, as its configuration holds them
-        cast: list[people.Character] = []
-        for batch in dict.fromkeys(r["batch"] for r in rows):
-            some = [r.asDict() for r in rows if r["batch"] == batch]
-            unknown = people.unresolved(cast, some)
-            groups = []
-            if unknown:
-                prompt = people.merge_prompt(prompts.MERGE[self.lang], prompts.NOBODY[self.lang], cast, unknown)
-                request = self.spark.createDataFrame([(WHOLE, batch, prompt)], "chapter int, window int, passage string")
-                groups = json.loads(self.asked(request, model, prompts.ROLE[self.lang]).first()["response"]).get("groups", [])
-            cast = people.merge_entries(cast, some, groups)
+        room = attribution.window_budget(overhead, self.num_ctx) // 2
+        merged = people.merged_casts(entries.withColumn("book", F.lit(self.root)), room, self.config.get("cast", {}).get("merge_chapters", 5), self.lang, model, attribution.prompt_budget(self.num_ctx))
+        merged.write.mode("overwrite").parquet(f"{self.work}/merged")
+        merged = self.read("merged")
+        self.exchanged(merged.where("kind = 'exchange'").select("prompt", "response"))
+        rows = merged.where("kind = 'character'").orderBy("pos").collect()  # a book's characters, as its configuration holds them
+        cast = [people.Character(r["name"], list(r["aliases"]), r["description"], chapters=list(r["chapters"])) for r in rows]
         if cast:
             spoken = dialogue.span_rows(self.read("normalized"), cast, self.lang).where("kind = 'dialogue' AND speaker IS NOT NULL").select("chapter", "speaker")
             ranked = people.rank_cast(self.spark, cast, self.read("normalized"), spoken, self.config.get("cast", {}).get("main_cap", 20))
@@ -271,21 +274,30 @@ class Book:
         return self.table("render")
 
     def _render_some(self, chapters: list[int], current: DataFrame, force: bool) -> None:
-        speech = providers.speech(self.backend)
+        make = self.speech()
+        speech = make()
         jobs = planning.plan(self.table("lines", chapters), self.table("render"), self.inventory().select("audio"), self.voice_map(), speech.name, self.params, speech.max_chars, self.lang, self.fingerprints(), force)
         jobs.write.mode("overwrite").parquet(f"{self.work}/jobs")
         jobs = self.read("jobs")
         size = planning.batch_size(self.config.get("tts", {}).get("batch"), speech.batch_size, hasattr(speech, "synthesize_batch"))
-        made = providers.joined_audio(providers.synthesize(planning.batches(jobs, size, 8000 if size > 1 else 0, self.lang), self.backend, self.lang), speech.sample_rate)
+        made = providers.joined_audio(providers.synthesize(planning.batches(jobs, size, 8000 if size > 1 else 0, self.lang), make, self.lang), speech.sample_rate)
         fresh = made.join(jobs.select("id", F.col("audio").alias("file")), "id").select(F.col("file").alias("path"), "n_samples", F.col("audio").alias("samples"))
         fresh.dropDuplicates(["path"]).withColumnRenamed("path", "audio").write.mode("append").parquet(f"{self.work}/audio")
         self.replace(jobs.select("id", "chapter", "audio", F.lit(speech.name).alias("backend"), "attempts"), "render")
         self.mark("render", current.where(F.col("chapter").isin(chapters)))
 
     def heard(self, lines: DataFrame) -> DataFrame:
-        """(id, transcript) of lines (id, audio) by the book's transcription provider."""
-        samples = self.read("audio").select("audio", "samples").dropDuplicates(["audio"])
-        return providers.transcribe(lines.select("id", "audio").join(samples, "audio"), self.hearing(), providers.speech(self.backend).sample_rate, self.lang)
+        """(id, transcript) of lines (id, audio) by the book's transcription provider, several lines of a chapter in one call if it gives
+        segments."""
+        make, rate = self.hearing(), self.speech()().sample_rate
+        samples = self.read("audio").select("audio", "samples", (F.col("n_samples") / rate).alias("duration")).dropDuplicates(["audio"])
+        alone = lambda rows: providers.transcribe(rows, make, rate, self.lang)
+        size = self.config.get("verify", {}).get("batch", 16)
+        if size < 2 or not providers.hears_segments(make):
+            return alone(lines.select("id", "audio").join(samples, "audio"))
+        chapter = F.col("chapter") if "chapter" in lines.columns else F.lit(0).alias("chapter")
+        rows = lines.select("id", "audio", chapter).join(samples, "audio")
+        return verify.heard_in_groups(rows, size, lambda laid: providers.transcribe_groups(laid, make, rate, self.lang), alone, self.lang)
 
     def rendered_hash(self) -> DataFrame:
         return self._hash_of(self.table("render"), "id", "audio")
@@ -325,7 +337,7 @@ class Book:
 
     def _verify_some(self, chapters: list[int], transcribe: Callable[[DataFrame], DataFrame], threshold: float, force: bool) -> None:
         state, results = self.table("render", chapters), self.table("verify", chapters)
-        rate = providers.speech(self.backend).sample_rate
+        rate = self.speech()().sample_rate
         todo = (state.where(F.col("audio").isNotNull()) if force else verify.pending(state, results)).join(self.inventory(), "audio")
         heard = todo.join(transcribe(todo), "id").join(self.table("lines", chapters).select("id", "text"), "id")
         syllable = self.pronunciation()
@@ -341,7 +353,7 @@ class Book:
     def build(self) -> DataFrame:
         """The timeline of chapters that are ready: every line's start and end, chapter markers, and the chapter metadata once all are ready."""
         states = self.render_reasons()
-        rate = providers.speech(self.backend).sample_rate
+        rate = self.speech()().sample_rate
         lines = timeline.ready(self.table("lines"), states).join(self.table("render").select("id", "audio"), "id").join(self.inventory(), "audio")
         lines = lines.withColumn("duration", F.col("n_samples") / rate)
         timeline.with_offsets(lines, self.pauses).select("id", "chapter", "speaker", "audio", "pause", "start", "end").write.mode("overwrite").parquet(f"{self.work}/timeline")

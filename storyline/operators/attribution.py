@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.folds import context_windows
-from ..functions.text import approx_tokens
+from ..functions.text import approx_tokens, tokens_of  # noqa: F401
 from ..providers import PromptTooLong
 from .cast import Character, resolver
 
@@ -31,12 +30,6 @@ def window_budget(overhead: int, num_ctx: int = 16384) -> int:
     return left
 
 
-def tokens_of(text: str) -> int:
-    """approx_tokens of a text that isn't in a column."""
-    other = len(re.sub(fixed.CJK, "", text))
-    return len(text) - other - (-other // 3)
-
-
 def over_budget(prompts: DataFrame, num_ctx: int = 16384) -> DataFrame:
     """Prompts (system, prompt) that must not be sent."""
     need = approx_tokens(F.coalesce("system", F.lit(""))) + approx_tokens(F.col("prompt"))
@@ -74,10 +67,9 @@ def requests(spans: DataFrame, budget: int, styled: bool = False) -> DataFrame:
     return rows.where(asked).select("chapter", "window", F.get("ps", F.col("a"))["para"].alias("first"), F.get("ps", F.col("z"))["para"].alias("last"), text.alias("passage"))
 
 
-def exchanges(requests: DataFrame, responses: DataFrame, model: str, num_ctx: int = 16384) -> DataFrame:
-    """(model, num_ctx, tokens, prompt, response): a log of what was asked and answered, to be appended as JSON lines."""
-    both = requests.join(responses, ["chapter", "window"])
-    return both.select(F.lit(model).alias("model"), F.lit(num_ctx).alias("num_ctx"), approx_tokens(F.col("passage")).alias("tokens"), F.col("passage").alias("prompt"), "response")
+def exchanges(rows: DataFrame, model: str, num_ctx: int = 16384) -> DataFrame:
+    """(model, num_ctx, tokens, prompt, response) of rows (prompt, response): a log of what was asked and answered, to be appended as JSON lines."""
+    return rows.select(F.lit(model).alias("model"), F.lit(num_ctx).alias("num_ctx"), approx_tokens(F.col("prompt")).alias("tokens"), "prompt", "response")
 
 
 def parse_answers(responses: DataFrame) -> DataFrame:

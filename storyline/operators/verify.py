@@ -186,6 +186,22 @@ def goes_alone(duration: Column, group_size: Column) -> Column:
     return (duration > fixed.LONGEST_CLIP_S) | (group_size == 1)
 
 
+def heard_in_groups(audio: DataFrame, size: int, together: Callable[[DataFrame], DataFrame], alone: Callable[[DataFrame], DataFrame], lang: str = "en") -> DataFrame:
+    """(id, transcript) of audio (id, chapter, duration, samples), `size` lines of a chapter in one call.
+
+    together gives segments (whose, start, text) of clips (whose, id, start, end, samples) that are laid end to end; each goes to the clip in
+    which it starts. Clips that are too long, or left over in their group, go to alone, which gives (id, transcript). A clip in which nothing
+    was heard has an empty transcript.
+    """
+    grouped = fixed_groups(audio, "id", size, "chapter").withColumn("whose", F.concat_ws("/", F.col("chapter").cast("string"), F.col("group").cast("string")))
+    short = F.count_if(F.col("duration") <= fixed.LONGEST_CLIP_S).over(W.partitionBy("whose"))
+    marked = grouped.withColumn("single", goes_alone(F.col("duration"), short))
+    laid = clips(marked.where(~F.col("single")), by="whose")
+    found = segments_to_clips(together(laid), laid, by="whose", lang=lang)
+    quiet = laid.select("id").join(found.select("id", "transcript"), "id", "left").select("id", F.coalesce("transcript", F.lit("")).alias("transcript"))
+    return quiet.unionByName(alone(marked.where("single")).select("id", "transcript"))
+
+
 def segments_to_clips(segments: DataFrame, clips: DataFrame, by: str = "group", lang: str = "en") -> DataFrame:
     """(by, id, transcript): segments (start, text) go to the last clip that starts by then, or the first. One sort of both together: a
     segment takes the last clip before it, so no pair of a segment and a clip is made but the right one."""

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,25 +57,58 @@ def pool_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "backend string, pos int, id string, lang string, gender string, age string, narrator boolean")
 
 
+def narrowed(candidates: Sequence[Voice], *wishes: Callable[[Voice], bool]) -> Sequence[Voice]:
+    """The candidates that meet each wish in turn; a wish that none of those left meets is passed over."""
+    for wish in wishes:
+        candidates = [v for v in candidates if wish(v)] or candidates
+    return candidates
+
+
+def choose(pool: Sequence[Voice], wanted: tuple[str, str], uses: Counter[str], narrator: str) -> str:
+    """The voice for a wanted gender and age: of a fitting gender if there is one, among those the least used, then by age, then not the
+    narrator's, then by place in the pool."""
+    sex, years = wanted
+    left = narrowed(pool, lambda v: sex in ("?", v[2]))
+    least = min(uses[v[0]] for v in left)
+    return narrowed(left, lambda v: uses[v[0]] == least, lambda v: years in ("?", v[3]), lambda v: v[0] != narrator)[0][0]
+
+
 def assign(people: Sequence[tuple[str, tuple[str, str]]], voices: Sequence[Voice], existing: dict[str, str] | None = None) -> dict[str, str]:
-    """Role to voice for (name, profile) in order of importance: a ranked choice over role x voice. First comes matching gender, then how
-    little a voice is used, then matching age, then not being the narrator's; of equal ones the first of the pool. As use counts, each choice
-    depends on those before."""
+    """Role to voice for (name, profile) in order of importance. As use counts, each choice depends on those before."""
     chosen = dict(existing or {})
-    pool_ids = [v[0] for v in voices]
-    chosen.setdefault("narrator", next((v[0] for v in voices if v[4]), pool_ids[0]))
-    matches = lambda wanted, column: np.array([[w in ("?", v[column]) for v in voices] for w in wanted], np.int64).reshape(len(wanted), len(voices))
-    sex, years = (matches([p[1][k] for p in people], 2 + k) for k in (0, 1))
-    others = np.array([v != chosen["narrator"] for v in pool_ids], np.int64)
-    use = np.array([Counter(chosen.values())[v] for v in pool_ids], np.int64)
-    most = len(people) + len(chosen) + 1
-    for k, (name, _) in enumerate(people):
+    chosen.setdefault("narrator", narrowed(voices, lambda v: v[4])[0][0])
+    uses = Counter(chosen.values())
+    for name, wanted in people:
         if name not in chosen:
-            best = int(np.argmax(((sex[k] * most + most - use) * 2 + years[k]) * 2 + others))
-            chosen[name] = pool_ids[best]
-            use[best] += 1
-    chosen.setdefault("_default", chosen["narrator"])
-    return chosen
+            chosen[name] = choose(voices, wanted, uses, chosen["narrator"])
+            uses[chosen[name]] += 1
+    return chosen if "_default" in chosen else chosen | {"_default": chosen["narrator"]}
+
+
+ASSIGNED = "book string, role string, voice string"
+
+
+def assigned(roles: DataFrame, voices: Sequence[Voice]) -> DataFrame:
+    """(book, role, voice) for the roles (book, role, description, lines) of many books: profiles are columns, and books are folded in
+    parallel, each over its roles as they come sorted, the most lines first. A task holds the voices in use of one book, and no role list."""
+    wanted = roles.select("book", "role", gender(F.col("description")).alias("gender"), age(F.col("description")).alias("age"), "lines")
+    ordered = wanted.repartition("book").sortWithinPartitions("book", F.desc("lines"), "role")
+    narrator = narrowed(voices, lambda v: v[4])[0][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, uses, started = None, Counter(), False
+        for batch in batches:
+            out: list[tuple[str, str, str]] = []
+            for r in batch.to_pylist():
+                if not started or r["book"] != book:
+                    book, uses, started = r["book"], Counter([narrator]), True
+                    out += [(book, "narrator", narrator), (book, "_default", narrator)]
+                voice = choose(voices, (r["gender"], r["age"]), uses, narrator)
+                uses[voice] += 1
+                out.append((book, r["role"], voice))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 3, ["book", "role", "voice"])
+
+    return ordered.mapInArrow(run, ASSIGNED)
 
 
 def closest(name: str, names: Sequence[str]) -> str | None:

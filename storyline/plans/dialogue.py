@@ -193,6 +193,16 @@ def discovered_entries(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["whole_entries"], ORACLES["whole_entries"] = discovered_entries, ENTRIES
 
 
+#: Every conversation is a book and every turn a chapter, whose first word is a character's name and whose other words are aliases: names
+#: become aliases and aliases names throughout. A fold whose every step depends on all before it, so it has no SQL.
+@query()
+def merged_casts(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("book"), F.col("turn").cast("int").alias("chapter"), F.lit(0).alias("pos"), words.alias("words"), F.coalesce("text", F.lit("")).alias("description"))
+    entries = turns.where(F.size("words") > 0).select("book", "chapter", "pos", F.get("words", F.lit(0)).alias("name"), F.array_distinct("words").alias("aliases"), "description")
+    return c.merged_casts(entries, 2000).select(F.col("book").cast("long").alias("conv_id"), "pos", "name", F.array_join("aliases", ",").alias("aliases"), "description", F.array_join(F.transform("chapters", lambda x: x.cast("string")), ",").alias("chapters"))
+
+
 #: Each turn in one of four forms: a quote split by its tag; a tag before the quote; a quote left open that the next paragraph goes on with,
 #: which has a tag; and one whose next paragraph has none, so that its speaker goes on. What the rules must find is stated form by form.
 TAG, BEFORE = "said User, who was smiling at all of us in the room.", "Assistant said:"

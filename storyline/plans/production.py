@@ -187,6 +187,22 @@ def segment_clips(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", "id", F.size(F.split("transcript", " ")).cast("long").alias("segments"))
 
 
+#: The same with texts, which come in the order of their times.
+@query("""
+WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup'),
+s AS (SELECT user_id, event_id, ts, event_type || ' ' || CAST(event_id AS VARCHAR) AS text FROM events WHERE event_type <> 'signup' AND user_id IN (SELECT user_id FROM c)),
+f AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_id FROM c GROUP BY user_id),
+l AS (SELECT s.user_id, s.event_id, any_value(s.ts) AS ts, any_value(s.text) AS text, arg_max(c.event_id, (c.ts, c.event_id)) AS clip FROM s LEFT JOIN c ON c.user_id = s.user_id AND epoch_us(c.ts) <= epoch_us(s.ts) + 1000 GROUP BY s.user_id, s.event_id)
+SELECT l.user_id, CAST(coalesce(l.clip, f.first_id) AS BIGINT) AS id, string_agg(l.text, ' ' ORDER BY l.ts, encode(l.text)) AS transcript FROM l JOIN f ON f.user_id = l.user_id GROUP BY 1, 2
+""")
+def segment_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    clips = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("id"), seconds.alias("start"))
+    segments = events.where("event_type <> 'signup'").select("user_id", seconds.alias("start"), F.concat(F.lit(" "), "event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit(" ")).alias("text"))
+    return verify.segments_to_clips(segments.join(clips.select("user_id").distinct(), "user_id", "left_semi"), clips, by="user_id")
+
+
 #: Results: every fourth place has none, every sixth chapter's belong to older audio; errors by length.
 RESULTS = """st AS (SELECT id, chapter, para, CASE WHEN para % 5 <> 4 THEN 'a' || length(text) END AS audio, CAST(para % 3 AS INTEGER) AS attempts FROM lines),
   res AS (SELECT s.id, CASE WHEN s.chapter % 6 = 0 THEN 'old' ELSE s.audio END AS audio, (length(l.text) % 30) / 20.0::DOUBLE AS error_rate, length(l.text) % 30 < 12 AS ok FROM st s JOIN lines l ON l.id = s.id WHERE s.audio IS NOT NULL AND s.para % 4 <> 3),
@@ -349,6 +365,14 @@ def voice_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", voices.gender(text).alias("gender"), voices.age(text).alias("age"))
 
 
+#: Every conversation is a book whose roles are described by the longest of their turns. What a choice is depends on those before it.
+@query()
+def assigned_voices(spark: SparkSession, sf: str) -> DataFrame:
+    spoken = table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("book"), F.concat(F.col("role"), F.lit(" "), F.col("turn") % 5).alias("role"))
+    roles = spoken.agg(F.count(F.lit(1)).alias("lines"), F.max_by(F.coalesce("text", F.lit("")), F.struct(F.length("text"), F.col("turn"))).alias("description"))
+    return voices.assigned(roles, voices.pool("kokoro", "en")).select(F.col("book").cast("long").alias("conv_id"), "role", "voice")
+
+
 @query(rf"""
 WITH RECURSIVE {LINES}, t AS (SELECT speaker, id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM lines),
 u AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY id) AS k FROM t WHERE length(t) BETWEEN 4 AND 160),

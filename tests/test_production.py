@@ -230,6 +230,26 @@ def test_assign():
     assert voices.assign([("x", ("f", "?"))], pool, {"x": "am_adam", "narrator": "bm_george"})["x"] == "am_adam"
 
 
+def test_assign_for_many_books(spark):
+    """Each book as one by itself, its roles by lines; null is a book too."""
+    pool = voices.pool("kokoro", "en")
+    kinds = ["an old man", "a young girl", "his wife", "", None, "a middle-aged woman"]
+    rows = [(b, f"r{k:02d}", kinds[(k * 7 + n) % 6], (k * 5) % 9) for n, b in enumerate(["x", "y", None]) for k in range(20)]
+    got = voices.assigned(spark.createDataFrame(rows, "book string, role string, description string, lines int").repartition(5), pool).collect()
+    for b in ("x", "y", None):
+        people = [Character(r, description=d or "") for _, r, d, n in sorted((r for r in rows if r[0] == b), key=lambda r: (-r[3], r[1]))]
+        found = voices.profiles(spark, people)
+        assert {r.role: r.voice for r in got if r.book == b} == voices.assign([(c.name, found[c.name]) for c in people], pool)
+    assert voices.assigned(spark.createDataFrame([], "book string, role string, description string, lines int"), pool).collect() == []
+
+
+def test_wishes_come_in_order():
+    """Gender before use, use before age, age before not being the narrator's, and then the pool's order."""
+    pool = [("n", "en", "m", "old", True), ("f1", "en", "f", "young", False), ("m1", "en", "m", "young", False), ("m2", "en", "m", "adult", False)]
+    out = voices.assign([("a", ("m", "adult")), ("b", ("m", "adult")), ("c", ("m", "old")), ("d", ("f", "old")), ("e", ("f", "?")), ("g", ("m", "old")), ("h", ("?", "young"))], pool)
+    assert [out[k] for k in "abcdegh"] == ["m2", "m1", "n", "f1", "f1", "m1", "m2"]
+
+
 def test_voice_check():
     people = [Character("Elizabeth", ["Lizzy"]), Character("Jane")]
     errors, warnings = voices.check({"Elizabet": "af_heart", "Lizzy": "zf_xiaoni", "Jane@loud": "nope"}, people, "kokoro", "en", ["angry"])

@@ -184,6 +184,119 @@ def test_a_worker_program(tmp_path):
     worker.close()
 
 
+RESTART = """
+import json, os, sys, time, wave
+print(json.dumps({"ready": True, "sr": 8000, "batch": True}), flush=True)
+for line in sys.stdin:
+    r = json.loads(line)
+    items = r["items"] if r.get("kind") == "batch" else [r]
+    with open(os.path.join(sys.argv[1], "asked"), "a") as f:
+        f.write(json.dumps([i["text"] for i in items]) + "\\n")
+    if any(i["text"] == "die" for i in items) and not os.path.exists(os.path.join(sys.argv[1], "died")):
+        open(os.path.join(sys.argv[1], "died"), "w").close()
+        break
+    if any(i["text"] == "hang" for i in items):
+        time.sleep(60)
+    if sum(i["text"].startswith("bad") for i in items) and len(items) > 1:
+        print(json.dumps({"ok": False, "error": "too hard"}), flush=True)
+        continue
+    for i in items:
+        with wave.open(i["out"], "wb") as f:
+            f.setnchannels(1); f.setsampwidth(2); f.setframerate(8000)
+            f.writeframes(b"\\x00\\x40" * len(i["text"]))
+    print("[1, 2]")
+    print(json.dumps({"ok": True, "paths": [i["out"] for i in items]} if "items" in r else {"ok": True, "path": r["out"], "lang_code": r["params"].get("lang_code")}), flush=True)
+"""
+
+
+@pytest.fixture
+def program(tmp_path):
+    (tmp_path / "program.py").write_text(RESTART)
+    asked = lambda: [json.loads(x) for x in (tmp_path / "asked").read_text().splitlines()]
+    return [sys.executable, str(tmp_path / "program.py"), str(tmp_path)], asked
+
+
+def test_a_program_that_ends_is_started_again(program):
+    command, asked = program
+    worker = providers.Worker(command, "own")
+    assert [len(x) for x in worker.synthesize_batch(["one", "die"], "v")] == [3, 3]
+    assert asked() == [["one", "die"], ["one", "die"]]
+    worker.close()
+
+
+def test_refused_batches_are_halved(program):
+    command, asked = program
+    worker = providers.Worker(command, "own")
+    assert [len(x) for x in worker.synthesize_batch(["a", "bb", "ccc", "bad2"], "v")] == [1, 2, 3, 4]
+    assert sorted(asked()) == sorted([["a", "bb", "ccc", "bad2"], ["ccc", "bad2"], ["bad2"], ["ccc"], ["a", "bb"]])
+    worker.close()
+
+
+def test_a_program_that_hangs_is_given_up(program):
+    command, asked = program
+    worker = providers.Worker(command, "own", deadline=2, restarts=1)
+    with pytest.raises(RuntimeError, match="no answer in 2 s"):
+        worker.synthesize("hang", "v")
+    assert len(asked()) == 2
+    with pytest.raises(RuntimeError, match="8000 samples a second, and the configuration says 24000"):
+        providers.Worker(command, "own", sample_rate=24000).synthesize("x", "v")
+
+
+def test_programs_by_configuration(spark, root, program):
+    command, asked = program
+    for backend in ("qwen3tts", "chatterbox", "subprocess"):
+        with pytest.raises(KeyError, match="tts.command"):
+            providers.configured({"backend": backend})
+    made = providers.configured({"backend": "qwen3tts", "command": command, "sample_rate": 8000, "batch_size": 3})()
+    assert (made.name, made.batch_size, made.max_chars, made.sample_rate) == ("qwen3tts-1.7B", 3, 300, 8000)
+    assert type(providers.configured({"backend": "tone"})()) is providers.Tone
+    kokoro = providers.configured({"backend": "kokoro", "command": command, "sample_rate": 8000})()
+    assert len(kokoro.synthesize("four", "bm_george")) == 4
+    with pytest.raises(ValueError, match="zf_xiaoni"):
+        kokoro.synthesize("four", "zf_xiaoni")
+    kokoro.close()
+    (root / "cast.json").write_text("[]")
+    (root / "book.json").write_text(json.dumps(CONFIG | {"tts": {"backend": "subprocess", "command": command, "sample_rate": 8000, "batch_size": 4}}))
+    assert main(["run", str(root), "--to", "render"]) == 0
+    book = Book(spark, str(root))
+    lengths = {r.id: len(r.text) for r in book.table("lines").collect()}
+    assert {r.id: r.n_samples for r in book.table("render").join(book.inventory(), "audio").collect()} == lengths
+    assert any(len(x) > 1 for x in asked())
+
+
+def test_hearing_in_groups(spark, root, monkeypatch):
+    """Several clips in one call; two segments in one clip, in any order; nothing heard in one; one of over 28 s heard alone."""
+
+    class Segments:
+        name = "segments"
+
+        def transcribe(self, clips, sample_rate, lang):
+            return [f"alone {len(c)}" for c in clips]
+
+        def segments(self, samples, clips, sample_rate, lang):
+            found = []
+            for start, end in clips:
+                one = samples[round(start * sample_rate) : round(end * sample_rate)]
+                assert len(set(one.tolist())) == 1  # a clip's own samples, and no gap among them
+                if one[0] != 9:
+                    found += [(start + (end - start) / 2, f" second {int(one[0])} "), (start, f"first of {len(clips)}")]
+            return found
+
+    monkeypatch.setitem(providers.HEARING, "echo", Segments)
+    (root / "book.json").write_text(json.dumps(CONFIG | {"verify": {"provider": "echo", "batch": 4}}))
+    book = Book(spark, str(root))
+    sizes = {"a": 24000, "b": 12000, "c": 24000 * 29, "d": 6000, "e": 48000, "f": 2400}
+    samples = [(k, n, np.full(n, i + 5, "<f4").tobytes()) for i, (k, n) in enumerate(sizes.items())]
+    spark.createDataFrame(samples, "audio string, n_samples long, samples binary").write.parquet(f"{book.work}/audio")
+    lines = spark.createDataFrame([(f"{c}{k}", k, c) for c in (0, 1) for k in sizes], "id string, audio string, chapter int")
+    got = {r.id: r.transcript for r in book.heard(lines).collect()}
+    one = {"a": "first of 3 second 5", "b": "first of 3 second 6", "c": f"alone {24000 * 29}", "d": "first of 3 second 8", "e": "", "f": "first of 2 second 10"}
+    assert got == {f"{c}{k}": t for c in (0, 1) for k, t in one.items()}
+    assert {r.id: r.transcript for r in book.heard(lines.where("id IN ('0a', '0c')")).collect()} == {"0a": "alone 24000", "0c": one["c"]}  # one left over goes alone
+    (root / "book.json").write_text(json.dumps(CONFIG | {"verify": {"provider": "echo", "batch": 1}}))
+    assert {r.transcript for r in Book(spark, str(root)).heard(lines.where("audio = 'a'")).collect()} == {"alone 24000"}
+
+
 def test_tone_voices():
     tone = providers.speech("tone")
     assert tone.voices() == ["a220", "a330", "a440"] and tone.max_chars == 200
