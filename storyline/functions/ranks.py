@@ -45,7 +45,8 @@ def positions(rows: DataFrame, order: list[Column], put: Callable[[DataFrame], D
 def positions_within(rows: DataFrame, groups: list[str], order: list[Column], put: Callable[[DataFrame], DataFrame], name: str = "position") -> DataFrame:
     """rows with `name`, their place from 0 in `order` among the rows of their group, which may hold any share of all rows.
 
-    Places over the whole table, less the place at which the group begins. Group keys may be null; a null is a group of its own.
+    Places over the whole table, less the place at which the group begins. Group keys may be null; a null is a group of its own. Where each
+    group begins is a row for each group and small beside the rows; Spark splits a hot group's rows where it joins them by a shuffle.
     """
     overall, = _names(rows, "overall")
     placed = positions(rows, [*(F.col(g) for g in groups), *order], put, overall)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.folds import greedy_runs
 from ..functions.hashing import params_json, render_key
+from ..functions.ranks import positions_within
 from ..functions.text import chunks, sequence_cost
+from ..sources.shared import written
 
 NO_LIMIT = 1 << 62
 
@@ -72,17 +73,18 @@ def batches(jobs: DataFrame, size: int, tokens: int = 8000, lang: str = "en") ->
     where their cost passes `tokens` (0: no limit).
 
     A chunk's cost follows from its length, so the cuts of a voice follow from how many chunks it has of each length: only these counts meet in
-    one row, and a chunk's batch is arithmetic on its rank among those of its length. No voice's chunks are ever held or sorted together.
+    one row, and a chunk's batch is arithmetic on its place among its voice's. Places come from sorted ranges of all chunks and how many these
+    hold, so a voice's chunks, or those of one length, are spread over tasks however many there are; chunks and ranges are written once.
     """
     items = jobs.where(F.col("chunks").isNotNull()).select("voice", "params", "id", F.posexplode("chunks").alias("chunk_idx", "chunk"))
-    items = items.withColumn("chars", F.length("chunk")).withColumn("cost", sequence_cost(F.col("chunk"), lang))
-    counts = items.groupBy("voice", "params", "chars").agg(F.first("cost").alias("cost"), F.count(F.lit(1)).alias("n"))
+    items = written(items.withColumn("chars", F.length("chunk")).withColumn("cost", sequence_cost(F.col("chunk"), lang)), "chunks")  # counted, sampled and sorted
+    counts = items.groupBy("voice", "params", "chars", "cost").agg(F.count(F.lit(1)).alias("n"))
     lengths = counts.groupBy("voice", "params").agg(F.array_sort(F.collect_list(F.struct("chars", "cost", "n"))).alias("lengths"))
     cuts = lengths.select("voice", "params", F.explode(greedy_runs(F.col("lengths"), size, tokens or NO_LIMIT)).alias("c")).select("voice", "params", "c.*")
-    rank = F.row_number().over(W.partitionBy("voice", "params", "chars").orderBy("id", "chunk_idx")).cast("long") - 1
-    placed = items.withColumn("rank", rank).join(cuts, ["voice", "params", "chars"])
-    batch = F.when(F.col("rank") < F.col("room"), F.col("group")).otherwise(F.col("group") + 1 + F.floor((F.col("rank") - F.col("room")) / F.col("per")))
-    return placed.select("id", "chunk_idx", "voice", "params", batch.alias("batch"), (F.col("before") + F.col("rank")).alias("place"), "chunk", "cost")
+    placed = positions_within(items, ["voice", "params"], [F.col("chars"), F.col("id"), F.col("chunk_idx")], lambda df: written(df, "batches"), "place").join(cuts, ["voice", "params", "chars"])
+    rank = F.col("place") - F.col("before")
+    batch = F.when(rank < F.col("room"), F.col("group")).otherwise(F.col("group") + 1 + F.floor((rank - F.col("room")) / F.col("per")))
+    return placed.select("id", "chunk_idx", "voice", "params", batch.alias("batch"), "place", "chunk", "cost")
 
 
 def reassembled(pieces: DataFrame) -> DataFrame:

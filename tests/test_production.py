@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from storyline import providers
 from storyline.operators import cast, planning, provenance, timeline, verify, voices
 from storyline.operators.cast import Character
+from storyline.sources import shared
 
 LINES = "id string, chapter int, para int, kind string, speaker string, text string, lang string, style string, confidence double, locked boolean"
 
@@ -73,6 +74,21 @@ def test_batches_by_voice_and_budget(spark):
     assert planning.batch_size(None, 24, True) == 24 and planning.batch_size(8, 24, False) == 1
 
 
+def test_one_voice_of_one_length_is_spread(spark, monkeypatch):
+    """All chunks are alike in voice and length; no range of them has most, and batches are as adding them one by one would cut them."""
+    monkeypatch.setattr(planning, "written", lambda df, name: ranges.setdefault(name, real(df, name)))
+    real, ranges = shared.written, {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        jobs = spark.range(20000).select(F.lit("v").alias("voice"), F.lit("{}").alias("params"), F.format_string("l%06d", "id").alias("id"), F.array(F.lit("same text")).alias("chunks"))
+        got = planning.batches(jobs, 7, 0).orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.place, r.batch, r.id) for r in got] == [(k, k // 7, f"l{k:06d}") for k in range(20000)]
+    sizes = [r["count"] for r in ranges["batches"].groupBy(F.shiftright("at", 33)).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 12000
+
+
 def test_pieces_join_by_number_not_by_arrival(spark):
     pieces = spark.createDataFrame([("x", 1, "b"), ("x", 0, "a"), ("x", 10, "c")], "id string, chunk_idx int, audio string")
     assert planning.reassembled(pieces).first().pieces == ["a", "b", "c"]
