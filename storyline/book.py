@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from . import providers
 from .functions import fixed, prompts
 from .functions.hashing import content_hash, json_array
+from .functions.ranks import positions
 from .functions.text import normalize
 from .operators import attribution, dialogue, planning, provenance, sections, timeline, verify, voices
 from .operators import cast as people
-from .sources import books
+from .sources import books, deltas
+from .sources.shared import written
 
 STAMP = "stage string, chapter int, inputs map<string,string>"
 #: Stages of a whole book have one stamp, under this number.
@@ -85,12 +87,16 @@ class Book:
     # tables and stamps
 
     def read(self, name: str) -> DataFrame:
+        if name in books.SCHEMAS:
+            return self.table(name)
         return self.spark.read.parquet(f"{self.work}/{name}")
 
     def table(self, name: str, chapters: list[int] | None = None) -> DataFrame:
         return books.read_table(self.spark, self.work, name, chapters)
 
     def has(self, name: str) -> bool:
+        if name in books.SCHEMAS:
+            return deltas.has_table(self.spark, self.work, name)
         return books.exists(self.spark, f"{self.work}/{name}")
 
     def inventory(self) -> DataFrame:
@@ -124,9 +130,8 @@ class Book:
         return sorted(r["chapter"] for r in rows.select("chapter").collect() if chapters is None or r["chapter"] in chapters)
 
     def replace(self, rows: DataFrame, name: str) -> None:
-        """Writes chapters that were computed from the same table: the new rows are complete before the old ones go."""
-        rows.write.mode("overwrite").parquet(f"{self.work}/new-{name}")
-        books.write_table(self.spark.read.parquet(f"{self.work}/new-{name}"), self.work, name)
+        """Replaces the chapters that rows has; rows may be computed from the same table, of which nothing is overwritten."""
+        books.write_table(rows, self.work, name)
 
     # stages
 
@@ -260,7 +265,7 @@ class Book:
 
     def render(self, chapters: set[int] | None = None, force: bool = False) -> DataFrame:
         """Plans, synthesizes what isn't there yet and records each line's audio with its number of samples: some chapters at a time, each of
-        which is stamped when its audio is written, so that a run that breaks off has lost no more than these."""
+        which is stamped when its audio is written."""
         if not self.voice_map():
             raise ValueError("the book has no voices")
         if self.backend in fixed.VOICES:
@@ -274,16 +279,27 @@ class Book:
         return self.table("render")
 
     def _render_some(self, chapters: list[int], current: DataFrame, force: bool) -> None:
+        """Lines are synthesized some at a time, by their identifiers, and each time audio is written and the lines that have it are added to the
+        render table: a run that breaks off keeps every line of the steps that it has done, and finds their audio when it plans again."""
         make = self.speech()
-        speech = make()
+        speech, tts = make(), self.config.get("tts", {})
         jobs = planning.plan(self.table("lines", chapters), self.table("render"), self.inventory().select("audio"), self.voice_map(), speech.name, self.params, speech.max_chars, self.lang, self.fingerprints(), force)
         jobs.write.mode("overwrite").parquet(f"{self.work}/jobs")
         jobs = self.read("jobs")
-        size = planning.batch_size(self.config.get("tts", {}).get("batch"), speech.batch_size, hasattr(speech, "synthesize_batch"))
-        made = providers.joined_audio(providers.synthesize(planning.batches(jobs, size, 8000 if size > 1 else 0, self.lang), make, self.lang), speech.sample_rate)
-        fresh = made.join(jobs.select("id", F.col("audio").alias("file")), "id").select(F.col("file").alias("path"), "n_samples", F.col("audio").alias("samples"))
-        fresh.dropDuplicates(["path"]).withColumnRenamed("path", "audio").write.mode("append").parquet(f"{self.work}/audio")
-        self.replace(jobs.select("id", "chapter", "audio", F.lit(speech.name).alias("backend"), "attempts"), "render")
+        todo, step = jobs.where(F.col("chunks").isNotNull()), tts.get("checkpoint_lines", 512)
+        n = todo.count()
+        if n > step:
+            todo = positions(todo, [F.col("id")], lambda df: written(df, "jobs"), "place").withColumn("step", F.floor(F.col("place") / step))
+        rendered = lambda rows: rows.select("id", "chapter", "audio", F.lit(speech.name).alias("backend"), "attempts")
+        size = planning.batch_size(tts.get("batch"), speech.batch_size, hasattr(speech, "synthesize_batch"))
+        for k in range(-(-n // step)):
+            some = todo.where(F.col("step") == k).drop("step", "place") if n > step else todo
+            made = providers.joined_audio(providers.synthesize(planning.batches(some, size, 8000 if size > 1 else 0, self.lang), make, self.lang), speech.sample_rate)
+            fresh = made.join(some.select("id", F.col("audio").alias("file")), "id").select(F.col("file").alias("path"), "n_samples", F.col("audio").alias("samples"))
+            fresh.dropDuplicates(["path"]).withColumnRenamed("path", "audio").write.mode("append").parquet(f"{self.work}/audio")
+            if n > step:
+                books.add_rows(rendered(some), self.work, "render")
+        self.replace(rendered(jobs), "render")
         self.mark("render", current.where(F.col("chapter").isin(chapters)))
 
     def heard(self, lines: DataFrame) -> DataFrame:

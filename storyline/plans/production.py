@@ -15,6 +15,7 @@ from ..functions import hashing
 from ..functions.text import human_age, token_cap
 from ..operators import planning, provenance, timeline, verify, voices
 from ..operators.attribution import last_of_each
+from ..sources import deltas
 from .registry import ORACLES, QUERIES, query, table
 from .texts import chunks_sql
 
@@ -427,6 +428,19 @@ def latest_events(spark: SparkSession, sf: str) -> DataFrame:
     return last_of_each(rows, "user_id", "order").select("user_id", "event_id")
 
 
+#: Events as a log of commits, a day each, of a table with users as identifiers; some commits are whole for their chapters.
+@query("""
+WITH e AS (SELECT user_id AS id, user_id % 97 AS chapter, event_type AS kind, value, epoch_us(ts) // 86400000000 AS "commit", event_id AS place, event_id % 61 = 0 AS whole FROM events),
+f AS (SELECT chapter, max("commit") AS floor FROM e WHERE whole GROUP BY chapter),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY id ORDER BY "commit" DESC, place DESC) AS k FROM e LEFT JOIN f ON f.chapter = e.chapter WHERE f.floor IS NULL OR e."commit" >= f.floor)
+SELECT id, chapter, kind, value FROM r WHERE k = 1
+""")
+def merged_commits(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000)
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("id"), (F.col("user_id") % 97).alias("chapter"), F.col("event_type").alias("kind"), "value", day.alias("commit"), F.col("event_id").alias("place"), (F.col("event_id") % 61 == 0).alias("whole"))
+    return deltas.merged(rows)
+
+
 @query()
 def tone_audio(spark: SparkSession, sf: str) -> DataFrame:
     made = providers.synthesize(planning.batches(render_plan(spark, sf), 16, 8000), "tone")

@@ -1,6 +1,6 @@
 """Reading and writing a book's tables: sources, chapters, lines and states by chapter, review files and logs.
 
-Tables are partitioned by chapter and overwritten chapter by chapter, each write replacing whole partitions at once.
+Tables are logs of commits (deltas.py), partitioned by chapter: a write replaces chapters, or adds lines, and overwrites nothing.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import deltas
+
 LINES = "id string, chapter int, para int, kind string, speaker string, text string, lang string, style string, confidence double, locked boolean"
 RENDER = "id string, chapter int, audio string, backend string, attempts int"
 VERIFY = "id string, chapter int, transcript string, error_rate double, edits int, duration double, ok boolean, audio string"
 SCHEMAS = {"lines": LINES, "render": RENDER, "verify": VERIFY}
+#: Commits of a table after which they become one.
+MOST_COMMITS = 16
 #: What an older table may lack, and what stands for it.
 DEFAULTS = {"lang": "en", "confidence": 1.0, "locked": False, "attempts": 0}
 
@@ -84,42 +88,52 @@ def read_chapters(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/chapters")
 
 
+def columns_of(name: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[name].split(", ")]
+
+
 def read_table(spark: SparkSession, root: str, name: str, chapters: list[int] | None = None) -> DataFrame:
-    """lines, render or verify; empty if it isn't there. Only the partitions of the chapters asked for are read."""
-    schema = SCHEMAS[name]
-    if not exists(spark, f"{root}/{name}"):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(f"{root}/{name}")
-    rows = rows.na.fill({k: v for k, v in DEFAULTS.items() if k in rows.columns})
-    rows = rows if chapters is None else rows.where(F.col("chapter").isin(chapters))
-    return rows.select(*(c.split()[0] for c in schema.split(", ")))
+    """lines, render or verify; empty if it isn't there. Of rows with one identifier the last that was written counts. Only the partitions of
+    the chapters asked for are read."""
+    rows = deltas.read(spark, root, name, SCHEMAS[name], chapters)
+    return rows.na.fill({k: v for k, v in DEFAULTS.items() if k in rows.columns})
 
 
 def write_table(rows: DataFrame, root: str, name: str) -> None:
-    """Replaces the partitions of the chapters that rows has, and leaves the others."""
-    columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-    rows.select(*columns).repartition("chapter").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chapter").parquet(f"{root}/{name}")
+    """Replaces the chapters that rows has, and leaves the others: a commit that is whole for these. Many commits become one."""
+    deltas.append(rows, root, name, columns_of(name), whole=True)
+    if len(deltas.commits(rows.sparkSession, root, name)) > MOST_COMMITS:
+        deltas.compact(rows.sparkSession, root, name, SCHEMAS[name])
+
+
+def add_rows(rows: DataFrame, root: str, name: str) -> None:
+    """Adds rows, or newer ones of the same identifiers: a commit of these alone, whatever the table holds."""
+    deltas.append(rows, root, name, columns_of(name))
 
 
 def chapter_numbers(spark: SparkSession, root: str, name: str = "lines") -> list[int]:
-    """Chapters that a table has: a list of its partitions."""
+    """Chapters that a table has."""
     return sorted(r["chapter"] for r in read_table(spark, root, name).select("chapter").distinct().collect())
 
 
 def prune_chapters(spark: SparkSession, root: str, name: str, count: int) -> list[int]:
-    """Deletes partitions of chapters that the book no longer has."""
-    gone = [c for c in chapter_numbers(spark, root, name) if c >= count]
-    for c in gone:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/chapter={c}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """Takes out chapters that the book no longer has."""
+    there = chapter_numbers(spark, root, name)
+    gone = [c for c in there if c >= count]
+    if gone:
+        deltas.compact(spark, root, name, SCHEMAS[name], [c for c in there if c < count])
     return gone
 
 
 def read_jsonl(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """JSON lines of a known table; blank lines don't count, a missing file is empty."""
+    """JSON lines of a known table; blank lines don't count, a missing file is empty. Of lines with one identifier the last one counts, in the
+    order of files by name and of lines in a file."""
     if not exists(spark, path):
         return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.schema(SCHEMAS[name]).json(path)
+    rows = spark.read.schema(SCHEMAS[name]).json(path)
+    rows = rows.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("_at"))
+    rows = rows.where(F.col("id").isNotNull())
+    return rows.groupBy("id").agg(F.max_by(F.struct(*columns_of(name)), "_at").alias("_row")).select("_row.*")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
