@@ -14,7 +14,7 @@ import datetime
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import providers
@@ -227,19 +227,29 @@ class Book:
         return self.read("normalized").select("chapter", provenance.attribute_inputs(F.col("title"), F.col("paragraphs"), self.lang, key, self.styles).alias("inputs"))
 
     def attribute(self, chapters: set[int] | None = None, force: bool = False, model: Model | None = None) -> DataFrame:
+        """Lines with speakers: by rules, and quotes that these leave open by a language provider, the given or the configured one. Without
+        either, or without a cast, rules are all there is."""
         current = self.attribute_inputs()
         todo = self.stale(self.reasons("attribute", current), chapters, force)
         books.prune_chapters(self.spark, self.work, "lines", self.read("normalized").count())
+        said = ""
         if todo:
             cast = self.cast()
+            model = model or (self.model() if self.config.get("llm", {}).get("provider") else None)
             spans = dialogue.span_rows(self.read("normalized").where(F.col("chapter").isin(todo)), cast, self.lang)
             if cast and model:
-                asked = attribution.requests(spans, attribution.window_budget(1000, self.num_ctx), bool(self.styles))
-                spans = attribution.fold_answers(spans, attribution.parse_answers(self.asked(asked, model)), cast, self.styles)
-            self.replace(attribution.lines(spans, self.lang, self.table("lines")), "lines")
+                budget = attribution.window_budget(attribution.instruction_cost(cast, self.lang, self.styles), self.num_ctx)
+                asked = attribution.with_instructions(attribution.requests(spans, budget, bool(self.styles)), cast, self.lang, self.styles)
+                answers = self.asked(asked, model, prompts.ROLE[self.lang])
+                spans = attribution.fold_answers(spans, attribution.parse_answers(answers), cast, self.styles)
+                corrupt = attribution.answers_of(answers).where(F.col("corrupt").isNotNull())
+                books.write_review(corrupt.select("chapter", "window", "corrupt"), f"{self.work}/review/answers")
+            seen = Observation()
+            self.replace(attribution.lines(spans, self.lang, self.table("lines")).observe(seen, *attribution.statistic_columns()), "lines")
+            said = ": " + ", ".join(f"{n} {kind}" for kind, n in seen.get.items())
             self.mark("attribute", current.where(F.col("chapter").isin(todo)))
             books.write_review(attribution.low_confidence(self.table("lines")), f"{self.work}/review/attribute")
-        self.note(f"attribute: {len(todo)} chapters")
+        self.note(f"attribute: {len(todo)} chapters{said}")
         return self.table("lines")
 
     def fingerprints(self) -> dict[str, str]:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, prompts
 from ..functions.folds import context_windows
 from ..functions.text import approx_tokens, tokens_of  # noqa: F401
 from ..providers import PromptTooLong
-from .cast import Character, resolver
+from .cast import Character, names_for_chapter, resolver
 
 ANSWERS = "struct<speakers:array<struct<quote_id:int,speaker:string,confidence:double,style:string>>>"
 LINE = ["id", "chapter", "para", "kind", "speaker", "text", "lang", "style", "confidence", "locked"]
@@ -72,9 +73,50 @@ def exchanges(rows: DataFrame, model: str, num_ctx: int = 16384) -> DataFrame:
     return rows.select(F.lit(model).alias("model"), F.lit(num_ctx).alias("num_ctx"), approx_tokens(F.col("prompt")).alias("tokens"), "prompt", "response")
 
 
+def answer_schema(names: Sequence[str], styles: Sequence[str] = ()) -> dict:
+    """The JSON schema of a chapter's answers: its speakers' names, and the book's styles."""
+    fields: dict[str, dict] = {"quote_id": {"type": "integer"}, "speaker": {"enum": [*names, "unknown"]}, "confidence": {"type": "number"}}
+    if styles:
+        fields["style"] = {"enum": list(styles)}
+    item = {"type": "object", "properties": fields, "required": list(fields)}
+    return {"type": "object", "properties": {"speakers": {"type": "array", "items": item}}, "required": ["speakers"]}
+
+
+def with_instructions(requests: DataFrame, cast: Sequence[Character], lang: str = "en", styles: Sequence[str] = ()) -> DataFrame:
+    """requests with `passage` as it is sent, under an instruction with the names that the chapter may have, and `schema`, what an answer
+    must look like. A book's cast and its chapters' numbers are small."""
+    style = prompts.STYLED[lang].replace("{styles}", ", ".join(styles)) if styles else ""
+    template = prompts.ATTRIBUTE[lang].replace("{style}", style)
+    known = {c.name: c for c in cast}
+    shown = lambda name: f"- {name}" + (f" ({', '.join(known[name].aliases)})" if known[name].aliases else "")
+    spark = requests.sparkSession
+    # names differ from the main cast's only in the chapters that minor characters were found in
+    minor = sorted({n for c in cast if not c.main for n in c.chapters})
+    of = {n: names_for_chapter(cast, n) for n in [-1, *minor]}
+    table = spark.createDataFrame([(n, template.replace("{names}", "\n".join(map(shown, names))), json.dumps(answer_schema(names, styles), ensure_ascii=False)) for n, names in of.items()], "of int, template string, schema string")
+    key = F.when(F.col("chapter").isin(minor), F.col("chapter")).otherwise(-1) if minor else F.lit(-1)
+    return requests.withColumn("of", key).join(table, "of").withColumn("passage", F.replace("template", F.lit("{text}"), F.col("passage"))).drop("of", "template")
+
+
+def instruction_cost(cast: Sequence[Character], lang: str = "en", styles: Sequence[str] = ()) -> int:
+    """Tokens of the longest instruction that a chapter may have, with the system's."""
+    names = "\n".join(f"- {c.name} ({', '.join(c.aliases)})" for c in cast)
+    return tokens_of(prompts.ROLE[lang] + prompts.ATTRIBUTE[lang] + prompts.STYLED[lang] + ", ".join(styles) + names)
+
+
+def answers_of(responses: DataFrame) -> DataFrame:
+    """responses with `speakers`, what they say, and `corrupt`: the response where it isn't of the form that was asked for. A response that
+    is no object of speakers is corrupt as a whole, and none of it counts."""
+    form = f"struct<{ANSWERS.removeprefix('struct<').removesuffix('>')},_corrupt:string>"
+    parsed = F.from_json("response", form, {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = responses.withColumn("_a", parsed)
+    bad = F.col("_a").isNull() | F.col("_a._corrupt").isNotNull() | F.col("_a.speakers").isNull()
+    return rows.withColumn("corrupt", F.when(bad, F.coalesce("response", F.lit("")))).withColumn("speakers", F.when(~bad, F.col("_a.speakers"))).drop("_a")
+
+
 def parse_answers(responses: DataFrame) -> DataFrame:
-    """(chapter, pos, quote_id, speaker, confidence, style) of responses (chapter, window, response)."""
-    items = responses.select("chapter", "window", F.posexplode(F.from_json("response", ANSWERS)["speakers"]).alias("k", "a"))
+    """(chapter, pos, quote_id, speaker, confidence, style) of responses (chapter, window, response); corrupt ones say nothing."""
+    items = answers_of(responses).select("chapter", "window", F.posexplode("speakers").alias("k", "a"))
     return items.select("chapter", F.struct("window", "k").alias("pos"), "a.*")
 
 
@@ -113,17 +155,22 @@ def lines(spans: DataFrame, lang: str = "en", locked: DataFrame | None = None) -
     return both.select(*(F.when(F.col("old").isNotNull(), F.col(f"old.{c}")).otherwise(F.col(c)).alias(c) for c in LINE))
 
 
-def statistics(lines: DataFrame) -> DataFrame:
+def statistic_columns() -> list[Column]:
+    """Aggregates over lines, to be taken or observed."""
     fresh = ~F.col("locked")
     talk = F.col("kind") == "dialogue"
-    return lines.agg(
+    return [
         F.count_if(fresh & ~talk).alias("narration"),
         F.count_if(fresh & talk & (F.col("confidence") >= fixed.RULES)).alias("rules"),
         F.count_if(fresh & talk & (F.col("confidence") < fixed.RULES) & (F.col("speaker") != "unknown")).alias("model"),
         F.count_if(fresh & talk & (F.col("speaker") == "unknown")).alias("unknown"),
         F.count_if("locked").alias("locked"),
         F.count_if(F.col("style").isNotNull()).alias("styled"),
-    )
+    ]
+
+
+def statistics(lines: DataFrame) -> DataFrame:
+    return lines.agg(*statistic_columns())
 
 
 def low_confidence(lines: DataFrame) -> DataFrame:
