@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.folds import context_windows
-from ..operators import attribution, dialogue
+from ..operators import attribution, dialogue, mentions
 from ..operators import cast as c
 from .registry import ORACLES, QUERIES, query, table
 
@@ -157,6 +157,21 @@ def mention_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", c.mentions(F.coalesce("text", F.lit("")), ["the", "tion", "Mr. Bennet", "the", ""]).alias("mentions"))
 
 
+#: Sources are books; their characters are the first words of texts, with the second words as aliases.
+@query(r"""
+WITH d AS (SELECT source AS book, coalesce(text, '') AS t FROM documents),
+w AS (SELECT book, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')[1:2] AS ws FROM d),
+f AS (SELECT DISTINCT book, ws[1] AS name, unnest(ws) AS form FROM w),
+n AS (SELECT f.book, f.form, sum((length(t) - length(replace(t, form, ''))) // length(form)) AS n FROM (SELECT DISTINCT book, form FROM f) f JOIN d ON d.book IS NOT DISTINCT FROM f.book GROUP BY ALL)
+SELECT f.book, f.name, CAST(sum(n) AS BIGINT) AS mentions FROM f JOIN n ON n.book IS NOT DISTINCT FROM f.book AND n.form = f.form GROUP BY ALL
+""")
+def book_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    texts = table(spark, sf, "documents").select(F.col("source").alias("book"), "text")
+    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), 1, 2)
+    people = texts.select("book", words.alias("ws")).where(F.size("ws") > 0).select("book", F.col("ws")[0].alias("name"), F.col("ws").alias("aliases"))
+    return mentions.mentions(texts, people.distinct())
+
+
 @query(f"""
 WITH {SPANS},
 b AS (SELECT string_agg('"' || replace(coalesce(text, ''), '"', '') || '" said ' || role || '.', chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
