@@ -58,7 +58,7 @@ def same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
     return out
 
 
-def form_counts(texts: DataFrame, forms: DataFrame, part_bytes: int = 64 << 20, shard_forms: int = 1 << 17) -> DataFrame:
+def form_counts(texts: DataFrame, forms: DataFrame, part_bytes: int = 8 << 20, shard_forms: int = 1 << 17) -> DataFrame:
     """(book, form, n) for distinct (book, form) over texts (book, text); a form that doesn't occur has no row.
 
     A task holds the automaton of at most about `shard_forms` forms and reads some `part_bytes` of a book's texts, or one text. A cast beyond
@@ -97,7 +97,7 @@ def form_counts(texts: DataFrame, forms: DataFrame, part_bytes: int = 64 << 20,
     return rows.mapInArrow(run, COUNTED).groupBy("book", "form").agg(F.sum("n").alias("n"))
 
 
-def mentions(texts: DataFrame, casts: DataFrame, part_bytes: int = 64 << 20, shard_forms: int = 1 << 17) -> DataFrame:
+def mentions(texts: DataFrame, casts: DataFrame, part_bytes: int = 8 << 20, shard_forms: int = 1 << 17) -> DataFrame:
     """(book, name, mentions) for casts (book, name, aliases) over texts (book, text), book a string: how often the name and its aliases
     occur, each distinct one by itself and without overlaps.
 

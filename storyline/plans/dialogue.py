@@ -167,7 +167,8 @@ SELECT f.book, f.name, CAST(sum(n) AS BIGINT) AS mentions FROM f JOIN n ON n.boo
 """)
 def book_mentions(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select(F.col("source").alias("book"), "text")
-    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), 1, 2)
+    start = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+", 3)
+    words = F.filter(F.slice(start, 1, 2), lambda w: w != "")
     people = texts.select("book", words.alias("ws")).where(F.size("ws") > 0).select("book", F.col("ws")[0].alias("name"), F.col("ws").alias("aliases"))
     return mentions.mentions(texts, people.distinct())
 
