@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import providers
 from ..functions import hashing
 from ..functions.text import human_age, token_cap
-from ..operators import planning, provenance, timeline, verify, voices
+from ..operators import findings, planning, provenance, timeline, verify, voices
 from ..operators.attribution import last_of_each
 from ..sources import deltas
 from .registry import ORACLES, QUERIES, query, table
@@ -466,3 +466,54 @@ def clip_groups(spark: SparkSession, sf: str) -> DataFrame:
     return verify.clips(groups, by="whose").select("id", "group", "start", verify.goes_alone(F.col("duration"), F.lit(2)).alias("alone"))
 
 
+
+
+#: Conversations are books: the first words of even turns are the cast, each with itself without its last letter as an alias, and the words of odd turns have voices.
+#: A word may have a style, lose a letter, or be spoken by a voice that doesn't exist, has another language or is a clip.
+FIRST = r"""f AS (SELECT CAST(conv_id AS VARCHAR) AS book, turn, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)', 1) AS w FROM conversations),
+people AS (SELECT book, w AS name, CAST(min(turn) AS INTEGER) AS rank, left(w, -1) AS alias, min(turn) % 4 = 0 AS main FROM f WHERE turn % 2 = 0 AND w <> '' GROUP BY ALL),
+entries AS (SELECT DISTINCT book, CASE WHEN turn % 5 = 0 THEN 'narrator' WHEN turn % 3 = 0 THEN left(w, -1) WHEN turn % 7 = 0 THEN w || '@loud' ELSE w END AS key,
+  CASE turn % 6 WHEN 1 THEN 'af_heart' WHEN 3 THEN 'zf_xiaoni' ELSE 'nobody' END AS voice FROM f WHERE turn % 2 = 1 OR turn % 3 = 0),"""
+
+
+def first_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Casts, entries and books."""
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)", 1)
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("book"), "turn", word.alias("w"))
+    short, t = F.expr("left(w, length(w) - 1)"), F.col("turn")
+    casts = rows.where((t % 2 == 0) & (F.col("w") != "")).groupBy("book", "w").agg(F.min("turn").alias("t"))
+    casts = casts.select("book", F.col("w").alias("name"), F.col("t").cast("int").alias("rank"), F.array(short).alias("aliases"), (F.col("t") % 4 == 0).alias("main"))
+    key = F.when(t % 5 == 0, "narrator").when(t % 3 == 0, short).when(t % 7 == 0, F.concat("w", F.lit("@loud"))).otherwise(F.col("w"))
+    voice = F.when(t % 6 == 1, "af_heart").when(t % 6 == 3, "zf_xiaoni").otherwise("nobody")
+    entries = rows.where((t % 2 == 1) | (t % 3 == 0)).select("book", key.alias("key"), voice.alias("voice")).distinct()
+    return casts, entries, rows.select("book").distinct().select("book", F.lit("kokoro").alias("backend"), F.lit("en").alias("lang"), F.array(F.lit("angry")).alias("styles"))
+
+
+#: What of findings SQL can say: all but the nearest names.
+@query(rf"""
+WITH {FIRST}
+forms AS (SELECT book, name, rank, 0 AS place, name AS form FROM people UNION ALL SELECT book, name, rank, 1, alias FROM people),
+folds AS (SELECT book, regexp_replace(lower(form), '[^\p{{L}}\p{{N}}]', '', 'g') AS fold, name, rank, place FROM forms),
+known AS (SELECT book, fold, arg_min(name, (rank, place)) AS name FROM folds WHERE fold <> '' GROUP BY ALL),
+e AS (SELECT *, CASE WHEN key LIKE '%@%' THEN regexp_extract(key, '(?s)^(.*)@', 1) ELSE key END AS role, CASE WHEN key LIKE '%@%' THEN regexp_extract(key, '(?s)^.*@(.*)$', 1) END AS style FROM entries),
+r AS (SELECT e.*, known.name, e.role <> 'narrator' AS person FROM e LEFT JOIN known ON known.book = e.book AND known.fold = regexp_replace(lower(e.role), '[^\p{{L}}\p{{N}}]', '', 'g'))
+SELECT book, true AS error, 'nobody' AS kind, key, voice, NULL AS detail FROM r WHERE person AND name IS NULL
+UNION ALL SELECT book, true, 'no voice', key, voice, NULL FROM r WHERE voice = 'nobody'
+UNION ALL SELECT book, true, 'language', key, voice, 'zh' FROM r WHERE voice = 'zf_xiaoni'
+UNION ALL SELECT book, false, 'style', key, voice, style FROM r WHERE style IS NOT NULL AND style <> 'angry'
+UNION ALL SELECT book, false, 'alias', key, voice, name FROM r WHERE person AND name <> role
+UNION ALL SELECT DISTINCT book, true, 'no narrator', NULL, NULL, NULL FROM f WHERE book NOT IN (SELECT book FROM entries WHERE key = 'narrator')
+UNION ALL SELECT book, false, 'silent', name, NULL, NULL FROM people WHERE main AND (book, name) NOT IN (SELECT (book, key) FROM entries)
+UNION ALL SELECT book, false, 'shared', NULL, voice, string_agg(key, ', ' ORDER BY key) FROM r WHERE person GROUP BY book, voice HAVING count(*) > 1
+""")
+def voice_findings(spark: SparkSession, sf: str) -> DataFrame:
+    casts, entries, books = first_words(spark, sf)
+    found = findings.findings(entries, casts, voices.pool_table(spark), spark.createDataFrame([], "book string, path string"), books)
+    return found.withColumn("detail", F.when(F.col("kind") != "nobody", F.col("detail")))
+
+
+#: The nearest names of all words of odd turns among those of even turns of the same conversation, by a ratio that SQL doesn't have.
+@query()
+def nearest_names(spark: SparkSession, sf: str) -> DataFrame:
+    casts, entries, _ = first_words(spark, sf)
+    return findings.nearest(entries.select("book", F.col("key").alias("role")), casts.select("book", "name")).select(F.col("book").cast("long").alias("conv_id"), "role", "name", "ratio")
