@@ -9,7 +9,7 @@ A known sentence begins and ends where BREAK cuts, and may run across single lin
 lines and . ! ? end it. Sentences that name a licence may have a subject before and a reference after. The SQL has none of this: it looks
 up pieces between two cuts, and n_sentences counts those here too.
 
-What is licensed may also be named by a SPDX identifier or a field "License:". "All rights reserved" after a copyright makes a text
+What is licensed may also be named by a SPDX identifier, or an expression of several, or a field "License:". "All rights reserved" after a copyright makes a text
 proprietary only if it has no licence.
 
 Defined cases: null and empty texts have no sentences and no licence. A very long text is scanned whole. Licences of a text are distinct, in
@@ -28,8 +28,14 @@ from .common import text_of
 #: Licences that a SPDX identifier, or a field "License:", may name as they are.
 SPDX = [
     "MIT", "MIT-0", "ISC", "Zlib", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Artistic-2.0", "Unlicense",
+    "BSD-4-Clause", "CDDL-1.0", "CDDL-1.1", "PSF-2.0", "WTFPL", "CC-BY-3.0", "CC-BY-SA-3.0", "CC-BY-NC-3.0", "CC-BY-ND-3.0", "CC-BY-NC-SA-3.0", "CC-BY-NC-ND-3.0",
     "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
 ]
+#: Licences of which a text may say "or later", with the words for each, normalised.
+LATER = {"GPL-2.0": ("general", "2"), "GPL-3.0": ("general", "3"), "LGPL-2.1": ("lesser general", "2 1"), "LGPL-3.0": ("lesser general", "3"), "AGPL-3.0": ("affero general", "3")}
+#: Parts of Creative Commons licences in words.
+PARTS = {"": "", "nc": " noncommercial", "sa": " sharealike", "nd": " noderivatives", "nc sa": " noncommercial sharealike", "nc nd": " noncommercial noderivatives"}
+GRANT = "this (program|library|file|software|module) is free software you can redistribute it and or modify it under the terms of the gnu {} public licen[sc]e{} as published by the free software foundation"
 #: Sentences of well-known licences, normalised, as regular expressions. The identifier is the key.
 SENTENCES = {
     "mit-name": r"(released|licensed|distributed|available) under (the )?(terms of the )?mit( licen[sc]e)?",
@@ -57,6 +63,8 @@ SENTENCES = {
     "gpl3-title": r"gnu general public licen[sc]e version 3( 29 june 2007)?",
     "gpl2-title": r"gnu general public licen[sc]e version 2( june 1991)?",
     "gpl-title": r"gnu general public licen[sc]e( version 1)?",
+    **{f"{x.lower()}-grant-later": GRANT.format(kind, "") + f" either version {n} of the licen[sc]e or( at your option)? any later version.*" for x, (kind, n) in LATER.items()},
+    **{f"{x.lower()}-grant-only": GRANT.format(kind, f" version {n}( only)?") + ".*" for x, (kind, n) in LATER.items()},
     "gpl-free": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation.*",
     "lgpl-name": r"(this (work|program|file|software|library) is )?(released|licensed|distributed) under the gnu lesser general public licen[sc]e version (2 1|3)( or later)?",
     "lgpl3-title": r"gnu lesser general public licen[sc]e version 3( 29 june 2007)?",
@@ -69,12 +77,22 @@ SENTENCES = {
     "bsd-grant": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*",
     "bsd-source": r"(1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": r"(2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer.*",
+    "bsd-advertise": r"(3 )?all advertising materials mentioning features or use of this software must display the following acknowledge?ment.*",
     "bsd-endorse": r"(3 )?neither the name of .* may be used to endorse or promote products derived from this software.*",
     "bsd-name": r"(released|licensed|distributed) under (the|a) (2 clause |3 clause |new |simplified )?bsd licen[sc]e",
     "bsd-style": r"use of this source code is governed by a bsd style licen[sc]e that can be found in the licen[sc]e file.*",
     "mpl2-name": r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0",
     "mpl2-copy": r"if a copy of the mpl was not distributed with this file you can obtain one at.*",
     "mpl2-title": r"mozilla public licen[sc]e version 2 0",
+    "mpl11-name": r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1( the licen[sc]e)?",
+    "mpl11-title": r"mozilla public licen[sc]e version 1 1",
+    "cddl-header": r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e.*",
+    "cddl-title": r"common development and distribution licen[sc]e( cddl)? version 1 0",
+    "cddl11-title": r"common development and distribution licen[sc]e( cddl)? version 1 1",
+    "psf-title": r"python software foundation licen[sc]e( version 2)?",
+    "psf-grant": r"(1 )?this licen[sc]e agreement is between the python software foundation.*",
+    "wtfpl-title": r"do what the fuck you want to public licen[sc]e( version 2( december 2004)?)?",
+    "wtfpl-grant": r"(0 )?you just do what the fuck you want to",
     "epl2-name": r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v( )?2 0.*",
     "epl1-name": r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v( )?1 0.*",
     "epl2-title": r"eclipse public licen[sc]e v( )?2 0",
@@ -89,18 +107,21 @@ SENTENCES = {
     "cc-by-nd4-name": r"((this (work|text) is )?licensed under )?(cc by nd 4 0|a?( )?creative commons attribution noderivatives 4 0( international)?( public)?( licen[sc]e)?)",
     "cc-by-sa4-name": r"((this (work|text) is )?licensed under )?(cc by sa 4 0|a?( )?creative commons attribution sharealike 4 0( international)?( public)?( licen[sc]e)?)",
     "cc-by4-name": r"((this (work|text) is )?licensed under )?(cc by 4 0|a?( )?creative commons attribution 4 0( international)?( public)?( licen[sc]e)?)",
+    **{f"cc-by{'-' * bool(k)}{k.replace(' ', '-')}3-name": rf"((this (work|text) is )?licensed under )?(cc by{' ' * bool(k)}{k} 3 0|a?( )?creative commons attribution{words} 3 0( unported| international)?( public)?( licen[sc]e)?)" for k, words in PARTS.items()},
     "cc0-name": r"((this (work|text) is )?(licensed|dedicated) (under|to) )?(cc0( 1 0)?( universal)?|the public domain)",
     "unlicense": r"this is free and unencumbered software released into the public domain",
     "unlicense-grant": r"anyone is free to copy modify publish use compile sell or distribute this software.*",
     "rights": r"all rights reserved",
     "copyright": r"copyright( c)?( [0-9]{4}.*)",
-} | {f"spdx-{x}": r"(spdx licen[sc]e identifier|licen[sc]e) " + re.sub("[^a-z0-9]+", " ", x.lower()) + "( only| or later)?" for x in SPDX} | {"spdx": r"spdx licen[sc]e identifier .*"}
+} | {f"spdx-{x}-later": r"(spdx licen[sc]e identifier|licen[sc]e) " + re.sub("[^a-z0-9]+", " ", x.lower()) + " or later" for x in LATER} | {f"spdx-{x}": r"(spdx licen[sc]e identifier|licen[sc]e) " + re.sub("[^a-z0-9]+", " ", x.lower()) + "( only| or later)?" for x in SPDX} | {"spdx": r"spdx licen[sc]e identifier .*"}
 #: Rules in order; each is a licence and the identifiers that must follow each other, gaps of unknown text apart.
 RULES = [
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is", "liable")),
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is")),
     ("MIT", ("mit-grant", "mit-notice", "as-is", "liable")),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-endorse")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("asf-agree", "apache2-asf", "apache2-comply", "apache2-copy")),
@@ -120,6 +141,16 @@ RULES = [
     ("AGPL-3.0", ("agpl3-title", "fsf-copies")),
     ("MPL-2.0", ("mpl2-name", "mpl2-copy")),
     ("Unlicense", ("unlicense", "unlicense-grant")),
+    ("MPL-1.1", ("mpl11-name", "apache2-comply", "apache2-copy")),
+    ("MPL-1.1", ("mpl11-name",)),
+    ("CDDL-1.0", ("cddl-header", "apache2-comply")),
+    ("CDDL-1.0", ("cddl-header",)),
+    ("PSF-2.0", ("psf-title", "psf-grant")),
+    ("PSF-2.0", ("psf-grant",)),
+    ("WTFPL", ("wtfpl-title", "wtfpl-title", "wtfpl-grant")),
+    ("WTFPL", ("wtfpl-title", "wtfpl-grant")),
+    *(("GPL-any" if x.startswith("GPL") else "LGPL" if x.startswith("LGPL") else x, (f"{x.lower()}-grant-later",)) for x in LATER),
+    *(("LGPL" if x.startswith("LGPL") else x, (f"{x.lower()}-grant-only",)) for x in LATER),
     ("GPL-any", ("gpl-free",)),
     ("LGPL", ("lgpl-free",)),
     ("AGPL-3.0", ("agpl-free",)),
@@ -145,8 +176,10 @@ RULES = [
     ("CC-BY-ND-4.0", ("cc-by-nd4-name",)),
     ("CC-BY-SA-4.0", ("cc-by-sa4-name",)),
     ("CC-BY-4.0", ("cc-by4-name",)),
+    *((f"CC-BY{'-' * bool(k)}{k.replace(' ', '-').upper()}-3.0", (f"cc-by{'-' * bool(k)}{k.replace(' ', '-')}3-name",)) for k in PARTS),
     ("CC0-1.0", ("cc0-name",)),
     ("Unlicense", ("unlicense",)),
+    *((x, (f"spdx-{x}-later",)) for x in LATER),
     *((x, (f"spdx-{x}",)) for x in SPDX),
     ("MIT", ("mit-title",)),
     ("ISC", ("isc-title",)),
@@ -159,11 +192,21 @@ RULES = [
     ("LGPL", ("lgpl21-title",)),
     ("AGPL-3.0", ("agpl3-title",)),
     ("MPL-2.0", ("mpl2-title",)),
+    ("MPL-1.1", ("mpl11-title",)),
+    ("CDDL-1.0", ("cddl-title",)),
+    ("CDDL-1.1", ("cddl11-title",)),
+    ("PSF-2.0", ("psf-title",)),
+    ("WTFPL", ("wtfpl-title",)),
     ("EPL-2.0", ("epl2-title",)),
     ("BSL-1.0", ("bsl-title",)),
     ("Artistic-2.0", ("artistic2-title",)),
     ("proprietary", ("copyright", "rights")),
 ]
+#: What a text says of a licence's versions, by identifier.
+TERMS = {f"{x.lower()}-grant-{t}": f"{x}-{'or-later' if t == 'later' else 'only'}" for x in LATER for t in ("later", "only")} | {f"spdx-{x}-later": f"{x}-or-later" for x in LATER}
+#: Sentences that name several licences. Expressions of SPDX are cut at their operators; one that leaves a choice of two is as both apart.
+EXPRESSION, CHOICE = "spdx licen[sc]e identifier ", "licensed under (the terms of )?either (of )?(the )?apache licen[sc]e version 2 0 or (the )?mit( licen[sc]e)?( at your option)?"
+CHOICES = ["licensed under the apache license version 2 0", "licensed under the mit license"]
 #: Ends of sentences: line breaks; and . ! ? ; before white space, a quote or bracket or the end.
 BREAK = r"[\n\r\x0b\x0c]+|[.!?;]+[\x22\x27)\]]*[ \t]+|[.!?;]+[\x22\x27)\]]*$"
 #: Within a lowered text, H ends every sentence and S ends pieces only. A cut after "v" is of the second kind, as in "v. 2.0".
@@ -199,7 +242,8 @@ def across(pattern: str) -> str:
 
 
 VARIANTS = variants()
-KNOWN = "(?<=[HS]|[HS] )(?:" + "|".join(across(p) for p in VARIANTS.values()) + ")(?= ?[HS])"
+DUAL = f"({SUBJECT})?{CHOICE}"
+KNOWN = "(?<=[HS]|[HS] )(?:" + "|".join(across(p) for p in [*VARIANTS.values(), DUAL]) + ")(?= ?[HS])"
 
 
 def marked(text: Column) -> Column:
@@ -216,10 +260,18 @@ def identifier(sentence: Column) -> Column:
     return known
 
 
+def simple(sentence: Column) -> Column:
+    """A normalised sentence as the sentences that name one licence each: "A OR B" is two, and what follows WITH is left out."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(sentence, f"^{EXPRESSION}", ""), " or later", "+later"), " (?:or|and) ", -1)
+    parts = F.transform(parts, lambda p: F.concat(F.lit("spdx license identifier "), F.regexp_replace(F.replace(p, F.lit("+later"), F.lit(" or later")), " with .*", "")))
+    return F.when(sentence.rlike(f"^{EXPRESSION}"), parts).when(sentence.rlike(f"^{DUAL}$"), F.array(*map(F.lit, CHOICES))).otherwise(F.array(sentence))
+
+
 def identifiers(text: Column) -> Column:
     """The text's identifiers in order, unknown sentences left out."""
     found = F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0))
-    found = F.transform(found, lambda s: identifier(F.trim(F.regexp_replace(s, "[ S]+", " "))))
+    found = F.flatten(F.transform(found, lambda s: simple(F.trim(F.regexp_replace(s, "[ S]+", " ")))))
+    found = F.transform(found, identifier)
     return F.when(F.lower(text).rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -245,13 +297,24 @@ def apply_rules(documents: DataFrame, ids: str = "ids") -> DataFrame:
     return out.withColumn("licenses", licenses).withColumn("rest", F.coalesce("applied.rest", F.lit(""))).drop("applied")
 
 
+def term(identifier: Column) -> Column:
+    """What an identifier says of versions, null for most."""
+    out = F.lit(None).cast("string")
+    for name, said in TERMS.items():
+        out = F.when(identifier == name, said).otherwise(out)
+    return out
+
+
 def scan_licenses(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """Per document: its sentences, those known, the identifier sequence, the licences, and whether known sentences are left over."""
+    """Per document: its sentences, those known, the identifier sequence, the licences, whether known sentences are left over, and what is said
+    of versions: "-or-later" or "-only"."""
     text = text_of("text")
     rows = documents.select("doc_id", F.size(F.filter(F.split(text, BREAK, -1), lambda s: s.rlike("[A-Za-z0-9]"))).cast("long").alias("n_sentences"), identifiers(text).alias("ids"))
     out = apply_rules(rows)
     unmatched = F.size(F.filter(F.split("rest", "\\|", -1), lambda s: (s != "") & (s != "#"))).cast("long")
-    return out.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), "licenses", unmatched.alias("n_unmatched"))
+    said = F.transform("ids", term)
+    terms = F.array_join(F.filter(F.array(*map(F.lit, dict.fromkeys(TERMS.values()))), lambda t: F.coalesce(F.array_contains(said, t), F.lit(False))), ",")
+    return out.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), "licenses", unmatched.alias("n_unmatched"), terms.alias("terms"))
 
 
 def oracle() -> str:
@@ -263,17 +326,22 @@ def oracle() -> str:
         pattern = quoted("".join("\\|" + i.replace(".", "\\.") + "\\|" for i in rule))
         steps.append(f"r{k + 1} AS (SELECT * EXCLUDE (rest), regexp_matches(rest, {pattern}) AS m{k}, regexp_replace(rest, {pattern}, '|#|', 'g') AS rest FROM {last})")
         last = f"r{k + 1}"
+    terms = " ".join(f"WHEN '{n}' THEN '{t}'" for n, t in TERMS.items())
     names = ", ".join(f"CASE WHEN m{k} THEN '{n}' END" for k, (n, _) in enumerate(RULES))
     order = "[" + ", ".join(f"'{n}'" for n in dict.fromkeys(n for n, _ in RULES)) + "]"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, {quoted(BREAK)}), lambda x: regexp_matches(x, '[A-Za-z0-9]'))) AS BIGINT) AS n_sentences,
   list_transform(regexp_split_to_array(lower(t), {quoted(BREAK)}), lambda x: trim(regexp_replace(x, '{NOT_WORD}', ' ', 'g'))) AS parts FROM d),
-i AS (SELECT doc_id, n_sentences, list_filter(list_transform(parts, lambda s: CASE {known} ELSE '-' END), lambda x: x <> '-') AS ids FROM s),
+e AS (SELECT doc_id, n_sentences, flatten(list_transform(parts, lambda s: CASE WHEN regexp_matches(s, '^{EXPRESSION}')
+    THEN list_transform(regexp_split_to_array(replace(regexp_replace(s, '^{EXPRESSION}', ''), ' or later', '+later'), ' (or|and) '), lambda p: 'spdx license identifier ' || regexp_replace(replace(p, '+later', ' or later'), ' with .*', ''))
+    WHEN regexp_full_match(s, {quoted(CHOICE)}) THEN {CHOICES} ELSE [s] END)) AS parts FROM s),
+i AS (SELECT doc_id, n_sentences, list_filter(list_transform(parts, lambda s: CASE {known} ELSE '-' END), lambda x: x <> '-') AS ids FROM e),
 r0 AS (SELECT doc_id, n_sentences, ids, CASE WHEN len(ids) > 0 THEN '|' || array_to_string(ids, '||') || '|' ELSE '' END AS rest FROM i),
 {", ".join(steps)},
 f AS (SELECT *, [{names}] AS hit FROM {last})
 SELECT doc_id, n_sentences, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS sentence_ids,
   array_to_string(list_filter({order}, lambda x: list_contains(hit, x) AND (x <> 'proprietary' OR len(list_filter(hit, lambda y: y IS NOT NULL AND y <> 'proprietary')) = 0)), ',') AS licenses,
-  CAST(len(list_filter(string_split(rest, '|'), lambda x: x <> '' AND x <> '#')) AS BIGINT) AS n_unmatched FROM f
+  CAST(len(list_filter(string_split(rest, '|'), lambda x: x <> '' AND x <> '#')) AS BIGINT) AS n_unmatched,
+  array_to_string(list_filter([{", ".join(f"'{t}'" for t in dict.fromkeys(TERMS.values()))}], lambda t: list_contains(list_transform(ids, lambda x: CASE x {terms} END), t)), ',') AS terms FROM f
 """

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Workspace, fresh
 from .words import batches_of, mixed, rolling, word_hashes
@@ -96,6 +97,20 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 65535).astype("<u2")
 
 
+def digest_of(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def set_digest(text: Column) -> Column:
+    """The digest of a text's set, as sketches have it."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(map(digest_of, shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in batch.to_pylist()])), pa.binary())
+
+    return F.arrow_udf(run, "binary")(text)
+
+
 def sketches(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +118,7 @@ def sketches(documents: DataFrame) -> DataFrame:
             n, digests, rows = [], [], []
             for some in shingle_sets(texts):
                 n.append(len(some))
-                digests.append(xxhash.xxh3_128_digest(some.tobytes()) if len(some) else None)
+                digests.append(digest_of(some))
                 rows.append(registers(some).tobytes() if len(some) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
 
@@ -378,7 +393,7 @@ def link_documents(documents: DataFrame, ws: Workspace) -> DataFrame:
     sketched = ws.put(sketches(rows), "sketches")
     classes = ws.put(sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first"), "classes")
     members = ws.put(sketched.join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("digest").isNotNull(), F.coalesce("first", "doc_id")).alias("class"), F.when(F.col("doc_id") == F.coalesce("first", "doc_id"), F.col("registers")).alias("registers")), "members")
-    ws.drop("sketches", "classes")
+    ws.drop("sketches")
     firsts = members.where(F.col("registers").isNotNull()).select("doc_id", "registers")
     keyed = bands(firsts)
     pivots = ws.put(keyed.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other"), F.count(F.lit(1)).alias("n")).where("pivot <> other").select("band", "pivot", "n"), "pivots")
@@ -404,12 +419,15 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """documents with one of each component, with the same columns."""
+    """documents with one of each component, with the same columns. Rows without doc_id go by their set, which some document has."""
     ws = Workspace(spark, "near")
-    (dropped,) = fresh(documents, "dropped_id")
-    gone = ws.put(link_documents(documents, ws).where(~F.col("kept")).select(F.col("doc_id").alias(dropped)).distinct(), "gone")
-    stays = documents.join(gone, documents["doc_id"] == gone[dropped], "left_anti")
-    return stays.select(documents.columns)
+    dropped, first, digest = fresh(documents, "dropped_id", "first", "digest")
+    rest = link_documents(documents, ws).where(~F.col("kept"))
+    gone = ws.put(rest.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(dropped)).distinct(), "gone")
+    taken = ws.get("classes", T.StructType.fromDDL("digest binary, first long")).select(F.col("digest").alias(first))
+    nameless = documents.where(F.col("doc_id").isNull()).withColumn(digest, set_digest(F.col("text")))
+    stays = documents.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col(dropped), "left_anti")
+    return stays.select(documents.columns).unionByName(nameless.join(taken, F.col(digest) == F.col(first), "left_anti").select(documents.columns))
 
 
 #: All pairs that share a shingle; only for small tables.

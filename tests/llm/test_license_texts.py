@@ -105,6 +105,51 @@ CASES = [
     ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later"),
     ("", "SPDX-License-Identifier: LicenseRef-Own"),
 ]
+BSD4 = BSD3.replace("3. Neither", """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the organization.
+
+4. Neither""")
+ONLY = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} Public License version {2} as published by the Free Software Foundation."
+KINDS = (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"))
+FAMILY = lambda x, later: "LGPL" if x.startswith("L") else "GPL-any" if later and x.startswith("G") else x
+CASES += [
+    ("BSD-4-Clause", BSD4),
+    ("BSD-4-Clause", BSD4.partition("4. Neither")[0]),
+    ("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/'),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1."),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("CDDL-1.0", 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.'),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License, Version 1.0 only."),
+    ("CDDL-1.0", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"),
+    ("CDDL-1.1", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.1"),
+    ("PSF-2.0", 'PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2\n\n1. This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization.'),
+    ("PSF-2.0", "1. This LICENSE AGREEMENT is between the Python Software Foundation and the Individual."),
+    ("PSF-2.0", "Python Software Foundation License"),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n\nTERMS AND CONDITIONS FOR COPYING\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("WTFPL", "Do What The Fuck You Want To Public License"),
+    ("CC-BY-3.0", CC.format("").replace("4.0 International", "3.0 Unported")),
+    *((f"CC-BY-{'-'.join(x)}-3.0", CC.format("-" + "-".join({"NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}[y] for y in x)).replace("4.0 International", "3.0 Unported")) for x in (["NC"], ["SA"], ["ND"], ["NC", "SA"], ["NC", "ND"])),
+    *((FAMILY(x, True), NOTICE.format("program", ";", kind, n)) for x, kind, n in KINDS),
+    *((FAMILY(x, False), ONLY.format("program", kind, n)) for x, kind, n in KINDS),
+    *((x, f"SPDX-License-Identifier: {x}-or-later") for x, *_ in KINDS),
+    ("GPL-any", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
+    ("LGPL", NOTICE.partition(";")[0].format("library", ";", "Lesser General") + "."),
+    ("AGPL-3.0", NOTICE.partition(";")[0].format("program", ":", "Affero General") + "."),
+    ("MIT,Apache-2.0", "This crate is licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+]
+#: An expression of SPDX is on one line.
+EXPRESSIONS = [
+    ("MIT,Apache-2.0", "// SPDX-License-Identifier: MIT OR Apache-2.0"),
+    ("MIT,BSD-3-Clause,GPL-2.0", "SPDX-License-Identifier: (GPL-2.0-or-later AND MIT) OR BSD-3-Clause"),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */"),
+    ("GPL-2.0,LGPL-3.0", "# SPDX-License-Identifier: GPL-2.0-only OR LGPL-3.0-or-later"),
+]
+TERMS = {
+    GPL2: "GPL-2.0-or-later", NOTICE.format("library", ";", "Lesser General", "2.1"): "LGPL-2.1-or-later", ONLY.format("program", "Affero General", "3"): "AGPL-3.0-only", ONLY.format("file", "General", "2"): "GPL-2.0-only",
+    "SPDX-License-Identifier: (GPL-2.0-or-later AND MIT) OR LGPL-3.0-or-later": "GPL-2.0-or-later,LGPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0": "", MIT: "", "": "",
+}
 
 
 @pytest.fixture(scope="module")
@@ -121,6 +166,30 @@ def test_licences(found):
     assert not wrong, {CASES[k][1][:60]: v for k, v in wrong.items()}
 
 
+def test_expressions(spark):
+    rows = license_scan.scan_licenses(spark, spark.createDataFrame([(k, "words before\n" + t + "\nafter") for k, (_, t) in enumerate(EXPRESSIONS)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in rows} == {k: want for k, (want, _) in enumerate(EXPRESSIONS)}
+
+
+def test_terms(spark):
+    texts = list(TERMS)
+    rows = license_scan.scan_licenses(spark, spark.createDataFrame([(k, t if "SPDX" in t else wrapped(t, 50)) for k, t in enumerate(texts)] + [(len(texts), None)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.terms for r in rows} == dict(enumerate(TERMS.values())) | {len(texts): ""}
+
+
+def test_sql_has_expressions(spark):
+    """Single lines, which is what the SQL looks up."""
+    import duckdb
+
+    lines = ["SPDX-License-Identifier: (GPL-2.0-or-later AND MIT) OR BSD-3-Clause", "SPDX-License-Identifier: GPL-2.0 WITH x AND MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Licensed under CC BY-SA 3.0.", "", None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(lines)))
+    found = con.sql(license_scan.oracle())
+    got = license_scan.scan_licenses(spark, spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).select(*(f"`{c}`" for c in found.columns))
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
 def test_every_sentence_is_reached(found):
     seen = {i for rows in found.values() for r in rows for i in r.sentence_ids.split(",")}
     assert not set(license_scan.SENTENCES) - seen

@@ -90,6 +90,17 @@ def test_filter_keeps_columns_and_one_of_each(spark, documents, words):
     assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 3, 8, 9]
 
 
+def test_rows_without_id_go_by_the_row(spark, documents, words):
+    """What kept says of them: copies of a document go, and those that are copies of each other only stay."""
+    base, other = " ".join(words(50)), " ".join(words(50))
+    rows = [(4, base), (None, base), (None, base.upper()), (None, other), (None, other), (None, None), (None, ""), (2, None)]
+    for extra in (False, True):
+        docs = documents(rows, extra=extra)
+        out = [(r.doc_id, r.text) for r in near_dedup.drop_near_copies(spark, docs).select("doc_id", "text").collect()]
+        assert sorted(out, key=repr) == sorted([(4, base), (None, other), (None, other), (None, None), (None, ""), (2, None)], key=repr)
+        assert len(out) == near_dedup.near_duplicates(spark, docs).where("kept").count()
+
+
 def test_empty(spark, documents):
     assert near_dedup.near_duplicates(spark, documents([(1, "x")]).limit(0)).count() == 0
     assert near_dedup.drop_near_copies(spark, documents([(1, "x")]).limit(0)).count() == 0
