@@ -22,9 +22,9 @@ from .functions import fixed, prompts
 from .functions.hashing import content_hash, json_array
 from .functions.ranks import positions
 from .functions.text import normalize
-from .operators import attribution, dialogue, planning, provenance, sections, timeline, verify, voices
+from .operators import attribution, dialogue, findings, planning, provenance, sections, timeline, verify, voices
 from .operators import cast as people
-from .sources import books, deltas
+from .sources import books, deltas, settings
 from .sources.shared import written
 
 STAMP = "stage string, chapter int, inputs map<string,string>"
@@ -40,7 +40,7 @@ class Book:
         for name in ("book.json", "book.yaml"):
             text = books.read_text(spark, f"{self.root}/{name}")
             if text is not None:
-                self.config = books.read_config(name, text)
+                self.config = settings.validated(books.read_config(name, text), f"{self.root}/{name}")
                 break
         self.lang = self.config.get("language", "en")
         self.styles: list[str] = self.config.get("styles", [])
@@ -270,8 +270,15 @@ class Book:
         return provenance.render_reasons(self.reasons("render", self.render_inputs()).select("chapter", "reasons"), self.table("lines"), self.table("render"), self.inventory())
 
     def check(self) -> tuple[list[str], list[str]]:
-        clips = [v for v in self.voice_map().values() if voices.is_clip(v) and books.exists(self.spark, v if v.startswith("/") else f"{self.root}/{v}")]
-        return voices.check(self.voice_map(), self.cast(), self.backend, self.lang, self.styles, clips)
+        """Errors and warnings of the voice map."""
+        chosen = self.voice_map()
+        clips = {v for v in chosen.values() if voices.is_clip(v) and books.exists(self.spark, v if v.startswith("/") else f"{self.root}/{v}")}
+        made, me = self.spark.createDataFrame, F.lit(self.root)
+        found = findings.findings(
+            made(list(chosen.items()), "key string, voice string").withColumn("book", me), people.cast_table(self.spark, self.cast()).withColumn("book", me), voices.pool_table(self.spark),
+            made([(v,) for v in sorted(clips)], "path string").withColumn("book", me), made([(self.root, self.backend, self.lang, list(self.styles))], "book string, backend string, lang string, styles array<string>"),
+        )
+        return findings.sentences(found.collect(), self.backend, self.lang)
 
     def render(self, chapters: set[int] | None = None, force: bool = False) -> DataFrame:
         """Plans, synthesizes what isn't there yet and records each line's audio with its number of samples: some chapters at a time, each of

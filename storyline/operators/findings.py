@@ -152,3 +152,26 @@ def findings(entries: DataFrame, casts: DataFrame, voices: DataFrame, clips: Dat
     shared = named.where(person).groupBy("book", "voice").agg(F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("roles"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = shared.select("book", *rest(False, "shared", none, F.col("voice"), F.col("roles")))
     return single.unionByName(untold).unionByName(silent).unionByName(shared)
+
+
+def sentences(rows: list, backend: str, lang: str) -> tuple[list[str], list[str]]:
+    """Errors and warnings in words, for the findings of one book; silent people are named in one sentence."""
+    said: dict[bool, list[str]] = {True: [], False: []}
+    for r in sorted(rows, key=lambda r: (r["kind"], r["key"] or "", r["voice"] or "")):
+        at, near = f"voices.{backend}.{r['key']}", f" (perhaps {r['detail']!r}?)" if r["detail"] else ""
+        words = {
+            "no narrator": f"voices.{backend}: there is no narrator",
+            "nobody": f"{at}: nobody of the cast{near}",
+            "no clip": f"{at}: no such clip: {r['voice']}",
+            "no voice": f"{at}: no such voice: {r['voice']!r}",
+            "language": f"{at}: {r['voice']!r} doesn't speak {lang}",
+            "style": f"{at}: the book has no style {r['detail']!r}, so this clip is never used",
+            "alias": f"{at}: an alias of {r['detail']!r}; use that name",
+            "shared": f"{r['voice']!r} is the voice of {r['detail']}",
+        }
+        if r["kind"] in words:
+            said[r["error"]].append(words[r["kind"]])
+    silent = sorted(r["key"] for r in rows if r["kind"] == "silent")
+    if silent:
+        said[False].append(f"{len(silent)} of the main cast speak as _default: {', '.join(silent[:8])}" + (" ..." if len(silent) > 8 else ""))
+    return said[True], said[False]
