@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_name
+from ..sources.shared import written
 from .voices import CLIP_BACKENDS, ROLES
 
 #: The least ratio, as a fraction.
@@ -65,9 +66,9 @@ def candidates(roles: DataFrame, names: DataFrame, block: int) -> DataFrame:
     book are dealt over blocks of about `block`, each of which meets the roles with the token."""
     asked = roles.where("role IS NOT NULL").select("book", F.col("role").alias("s")).distinct().withColumn("asked", F.lit(True))
     listed = names.where("name IS NOT NULL").select("book", F.col("name").alias("s")).distinct().withColumn("asked", F.lit(False))
-    sides = asked.unionByName(listed).groupBy("book", "s").agg(F.max("asked").alias("asked"), F.max(~F.col("asked")).alias("listed"))
+    sides = written(asked.unionByName(listed).groupBy("book", "s").agg(F.max("asked").alias("asked"), F.max(~F.col("asked")).alias("listed")), "strings")
     firsts = matched(characters(sides.select("book", "s")), sides, "book", "s")
-    firsts = firsts.withColumn("tokens", F.collect_list("token").over(W.partitionBy("book", "s")))
+    firsts = written(firsts.withColumn("tokens", F.collect_list("token").over(W.partitionBy("book", "s"))), "firsts")
     blocks = firsts.where("listed").groupBy("book", "token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     held = matched(firsts, blocks, "book", "token")
     a = held.where("asked").select("book", "token", F.col("s").alias("role"), F.col("size").alias("a"), F.col("counts").alias("counts_a"), F.col("tokens").alias("tokens_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -118,14 +119,15 @@ def findings(entries: DataFrame, casts: DataFrame, voices: DataFrame, clips: Dat
     `casts` is (book, rank, name, aliases, main), `voices` (backend, id, lang), `clips` (book, path). Kinds of errors: no narrator; nobody
     (detail: the nearest name); no clip; no voice; language (detail: the voice's). Kinds of warnings: style (detail: one the book doesn't
     have); alias (detail: the name); silent (key: one of the main cast without a voice); shared (detail: the roles of one voice). An entry
-    may be found for several reasons. A backend without a list of voices has none to check, and one without clips takes paths as voices.
+    may be found for several reasons. Steps that are read more than once are written to the shared folder. A backend without a list of voices has none to check, and one without clips takes paths as voices.
     """
     at = F.length("key") - F.instr(F.reverse("key"), "@")
     split = F.contains("key", F.lit("@"))
     named = entries.distinct().select(
         "book", "key", "voice", F.when(split, F.substring("key", F.lit(1), at)).otherwise(F.col("key")).alias("role"), F.when(split, F.substring("key", at + 2, F.length("key"))).alias("style"),
     )
-    named = named.withColumn("fold", fold_name(F.col("role")))
+    named = written(named.withColumn("fold", fold_name(F.col("role"))), "entries")
+    casts, books = written(casts.select("book", "rank", "name", "aliases", "main"), "casts"), written(books.select("book", "backend", "lang", "styles"), "books")
     known, taken = known_names(casts), clips.select("book", F.col("path").alias("voice")).distinct().withColumn("there", F.lit(True))
     listed = voices.groupBy("backend", F.col("id").alias("voice")).agg(F.first("lang").alias("speaks"))
     backends = voices.select("backend").distinct().withColumn("lists", F.lit(True))
@@ -140,7 +142,7 @@ def findings(entries: DataFrame, casts: DataFrame, voices: DataFrame, clips: Dat
         kind(preset & (F.col("speaks") != F.col("lang")), True, "language", F.col("speaks")), kind(F.col("style").isNotNull() & ~F.array_contains("styles", F.col("style")), False, "style", F.col("style")),
         kind(person & (F.col("name") != F.col("role")), False, "alias", F.col("name")),
     ))
-    single = rows.select("book", "key", "voice", "role", F.explode(said).alias("f")).select("book", "f.error", "f.kind", "key", "voice", "f.detail", "role")
+    single = written(rows.select("book", "key", "voice", "role", F.explode(said).alias("f")).select("book", "f.error", "f.kind", "key", "voice", "f.detail", "role"), "found")
     near = nearest(single.where("kind = 'nobody'").select("book", "role"), casts.select("book", "name")).select("book", "role", F.col("name").alias("near"))
     single = matched(single, near, "book", "role", how="left").select("book", "error", "kind", "key", "voice", F.when(F.col("kind") == "nobody", F.col("near")).otherwise(F.col("detail")).alias("detail"))
     keys = named.select("book", "key").distinct()
