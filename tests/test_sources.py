@@ -83,6 +83,24 @@ def test_pages(spark):
     assert plain[3] == ("T:x", ["a", "b c"])
 
 
+def test_entities_that_are_broken_off_stay(spark, tmp_path):
+    """Rows of page_chapters against its SQL: titles that end within an entity, and ones that would change if they were decoded twice."""
+    import duckdb
+
+    from storyline.plans.registry import ORACLES, QUERIES
+
+    titles = ["and &amp", "a &am", "b &", "x &amp;&amp;&amp", "&ampere; &ltd; &copyright;", "&amp;lt;", "&amp;amp;", "&middot; &lt;p&gt;"]
+    rows = [(k, f'<h1>{t}</h1><article><p>{t}</p><p>more &copy</p></article><a href="?a=1&copy=2" rel="next">n</a>') for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["page_chapters"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.sql(ORACLES["page_chapters"])
+    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(want.fetchall())
+    page = pages.parse("<h1>&#65;&#x42;&#67 &nope; &eacute;</h1><article><p>&lt;&lt</p></article>")
+    assert (page.title, page.paragraphs) == ("AB&#67 &nope; é", ["<&lt"])
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
