@@ -311,7 +311,7 @@ class Book:
         size = planning.batch_size(tts.get("batch"), speech.batch_size, hasattr(speech, "synthesize_batch"))
         for k in range(-(-n // step)):
             some = todo.where(F.col("step") == k).drop("step", "place") if n > step else todo
-            made = providers.joined_audio(providers.synthesize(planning.batches(some, size, 8000 if size > 1 else 0, self.lang), make, self.lang), speech.sample_rate)
+            made = providers.spoken(planning.batches(some, size, 8000 if size > 1 else 0, self.lang), make, self.lang, speech.sample_rate)
             fresh = made.join(some.select("id", F.col("audio").alias("file")), "id").select(F.col("file").alias("path"), "n_samples", F.col("audio").alias("samples"))
             fresh.dropDuplicates(["path"]).withColumnRenamed("path", "audio").write.mode("append").parquet(f"{self.work}/audio")
             if n > step:

@@ -443,8 +443,7 @@ def merged_commits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def tone_audio(spark: SparkSession, sf: str) -> DataFrame:
-    made = providers.synthesize(planning.batches(render_plan(spark, sf), 16, 8000), "tone")
-    return providers.joined_audio(made).select("id", "n_samples", F.sha2("audio", 256).alias("digest"))
+    return providers.spoken(planning.batches(render_plan(spark, sf), 16, 8000), "tone", what="digest")
 
 
 #: Pieces fade into each other over 240 samples.

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,42 @@ def test_batches_by_voice_and_budget(spark):
     assert planning.batch_size(None, 24, True) == 24 and planning.batch_size(8, 24, False) == 1
 
 
+def test_audio_is_made_in_as_many_tasks_as_the_session_has(spark):
+    """Texts are small and their audio is not: Spark would gather the texts of a small table in one task."""
+    jobs = spark.range(200).select(F.concat(F.lit("v"), F.col("id") % 50).alias("voice"), F.lit("{}").alias("params"), F.format_string("l%06d", "id").alias("id"), F.array(F.lit("x")).alias("chunks"))
+    batches = planning.batches(jobs, 4, 0)
+    for made in (providers.synthesize(batches, "tone"), providers.spoken(batches, "tone")):
+        assert made.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_lines_are_spoken_alike_in_batches_and_alone(spark):
+    class Several(providers.Tone):
+        def synthesize_batch(self, texts, voice, lang="en", **params):
+            return [self.synthesize(t, voice, lang) for t in texts]
+
+    text = " ".join(f"This is number {k}, which goes on and on for {k} words." for k in range(30))
+    batches = planning.batches(plan(spark, [line(0, "Ann", text), line(1, "Ann", "Short."), line(2, "Bob", text[::-1])]), 4, 0)
+    want = {r.id: (r.n_samples, bytes(r.audio)) for r in providers.joined_audio(providers.synthesize(batches, "tone")).collect()}
+    for provider in ("tone", Several):
+        assert {r.id: (r.n_samples, bytes(r.audio)) for r in providers.spoken(batches, provider).collect()} == want
+        assert {tuple(r) for r in providers.spoken(batches, provider, what="digest").collect()} == {(k, n, hashlib.sha256(a).hexdigest()) for k, (n, a) in want.items()}
+        assert {tuple(r) for r in providers.spoken(batches, provider, what=None).collect()} == {(k, n) for k, (n, _) in want.items()}
+
+
+def test_fading_by_one_copy(spark):
+    """Against joining pieces one by one, with pieces that are empty or shorter than a fade."""
+    rng, pieces = np.random.default_rng(5), []
+    for n in (0, 3, 5, 1000, 0, 7, 240, 239, 2, 2, 900):
+        pieces.append(rng.normal(size=n).astype(np.float32))
+        out = np.zeros(0, np.float32)
+        for p in (p for p in pieces if len(p)):
+            k = min(240, len(out), len(p))
+            ramp = np.linspace(0, 1, k, dtype=np.float32)
+            out = np.concatenate([out[: len(out) - k], out[len(out) - k :] * (1 - ramp) + p[:k] * ramp, p[k:]])
+        assert np.array_equal(providers.crossfade(pieces, 24000), out)
+        assert providers.joined_length([len(p) for p in pieces], 24000) == len(out)
+
+
 def test_one_voice_of_one_length_is_spread(spark, monkeypatch):
     """All chunks are alike in voice and length; no range of them has most, and batches are as adding them one by one would cut them."""
     monkeypatch.setattr(planning, "written", lambda df, name: ranges.setdefault(name, real(df, name)))
