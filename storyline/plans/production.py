@@ -453,7 +453,7 @@ SELECT id, CAST(list_sum(list_transform(chunks, lambda x: length(x) * 1600)) - 2
 """)
 def tone_lengths(spark: SparkSession, sf: str) -> DataFrame:
     plan = planning.plan(lines(spark, sf), state(lines(spark, sf)), spark.createDataFrame([], "audio string"), VOICES, provenance.backend_name("kokoro"), PARAMS, 120)
-    return providers.joined_audio(providers.synthesize(planning.batches(plan, 16, 8000), "tone")).select("id", "n_samples")
+    return providers.spoken(planning.batches(plan, 16, 8000), "tone", what=None)
 
 
 @query(f"""
