@@ -5,8 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,11 +15,15 @@ from ..functions import fixed
 from ..functions.text import chars_per_s, replace_matches, strip, zh_number
 
 COMPARED = ["edits", "reference", "hypothesis", "kinds"]
+#: Rows of an Arrow batch that are Python strings at once.
+STEP_ROWS = 256
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(T.StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    """Some rows at a time are Python strings, as with `compared`; neither needs pandas, whose import each worker would hold."""
+    slices = (texts.slice(k, STEP_ROWS).to_pylist() for k in range(0, max(1, len(texts)), STEP_ROWS))
+    return pa.concat_arrays([pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in some], pa.string()) for some in slices])
 
 
 def compatible(text: Column) -> Column:
@@ -91,10 +93,11 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
 @F.arrow_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in COMPARED]))
 def compared(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
     """Distance of two texts' tokens, which white space separates, how many each has, and how many different ones the first. Texts come as
-    they lie in Arrow and are split here, since an array of strings costs the JVM more than the rest of the comparison."""
+    they lie in Arrow and are split here, since an array of strings costs the JVM more than the rest of the comparison. One pair at a time
+    is Python strings."""
     found = []
-    for a, b in zip(reference.to_pylist(), hypothesis.to_pylist(), strict=True):
-        x, y = (a or "").split(), (b or "").split()
+    for a, b in zip(reference, hypothesis, strict=True):
+        x, y = (a.as_py() or "").split(), (b.as_py() or "").split()
         found.append((edit_distance(x, y), len(x), len(y), len(set(x))))
     columns = zip(*found, strict=True) if found else ((), (), (), ())
     return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], COMPARED)

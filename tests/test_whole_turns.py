@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
 
@@ -51,3 +52,28 @@ def test_errors_of_whole_turns(spark, turns):
 def test_verdicts_of_whole_turns(spark, turns):
     sf, want = turns
     assert {(r.conv_id, r.turn): r.ok for r in QUERIES["whole_verdicts"](spark, sf).collect()} == {k: v[2] for k, v in want.items()}
+
+
+def test_a_worker_holds_few_texts_and_no_pandas():
+    """Of an Arrow batch of 40 MB, the comparison of texts has one pair as Python strings, and making them alike has some rows."""
+    import subprocess
+    import sys
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from storyline.operators import verify
+
+    batch = pa.array([f"{k} " + "w" * 8000 for k in range(5000)] + [None])
+    want = [verify.edit_distance(["1"], ["0"])] * 5000
+    tracemalloc.start()
+    try:
+        got = verify.compared.func(batch, pa.concat_arrays([batch[1:5000], batch[:1], batch[5000:]]))
+        alike = verify.nfkc.func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r["edits"] for r in got.to_pylist()] == [*want, 0] and alike.equals(batch) and verify.nfkc.func(batch[:0]).to_pylist() == []
+    assert peak < 8 << 20
+    code = "import sys; from storyline.operators import verify; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parent.parent).stdout.split() == ["False"]
