@@ -80,7 +80,8 @@ def test_audio_is_made_in_as_many_tasks_as_the_session_has(spark):
     """Texts are small and their audio is not: Spark would gather the texts of a small table in one task."""
     jobs = spark.range(200).select(F.concat(F.lit("v"), F.col("id") % 50).alias("voice"), F.lit("{}").alias("params"), F.format_string("l%06d", "id").alias("id"), F.array(F.lit("x")).alias("chunks"))
     batches = planning.batches(jobs, 4, 0)
-    for made in (providers.synthesize(batches, "tone"), providers.spoken(batches, "tone")):
+    for step in ("synthesize", "spoken"):
+        made = getattr(providers, step)(batches, "tone")
         assert made.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
 
 

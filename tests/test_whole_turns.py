@@ -69,6 +69,7 @@ def test_a_worker_holds_few_texts_and_no_pandas():
     tracemalloc.start()
     try:
         got = verify.compared.func(batch, pa.concat_arrays([batch[1:5000], batch[:1], batch[5000:]]))
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
         alike = verify.nfkc.func(batch)
         peak = tracemalloc.get_traced_memory()[1]
     finally:
