@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,25 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system, where the C library can (glibc's keeps it)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, with memory given back at the end: Spark keeps more workers than an executor has cores, and each would go
+    on holding what its largest task has freed."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 class Workspace:
     """Tables that one run of an operator writes to the shared folder, to cut lineage.
 
@@ -117,6 +138,7 @@ class Sieve:
     def passes(self, key: Column) -> Column:
         held = self.words
 
+        @lean
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             words = held.value
             for batch in batches:

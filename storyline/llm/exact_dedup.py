@@ -26,12 +26,15 @@ from pyspark.sql.utils import AnalysisException
 from .common import SPACE, Sieve, Workspace, fresh, settings, text_of
 
 #: How the state is kept: on disk, with changes logged instead of whole snapshots, without space set aside in
-#: advance for each partition, and without staying in an executor's memory after a commit.
+#: advance for each partition, and with one bound on the buffers and caches of all partitions that an executor has.
+#: A partition's store stays open from one micro-batch to the next: each opening leaves some native memory behind for good.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "false",
 }
 LONG_MAX = (1 << 63) - 1
 #: Micro-batches that a table comes in at least, if it has as many files, and how many groups at most may be broadcast for their size.

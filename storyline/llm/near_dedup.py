@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, fresh
+from .common import Workspace, fresh, lean
 from .words import batches_of, mixed, rolling, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -104,6 +104,7 @@ def digest_of(shingles: np.ndarray) -> bytes | None:
 def set_digest(text: Column) -> Column:
     """The digest of a text's set, as sketches have it."""
 
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(map(digest_of, shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in batch.to_pylist()])), pa.binary())
@@ -112,6 +113,7 @@ def set_digest(text: Column) -> Column:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
@@ -129,6 +131,7 @@ def bands(sketched: DataFrame) -> DataFrame:
     """(band, doc_id): 32 keys for each sketch. A key is its four registers, which fill 64 bits, mixed with the band's number."""
     salt = mixed(np.arange(1, REGISTERS // BAND + 1, dtype=np.uint64))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -161,6 +164,7 @@ def possible(n_a: np.ndarray, n_b: np.ndarray, r_a: np.ndarray, r_b: np.ndarray)
 def set_table(documents: DataFrame, some: DataFrame, sketched: DataFrame, ws: Workspace) -> DataFrame:
     """doc_id, registers and the full set of the documents in some (doc_id)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
@@ -173,6 +177,7 @@ def set_table(documents: DataFrame, some: DataFrame, sketched: DataFrame, ws: Wo
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that are links: estimated from the registers, then confirmed on the full sets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -198,6 +203,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def finished(edges: DataFrame) -> DataFrame:
     """(v, to): every end of few links with the least end of its component, by one task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
 
@@ -271,6 +277,7 @@ def register_array(registers: Column) -> Column:
 def each_shingle(sets: DataFrame) -> DataFrame:
     """(shingle, doc_id): the sets, a row for each shingle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, shingles in zip(batch.column(0), batch.column(1), strict=True):
@@ -291,6 +298,7 @@ def unique_shingles(sets: DataFrame, ws: Workspace) -> DataFrame:
 def parity_table(sets: DataFrame) -> DataFrame:
     """(doc_id, bits) of documents with full sets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [parities(np.frombuffer(x.as_buffer(), "<u8")) for x in batch.column(1)]

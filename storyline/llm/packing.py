@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions_for
+from .common import Workspace, lean, partitions_for
 
 LENGTH, END, OPEN_BINS, PART_ROWS = 1024, 2, 1 << 14, 1 << 17
 TOKENIZER = "byte_bpe_50k.json"
@@ -126,6 +126,7 @@ def cut(n: int, length: int = LENGTH) -> list[int]:
 
 
 def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end: int = END, special_as_text: bool = False) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer, special_as_text)
         for batch in batches:
@@ -188,6 +189,7 @@ def pack(table: DataFrame, rows: int, length: int = LENGTH, open_bins: int = OPE
     arrival = [F.desc("length")] if longest_first else []
     dealt = table.repartition(parts, order).sortWithinPartitions(*arrival, order, "doc_id", "piece", "start", "length", "ids_crc32").withColumn("part", F.spark_partition_id().cast("long"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(length, open_bins)
         for batch in batches:

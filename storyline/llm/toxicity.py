@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, lean
 
 BUCKET_BITS, DIM, ORDERS = 18, 8, (3, 4, 5, 6)
 WINDOW, STRIDE = 4, 2
@@ -206,6 +206,7 @@ def scorer(spark: SparkSession, model: Model, text: str = "text") -> Column:
     """The score of a column of texts. Only the texts go to Python, and a few at a time become Python strings."""
     sc = spark.sparkContext.broadcast(model)
 
+    @lean
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             values = [score_texts([t or "" for t in batch.slice(k, 256).to_pylist()], sc.value) for k in range(0, len(batch), 256)]

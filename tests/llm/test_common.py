@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from storyline.llm.common import Sieve, Workspace, shared_dir
+from storyline.llm.common import Sieve, Workspace, lean, shared_dir
 
 
 @pytest.mark.parametrize("n", [0, 1, 5000])
@@ -53,3 +57,23 @@ def test_a_cluster_without_one_is_an_error():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists() or not sys.platform.startswith("linux"), reason="memory can't be read here")
+def test_a_worker_gives_memory_back_after_a_task():
+    """What a task has freed lies below what is kept, so that the C library wouldn't return it."""
+    own = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    kept, grown = [], []
+
+    def run(batches):
+        for batch in batches:
+            held = [b"x" * 100_000 for _ in range(1000)]
+            kept.append(b"y" * 100_000)
+            del held
+            grown.append(own())
+            yield batch
+
+    before = own()
+    assert list(run(iter([1, 2]))) == [1, 2] and own() - before > 60
+    assert list(lean(run)(iter([3, 4]))) == [3, 4] and own() - before < 30
+    assert max(grown) - before > 60

@@ -97,3 +97,14 @@ def test_many_files_come_in_several_batches(spark, documents, tables):
 def test_empty(spark, documents):
     assert exact_dedup.dedup_documents(spark, documents(ROWS).limit(0)).count() == 0
     assert exact_dedup.drop_copies(spark, documents(ROWS).limit(0)).count() == 0
+
+
+def test_state_stores_stay_open_between_batches(spark, documents, tmp_path):
+    """An opening leaves native memory behind: a partition's store is opened once, not again for each micro-batch."""
+    rows = documents([(k, f"text {k % 50}") for k in range(400)]).repartition(8)
+    rows.write.parquet(f"{tmp_path}/documents")
+    assert exact_dedup.dedup_documents(spark, spark.read.parquet(f"{tmp_path}/documents")).where("kept").count() == 50
+    stores = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$")
+    held = stores.getDeclaredField("loadedProviders")
+    held.setAccessible(True)
+    assert held.get(stores.getField("MODULE$").get(None)).size() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
